@@ -104,14 +104,12 @@ class Models:
         return -sums / np.maximum(sizes, 1)[:, None], letters
 
     def _logs(self, columns: list[np.ndarray], k: int) -> np.ndarray:
-        if k == 0:
-            return np.full((len(columns[0]) if columns else 0, len(self.languages)), self.floor, np.float32)
         place = self.grams[k - 1].find(_hash(columns))
         out = self.logs[k - 1][place]  # -1 takes the last row, which is replaced below
         miss = np.flatnonzero(place < 0)
         if len(miss):
             rest = [c[miss] for c in columns]
-            lower = self._logs(rest[1:], k - 1) if k > 1 else np.full((len(miss), len(self.languages)), self.floor, np.float32)
+            lower = self._logs(rest[1:], k - 1) if k > 1 else self.floor + np.repeat(self.backoff[0][:1], len(miss), axis=0)
             if k > 1:
                 context = self.contexts[k - 1].find(_hash(rest[:-1]))
                 lower = lower + np.where((context >= 0)[:, None], self.backoff[k - 1][context], np.float32(0))
