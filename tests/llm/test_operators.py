@@ -284,7 +284,7 @@ def test_ppm(docs, data):
 
 
 def brute_ppm(counts, text):
-    """Method C with exclusion, straight from counts of contexts; contexts of every length are kept."""
+    """Method D with exclusion, straight from counts of contexts; contexts of every length are kept."""
     total = 0.0
     padded = ppm._PAD + text + bytes([ppm.EDGE])
     for k in range(ppm.ORDER, len(padded)):
@@ -293,12 +293,12 @@ def brute_ppm(counts, text):
             after = {b: n for b, n in counts.get(padded[k - size : k], {}).items() if b not in excluded}
             if not after:
                 continue
-            whole = sum(after.values()) + len(after)
+            whole = sum(after.values())
             if byte in after:
-                total += np.log10(after[byte] / whole)
+                total += np.log10((after[byte] - 0.5) / whole)
                 done = True
                 break
-            total += np.log10(len(after) / whole)
+            total += np.log10(len(after) / 2 / whole)
             excluded |= set(after)
         if not done:
             total -= np.log10(256 - len(excluded))
