@@ -102,10 +102,10 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
-    """id_col, host, path, rule, verdict, glob for every row of pages.
+    """id_col, host, path, rule, verdict, matched for every row of pages.
 
     The longest rule that fits decides (at equal length the first); without one, any blocking glob blocks and is
-    named in glob. Null urls have empty parts and are allowed. Other columns are ignored; repeated rows stay."""
+    named in matched. Null urls have empty parts and are allowed. Other columns are ignored; repeated rows stay."""
     globs = [(g, r) for r in rules for g in r.globs]
     host, path = parts(F.col(url_col))
 
@@ -124,9 +124,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             for r in reversed(by_length):
                 at = hit[:, [k for k, (_, of) in enumerate(globs) if of is r]].any(axis=1)
                 rule[at], verdict[at], glob[at] = r.name, r.verdict, None
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.string()) for c in (rule, verdict, glob))], names=[id_col, "host", "path", "rule", "verdict", "glob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.string()) for c in (rule, verdict, glob))], names=[id_col, "host", "path", "rule", "verdict", "matched"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col), host.alias("_host"), path.alias("_path"))
     rows = rows.select(id_col, "_host", "_path", F.col("_host").cast("binary").alias("_h"), F.col("_path").cast("binary").alias("_p"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, glob string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, matched string")

@@ -403,3 +403,27 @@ def test_trees_learn_and_generalise():
     y = ((x[:, 0] > 0.3) ^ (x[:, 5] < -0.2)).astype(float)
     model = quality.grow(x[:2000], y[:2000])
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+
+
+SQL_COLUMNS = sorted(queries.oracle_sql())
+
+
+@pytest.mark.parametrize("name", SQL_COLUMNS)
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    result = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert got(df, *columns) == want([tuple(r) for r in result.fetchall()])
+
+
+def test_every_query_runs_over_its_table(spark):
+    sizes = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, query in queries.queries().items():
+        if name.startswith("op"):
+            assert query(spark, SF).count() == sizes["pages" if name in ("op2_urls", "op9_html") else "documents"], name
