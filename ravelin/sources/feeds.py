@@ -78,7 +78,8 @@ def read_spamhaus(spark: SparkSession, path: str) -> DataFrame:
 def read_dshield(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     rows = lines(spark, path).select(parts.alias("p")).where(F.size("p") >= 3)
-    return rows.select(network.cidr(F.concat_ws("/", F.trim(F.col("p")[0]), F.trim(F.col("p")[2]))).alias("cidr"), F.trim(F.col("p")[0]).alias("start_ip")).where("cidr is not null")
+    part = lambda k: F.trim(F.get("p", F.lit(k)))
+    return rows.select(network.cidr(F.concat_ws("/", part(0), part(2))).alias("cidr"), part(0).alias("start_ip")).where("cidr is not null")
 
 
 def read_abuseipdb(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +98,7 @@ def _labels(*values: Column, tags: Column | None = None) -> Column:
     """Labels in order without nulls and blanks."""
     given = F.array(*[v.cast("string") for v in values])
     out = given if tags is None else F.concat(given, F.coalesce(tags, F.array().cast("array<string>")))
-    return F.filter(F.transform(out, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(out, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def _candidates(rows: DataFrame, source: str, name: Column, pattern: Column, observable: str | Column, labels: Column, seen: Column | None = None, description: Column | None = None) -> DataFrame:
