@@ -32,8 +32,9 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 DROPPED = frozenset("nav footer aside form button select head dialog menu svg canvas object audio video math datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu form".split())
 HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|footer|masthead|site-?header|page-?header|skip-?link|toolbar|widget)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter\w*|subscribe|signup|"
+    r"sidebar\w*|side-bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|comment-?(?:list|section|form|area)|disqus|respond|replies|reply|share|sharing|social|related|recommended|footer|"
+    r"masthead|site-?header|page-?header|skip-?link|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
 #: Containers whose subtrees are hashed and counted; paragraphs only outside an article.
