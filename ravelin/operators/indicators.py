@@ -81,7 +81,7 @@ def recent(rows: DataFrame, limit: int = 200, order: tuple[str, ...] = ("ts",))
     top = rows.orderBy(*[F.desc(c) for c in order]).limit(max(1, min(limit, 500))).where("ts is not null and value is not null")
     return top.select(
         "ts", F.coalesce("ingested_at", "ts").alias("ingested_at"), "value", F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce("feed", F.lit("unknown")).alias("feed"),
-        identifiers.type_label(F.col("pattern")).alias("type"), "stix_id", F.coalesce("opencti_standard_id", "stix_id").alias("standard_id"),
+        identifiers.type_label(F.col("pattern")).alias("type"), "stix_id", F.coalesce("platform_standard_id", "stix_id").alias("standard_id"),
     )
 
 

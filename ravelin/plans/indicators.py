@@ -62,7 +62,7 @@ def ioc_recent_fallbacks(spark, sf_dir):
     rows = scored(spark, sf_dir)
     rows = rows.withColumns({
         "value": F.when(F.col("user_id") % 7 != 0, F.col("value")), "ingested_at": F.lit(None).cast("timestamp"), "feed": F.when(F.col("feed") != "click", F.col("feed")),
-        "confidence": F.when(F.col("feed") != "view", F.col("confidence")), "stix_id": F.col("event_id").cast("string"), "opencti_standard_id": F.lit(None).cast("string"),
+        "confidence": F.when(F.col("feed") != "view", F.col("confidence")), "stix_id": F.col("event_id").cast("string"), "platform_standard_id": F.lit(None).cast("string"),
     })
     shown = I.recent(rows, 500, order=("ts", "event_id"))
     return shown.select(F.col("stix_id").cast("bigint").alias("event_id"), "feed", F.col("confidence").cast("bigint").alias("confidence"), "type", "value", F.regexp_extract("value", r"u(\d+)\.", 1).cast("bigint").alias("user_id"))
