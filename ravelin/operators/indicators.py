@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, ids, times
 from ..functions import text as T
+from ..session import stored
 from ..sources.feeds import FEEDS, WEIGHTS
 
 ALERT_THRESHOLD = 55
@@ -35,22 +36,59 @@ def corroborated(rows: DataFrame, pattern: str = "pattern", feed: str = "feed")
     return rows.join(counts, pattern)
 
 
-def accept_first(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = TTL_SECONDS, inserted: str | None = None) -> DataFrame:
+def accept_first(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = TTL_SECONDS, inserted: str | None = None, most: int = 1_000_000) -> DataFrame:
     """Rows that are the first of their key for so long: each accepted row opens a time in which others are duplicates.
 
-    Duplicates don't prolong it, and rows that were not inserted don't open it. The times of a key are folded in
-    order inside one aggregate, so no self-join is needed; only time and tie of each row travel to it."""
-    item = [F.col(at).alias("at"), F.col(tie).alias("tie"), (F.col(inserted) if inserted else F.lit(True)).alias("ok")]
-    lists = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("_rows"))
-    kind = f"struct<last: timestamp, out: array<{rows.schema[tie].dataType.simpleString()}>>"
+    Duplicates don't prolong it, and rows that were not inserted don't open it. tie names a row. The times of a key
+    with at most `most` rows are folded in order inside one aggregate, to which only time and tie travel. Keys with
+    more rows take a round per bucket of that length: as accepted rows are that far apart, a bucket accepts one row
+    of a key at most, which is a minimum with partial aggregation, so no task holds the rows of a key."""
+    own = rows.select(*key, F.col(at).alias("_at"), F.col(tie).alias("_tie"), (F.col(inserted) if inserted else F.lit(True)).alias("_ok")).where(F.col(at).isNotNull())
+    sizes = own.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
+    if not sizes.limit(1).count():
+        kept = _folded(own, key, seconds)
+    else:
+        hot = stored(sizes, "hot")
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"h.{k}")) for k in key]
+        few = own.alias("o").join(hot.alias("h"), same, "left_anti")
+        many = own.alias("o").join(hot.alias("h"), same, "left_semi")
+        kept = _folded(few, key, seconds).unionByName(_by_rounds(many, key, seconds))
+    return rows.join(kept.withColumnRenamed("_tie", tie), tie, "left_semi")
+
+
+def _folded(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
+    lists = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", "_tie", "_ok"))).alias("_rows"))
+    kind = f"struct<last: timestamp, out: array<{rows.schema['_tie'].dataType.simpleString()}>>"
     start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().alias("out")).cast(kind)
 
     def step(acc: Column, row: Column) -> Column:
-        fresh = acc["last"].isNull() | (F.unix_micros(row["at"]) - F.unix_micros(acc["last"]) >= seconds * 1_000_000)
-        return F.struct(F.when(fresh & row["ok"], row["at"]).otherwise(acc["last"]).alias("last"), F.when(fresh, F.concat(acc["out"], F.array(row["tie"]))).otherwise(acc["out"]).alias("out")).cast(kind)
-
-    kept = lists.select(F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias(tie))
-    return rows.join(kept, tie, "left_semi")
+        fresh = acc["last"].isNull() | (F.unix_micros(row["_at"]) - F.unix_micros(acc["last"]) >= seconds * 1_000_000)
+        return F.struct(F.when(fresh & row["_ok"], row["_at"]).otherwise(acc["last"]).alias("last"), F.when(fresh, F.concat(acc["out"], F.array(row["_tie"]))).otherwise(acc["out"]).alias("out")).cast(kind)
+
+    return lists.select(F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("_tie"))
+
+
+def _by_rounds(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
+    span = seconds * 1_000_000
+    rows = stored(rows.withColumn("_bucket", F.floor(F.unix_micros("_at") / span)), "rounds", "_bucket")
+    names = {k: f"_k{i}" for i, k in enumerate(key)}
+    same = lambda c: [F.col(k).eqNullSafe(F.col(f"{c}.{n}")) for k, n in names.items()]
+    keyed = lambda df: df.withColumnsRenamed(names)
+    chain = state = None  # inserted rows that were accepted so far; the last of each key
+    for bucket in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):  # as many as the data spans
+        now = rows.where((F.col("_bucket") == bucket) & F.col("_ok"))
+        if state is not None:
+            now = now.join(state.alias("l"), same("l"), "left").where(F.col("_last").isNull() | (F.unix_micros("_at") - F.unix_micros("_last") >= span))
+        first = now.groupBy(*key).agg(F.min(F.struct("_at", "_tie")).alias("_f")).select(*key, "_f._at", "_f._tie", F.lit(bucket).alias("_bucket"))
+        found = stored(first, "accepted")
+        last = keyed(found).select(*names.values(), F.col("_at").alias("_last"))
+        state = last if state is None else stored(state.unionByName(last).groupBy(*names.values()).agg(F.max("_last").alias("_last")), "last")
+        chain = found if chain is None else chain.unionByName(found)
+    opened = keyed(chain).select(*names.values(), F.col("_at").alias("_opened"), F.col("_tie").alias("_by"), F.explode(F.array("_bucket", F.col("_bucket") + 1)).alias("_b")).alias("c")
+    before = (F.col("_opened") < F.col("_at")) | (F.col("_opened") == F.col("_at")) & (F.col("_by") < F.col("_tie"))
+    others = rows.where(~F.col("_ok"))
+    free = others.join(opened, [*same("c"), F.col("_bucket") == F.col("_b"), before, F.unix_micros("_at") - F.unix_micros("_opened") < span], "left_anti")
+    return chain.select("_tie").unionByName(free.select("_tie"))
 
 
 def documents(rows: DataFrame, now: Column) -> DataFrame:

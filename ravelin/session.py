@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stored(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """A table written to the folder that driver and executors share (spark.checkpoint.dir) and read again.
+
+    A folder of our own is made only where nothing is set, as in tests."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="ravelin-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def session(name: str = "ravelin", **conf: str) -> SparkSession:

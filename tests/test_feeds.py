@@ -107,3 +107,15 @@ def test_rejected_inserts_do_not_count_as_seen(spark):
     rows = rows.withColumn("t", F.col("t").cast("timestamp"))
     kept = I.accept_first(rows, ["k"], "t", "id", inserted="ok")
     assert sorted(r["id"] for r in kept.collect()) == [1, 2, 4]
+
+
+def test_keys_with_many_rows_take_rounds(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(k, rng.choice(["a", "a", "a", "b", None]), rng.randrange(0, 9 * 144) * 600, rng.random() < 0.8) for k in range(600)]
+    rows = spark.createDataFrame(data, "id int, k string, s int, ok boolean").withColumn("t", F.timestamp_seconds("s"))
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    for inserted in (None, "ok"):
+        whole = ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted))
+        assert whole == ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted, most=200)) == ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted, most=1))
