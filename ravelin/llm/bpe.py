@@ -31,7 +31,7 @@ PLAIN = r"[\x00-\x7Fß-öø-ÿ]*"
 PLAIN_WORDS = r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-ÿ0-9]+"
 #: Marks the last byte of a word inside the automaton; no byte is written so.
 END = "\x00"
-#: Words that each of a worker's two generations of memory holds at most.
+#: Words that each of a worker's two generations of memory holds at most (some 200 bytes each).
 MEMORY = 400_000
 
 
@@ -83,7 +83,7 @@ class WordBpe:
         self.plain, self.plain_words = re.compile(PLAIN), re.compile(PLAIN_WORDS)
         self.fits: dict[int, bool] = {}
         self.packed = _Memory(lambda word: array("I", self.encode_word(word)).tobytes())
-        self.decoded = _Memory(lambda word: self.decode(array("I", self.packed[word])).encode())
+        self.bytes = [self.text[i].encode() for i in range(len(self.text))]
 
     def stands(self, left: int, right: int) -> bool:
         """Whether merging the text of two neighbours gives just these two tokens.
@@ -135,22 +135,23 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """The tokens' text, joined by spaces: the file names no decoder."""
-        return " ".join(map(self.text.__getitem__, ids))
+        return self.decode_bytes(ids).decode()
+
+    def decode_bytes(self, ids) -> bytes:
+        return b" ".join(map(self.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit integers, decoded text in UTF-8) of a whole text."""
         packed: list[bytes] = []
-        decoded: list[bytes] = []
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
                 packed.append(struct.pack("<I", self.special[part]))
-                decoded.append(part.encode())
             elif part:
                 part = normal(part)
                 words = (self.plain_words if self.plain.fullmatch(part) else self.words).findall(part)
                 packed += map(self.packed.__getitem__, words)
-                decoded += map(self.decoded.__getitem__, words)
-        return b"".join(packed), b" ".join(decoded)
+        ids = b"".join(packed)
+        return ids, self.decode_bytes(array("I", ids))
 
 
 def normal(text: str) -> str:

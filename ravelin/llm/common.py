@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,5 +50,17 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % F.lit(parts), F.lit(-1).cast("bigint"))
 
 
+def runs_by_size(sizes: Sequence[int], limit: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes sum to at most limit; what is larger alone has a slice of its own."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > limit:
+            yield slice(start, k)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, runs_by_size
 
 ORDER = 4
+#: Signs that are scored at once (some 100 bytes of memory each).
+PIECE = 1 << 19
 MAX_DOCS = 3_000
 UNKNOWN = "und"
 _M, _MIX, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
@@ -88,20 +90,36 @@ class Models:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per sign (row per text, column per language), and the number of letters."""
-        order, pad = len(self.grams), np.zeros(len(self.grams) - 1, np.uint32)
         parts = [signs(t) for t in texts]
-        sizes = np.array([len(p) for p in parts])
-        letters = np.array([np.count_nonzero(p) for p in parts])
+        sizes = np.array([len(p) for p in parts], np.int64)
+        letters = np.array([np.count_nonzero(p) for p in parts], np.int64)
+        sums = np.zeros((len(texts), len(self.languages)))
+        context = len(self.grams) - 1
+        for k, part in enumerate(parts):  # a long text in pieces, each after the signs before it
+            if len(part) > PIECE:
+                padded = np.concatenate([np.zeros(context, np.uint32), part])
+                for start in range(0, len(part), PIECE):
+                    sums[k] += self._sums([padded[start : start + PIECE + context]], False)[0]
+                parts[k] = part[:0]
+        for run in runs_by_size([len(p) for p in parts], PIECE):
+            sums[run] += self._sums(parts[run], True)
+        return -sums / np.maximum(sizes, 1)[:, None], letters
+
+    def _sums(self, parts: list[np.ndarray], pads: bool) -> np.ndarray:
+        """Summed log probabilities; without pads the first signs of each part are only context."""
+        order = len(self.grams)
+        pad = np.zeros(order - 1 if pads else 0, np.uint32)
+        sizes = np.array([len(p) - (0 if pads else order - 1) for p in parts])
         flat = np.concatenate([x for p in parts for x in (pad, p)]).astype(np.uint64)
-        starts = np.cumsum(sizes + len(pad)) - sizes
+        starts = np.cumsum(sizes + order - 1) - sizes
         at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         logs = self._logs([flat[at - k] for k in range(order - 1, -1, -1)], order)
         begin = np.cumsum(sizes) - sizes
-        sums = np.zeros((len(texts), len(self.languages)))
+        sums = np.zeros((len(parts), len(self.languages)))
         full = sizes > 0
         if full.any():
             sums[full] = np.add.reduceat(logs, begin[full], axis=0)
-        return -sums / np.maximum(sizes, 1)[:, None], letters
+        return sums
 
     def _logs(self, columns: list[np.ndarray], k: int) -> np.ndarray:
         place = self.grams[k - 1].find(_hash(columns))

@@ -427,3 +427,18 @@ def test_every_query_runs_over_its_table(spark):
     for name, query in queries.queries().items():
         if name.startswith("op"):
             assert query(spark, SF).count() == sizes["pages" if name in ("op2_urls", "op9_html") else "documents"], name
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    text = [w.encode() for w in ("the cat sat on the mat and the bat sat on a hat " * 40).split()]
+    trie, *_ = ppm._train(spark.createDataFrame([(b" ".join(text),)], "_text binary"))
+    whole = trie.score([text, [], text[:7]])
+    monkeypatch.setattr(ppm, "PIECE", 50)
+    assert np.allclose(trie.score([text, [], text[:7]]), whole)
+    sample = spark.createDataFrame([(k, "aba cab dab " * 30 if k % 2 else "xyz zzy yxy " * 30, "a" if k % 2 else "x") for k in range(60)], "doc_id long, text string, lang string")
+    models = language.train(sample, "doc_id", "text", "lang")
+    texts = ["aba dab " * 50, "", "zzy", "123"]
+    h, letters = models.entropies(texts)
+    monkeypatch.setattr(language, "PIECE", 17)
+    again, more = models.entropies(texts)
+    assert np.allclose(h, again, atol=1e-4) and (letters == more).all()
