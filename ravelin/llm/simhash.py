@@ -153,6 +153,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.df.select(F.col("u").alias("v"), F.col("v").alias("label"))
 
 
+def labelled(own: DataFrame, distinct: DataFrame, stars: DataFrame, id_col: str) -> DataFrame:
+    """id_col, fp, component_id for every row of own; distinct has fp and first_id, stars the labels of linked fps."""
+    of_fp = distinct.join(stars.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    least = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_fp = of_fp.join(least, "label").select("fp", "component_id")
+    return own.join(of_fp, "fp").select(id_col, "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
     """id_col, fp, component_id (the least id that links reach) for every row of docs.
 
@@ -161,8 +169,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty table gives an empty result."""
     own = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
-    stars = components(links(distinct, max_bits))
-    labelled = distinct.join(stars.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_fp = labelled.join(least, "label").select("fp", "component_id")
-    return own.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    return labelled(own, distinct, components(links(distinct, max_bits)), id_col)
