@@ -114,13 +114,14 @@ def _lookup(index: DataFrame, windows: list[tuple], counts: np.ndarray, size: in
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, near: float = 0.8
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, near: float = 0.8, with_keys: bool = False
 ) -> DataFrame:
     """id_col, n_words, n_hit, items (sorted array), n_near (windows that are close but not exact) for every row of docs.
 
     A word is hit if an exact occurrence of a window of `size` item words covers it; shorter items are one window,
     items without words none. Nulls have no words. Repeated rows of docs each come back, repeated items count
-    once; other columns are ignored. An empty benchmark hits nothing."""
+    once; other columns are ignored. An empty benchmark hits nothing. with_keys adds _k1 and _k2, the row_keys of id
+    and text."""
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), *row_keys(F.col(id_col), F.col(text_col)), text.alias("_text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("item is not null and t is not null").distinct()
@@ -155,7 +156,7 @@ def overlaps(
     per_doc = per_doc.select("_k1", "_k2", "items", "n_near", F.aggregate("spans", nothing, cover, lambda acc: acc["covered"]).cast("bigint").alias("n_hit"))
     none, no_items = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     return counted.join(per_doc, ["_k1", "_k2"], "left").select(
-        F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_near", none).alias("n_near")
+        F.col("_id").alias(id_col), *(("_k1", "_k2") if with_keys else ()), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_near", none).alias("n_near")
     )
 
 

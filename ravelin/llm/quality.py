@@ -8,12 +8,12 @@ into arrays and walked by numpy for whole batches, all rows one level down at a
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, stored
@@ -49,17 +49,18 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and `stats` (array of float) for every row."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: Sequence[Column] = ()) -> DataFrame:
+    """id_col, the keys (64-bit numbers) and `stats` (array of float) for every row."""
+    own = docs.select(F.col(text_col).cast("binary"), F.col(id_col), *keys)
+    names = own.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.array([statistics(t or b"") for t in batch.column(1).to_pylist()], dtype=np.float32).reshape(-1)
+            flat = np.array([statistics(t or b"") for t in batch.column(0).to_pylist()], dtype=np.float32).reshape(-1)
             cuts = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=[id_col, "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=[*names, "stats"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, stats array<float>")
+    return own.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes[1:]) + ", stats array<float>")
 
 
 @dataclass
@@ -137,19 +138,19 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     return grow(x, (rows["_y"].to_numpy(dtype=np.float64) >= 0.5).astype(np.float64))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, cut: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
-    """id_col, held_out, score, predicted for every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, cut: float = 0.3, max_train: int = MAX_TRAIN, keys: Sequence[Column] = ()) -> DataFrame:
+    """id_col, the keys if any, held_out, score, predicted for every row of docs.
 
     Scores come from the text alone. Null texts count as empty ones; a null id is never held out; repeated rows
     each come back; other columns are ignored. Without labelled rows all scores are 0.5."""
-    stats = stored(features(docs, id_col, text_col), "statistics")
+    stats = stored(features(docs, id_col, text_col, keys), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(train(stats, labels, id_col, label_col, held_out, max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(x))], names=[id_col, "score"])
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.value.score(x))], names=[*names, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = stats.mapInArrow(run, f"`{id_col}` {kind}, score double")
-    return scored.select(id_col, (fold(F.col(id_col), held_out) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    names = stats.columns[:-1]
+    scored = stats.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in stats.dtypes[:-1]) + ", score double")
+    return scored.select(*names, (fold(F.col(id_col), held_out) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
