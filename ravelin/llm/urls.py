@@ -2,6 +2,7 @@
 
 All glob rules are packed into one multiword Shift-And mask: a bit per literal character, a self-loop where a star
 follows. One step per byte moves every rule at once, for a whole batch of canonical URLs (host and path) in numpy.
+Rules see a separator between host and path; the blocking globs see both as one string.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands between host and path where rules are matched; no UTF-8 text holds this byte.
+SEPARATOR = b"\xff"
 
 
 @dataclass(frozen=True)
@@ -30,8 +33,10 @@ class UrlRule:
         return self.host + self.path
 
     @property
-    def globs(self) -> tuple[str, ...]:
-        return f"{self.host}{self.path}*", f"*.{self.host}{self.path}*"
+    def globs(self) -> tuple[bytes, ...]:
+        """Over host, SEPARATOR and path: what the leading star stands for ends in the host."""
+        own = self.host.encode() + SEPARATOR + self.path.encode()
+        return own + b"*", b"*." + own + b"*"
 
 
 #: The rules of the query.
@@ -43,11 +48,11 @@ BLOCKED = ("spam-*", "*.spam-*", "*cheap-pills*", "*casino*", "*/wp-login*", "*.
 class GlobSet:
     """Globs (literals and *, matching whole strings of bytes) as masks over `words` 64-bit words."""
 
-    def __init__(self, globs: list[str]):
+    def __init__(self, globs: list[str] | list[bytes]):
         bits: list[tuple[int, bool]] = []  # (byte, whether a star follows) of each literal
         self.first, self.free, self.last, self.empty = [], [], [], []
         for glob in globs:
-            data = glob.encode()
+            data = glob.encode() if isinstance(glob, str) else glob
             literal = data.replace(b"*", b"")
             self.empty.append(not literal)
             self.first.append(len(bits))
@@ -110,16 +115,17 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = parts(F.col(url_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = GlobSet([g for g, _ in globs] + list(blocked))
+        by_rule, by_sign = GlobSet([g for g, _ in globs]), GlobSet(list(blocked))
         by_length = sorted(rules, key=lambda r: -len(r.name))
         for batch in batches:
-            strings = [h + p for h, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            hit = automaton.match(strings)
+            pairs = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True))
+            strings = [h + p for h, p in pairs]
+            hit, sign = by_rule.match([h + SEPARATOR + p for h, p in pairs]), by_sign.match(strings)
             rule = np.full(len(strings), None, object)
             verdict = np.full(len(strings), "allow", object)
             glob = np.full(len(strings), None, object)
             for k in reversed(range(len(blocked))):
-                at = hit[:, len(globs) + k]
+                at = sign[:, k]
                 verdict[at], glob[at] = "block", blocked[k]
             for r in reversed(by_length):
                 at = hit[:, [k for k, (_, of) in enumerate(globs) if of is r]].any(axis=1)
