@@ -1,11 +1,15 @@
 """Language-model scores by prediction by partial matching over bytes, with a word model beside them.
 
 The text is scored as its lower-case words, a space between two and an end sign after the last, byte by byte. All
-training texts are counted in Spark; the byte-context trie keeps the contexts of up to five bytes that hold at least
-one in `1 / MIN_SHARE` of all training places (so at most that many of each length). Escape estimates are those of
-method D, and a symbol that a longer context has seen is excluded from the shorter ones. As the trie is fixed
-after training, the code length of each symbol in each context is worked out once; scoring a text is one look-up
-of the longest context and one of the symbol for each byte, whole batches at a time.
+training texts are counted in Spark, for contexts of five bytes and then of one byte less at a time; every context
+that occurs stays in these tables. Escape estimates are those of method D, and a symbol that a longer context has seen
+is excluded from the shorter ones.
+
+The trie is fixed after training, so each symbol has one code length in each context. For the frequent contexts (as
+many as HEAD_CELLS numbers can hold) these are worked out as one array and sent to all executors; scoring a byte there
+is two look-ups, whole batches at a time. The other places of a text leave the task as packed bytes, whose code
+lengths Spark works out from the counts, each distinct one once, and joins back. The bound moves work between the two
+ways; scores don't depend on it.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import fold, runs_by_size, stored
 
 ORDER = 5
-MIN_SHARE = 1 / 200_000
+#: Code lengths (contexts x symbols, four bytes each) that are sent to all executors at most.
+HEAD_CELLS = 12_000_000
 #: Words with at least this share of all training tokens are sent to all executors: 100,000 words at most.
 COMMON_SHARE = 1e-5
 #: Start padding and end sign; words and the spaces between them never hold it.
@@ -65,10 +70,7 @@ def _count(docs: DataFrame) -> DataFrame:
                     yield counted(list(words.keys()), list(words.values()))
                     words.clear()
                 for flat, at, _ in _pieces(texts):
-                    code = np.zeros(len(at), np.int64)
-                    for k in range(ORDER, -1, -1):
-                        code = code << 8 | flat[at - k]
-                    code, n = np.unique(code, return_counts=True)
+                    code, n = np.unique(_packed(flat, at), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n)], names=["word", "gram", "n"])
             if batch.num_rows:
                 yield counted([*words.keys(), None], [*words.values(), batch.num_rows])
@@ -86,11 +88,13 @@ class Trie:
     symbol: np.ndarray  # byte -> symbol; the last symbol stands for all bytes without training
     three: np.ndarray  # the last three symbols -> context
     deeper: list[tuple[int, np.ndarray]]  # for four symbols and more: the first context that is one shorter, (its place from there, symbol before it) -> context
+    full: int  # the first context of ORDER symbols; 0 without training
     cost: np.ndarray  # (context, symbol) -> log10 probability
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        total, width = np.zeros(len(texts)), self.cost.shape[1]
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text over the places whose whole context is here; the other places of all texts, packed, and their number in each text."""
+        total, left, width = np.zeros(len(texts)), np.zeros(len(texts), np.int64), self.cost.shape[1]
+        codes = [np.empty(0, np.int64)]
         for flat, at, of in _pieces(texts):
             s = self.symbol[flat]
             near = (s[at - 3] * width + s[at - 2]) * width + s[at - 1]
@@ -98,67 +102,67 @@ class Trie:
             for k, (first, table) in enumerate(self.deeper, 4):
                 from_here = np.flatnonzero(context >= first)  # the others have no context of this length
                 context[from_here] = table[(context[from_here] - first) * width + s[at[from_here] - k]]
-            total += np.bincount(of, self.cost.ravel()[context * width + s[at]], minlength=len(texts))
-        return total
+            out = np.flatnonzero(context < self.full)
+            codes.append(_packed(flat, at[out]))
+            left += np.bincount(of[out], minlength=len(texts))
+            logs = self.cost.ravel()[context * width + s[at]]
+            logs[out] = 0
+            total += np.bincount(of, logs, minlength=len(texts))
+        return total, np.concatenate(codes), left
+
+
+def _packed(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes at some places and the ORDER bytes before them in one number each, the latest lowest."""
+    code = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        code = code << 8 | flat[at - k]
+    return code
 
 
 def _trie(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-    """From the counts (context, byte, n) of each length of context, as bytes packed with the latest lowest; contexts of length 0 are 0."""
+    """From the counts (context, byte, n) of each length of context; a context's shorter ends are all there too."""
     seen = np.unique(orders[0][1])
     symbol = np.full(256, len(seen), np.int32)
     symbol[seen] = np.arange(len(seen))
     width = len(seen) + 1
-    rows, ids, first, tables = {(0, 0): 0}, 1, [0], [np.zeros((1, width), np.float32)]
+    kept = [np.zeros(1, np.int64), *(np.unique(context) for context, _, _ in orders[1:])]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
+    counted = np.zeros((first[-1], width), np.float32)
+    parent = np.zeros(first[-1], np.int64)
     for k, (context, byte, n) in enumerate(orders):
-        kept, to = np.unique(context, return_inverse=True)
-        c = np.zeros((len(kept), width), np.float32) if k else tables[0]
-        c[to, symbol[byte]] = n  # each pair once
+        counted[first[k] + np.searchsorted(kept[k], context), symbol[byte]] = n  # each pair once
         if k:
-            tables.append(c)
-            first.append(ids)
-            rows.update(((k, int(x)), ids + j) for j, x in enumerate(kept))
-            ids += len(kept)
-    counted = np.concatenate(tables)
-    del tables
-    parent = np.zeros(ids, np.int64)  # the longest kept proper suffix
-    length = np.zeros(ids, np.int64)
-    for (k, x), row in rows.items():
-        length[row] = k
-        for shorter in range(k - 1, -1, -1):
-            if (other := rows.get((shorter, x & (256**shorter - 1)))) is not None:
-                parent[row] = other
-                break
-    cost = np.empty((ids, width), np.float32)
-    for begin in range(0, ids, 4096):
-        at = np.arange(begin, min(ids, begin + 4096))
-        out = np.full((len(at), width), -np.inf)
-        left, excluded, level, live = np.zeros(len(at)), np.zeros((len(at), width), bool), at.copy(), np.ones(len(at), bool)
+            parent[first[k] : first[k + 1]] = first[k - 1] + np.searchsorted(kept[k - 1], kept[k] & (256 ** (k - 1) - 1))
+    cost = np.empty(counted.shape, np.float32)
+    for begin in range(0, len(cost), 4096):
+        level = np.arange(begin, min(len(cost), begin + 4096))
+        out = np.full((len(level), width), -np.inf)
+        left, excluded, live = np.zeros(len(level)), np.zeros((len(level), width), bool), np.ones(len(level), bool)
         while live.any():
             c = np.where(excluded, 0, counted[level]).astype(np.float64) * live[:, None]
             total, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
-            with np.errstate(divide="ignore"):
-                new = np.log10(np.maximum(c - 0.5, 0.5)) - np.log10(np.maximum(total, 1))[:, None] + left[:, None]
-                out = np.where(c > 0, new, out)
-                left += np.where(total > 0, np.log10(kinds / 2 / np.maximum(total, 1), where=kinds > 0, out=np.zeros(len(at))), 0)
+            new = np.log10(np.maximum(c - 0.5, 0.5)) - np.log10(np.maximum(total, 1))[:, None] + left[:, None]
+            out = np.where(c > 0, new, out)
+            left += np.where(total > 0, np.log10(np.maximum(kinds, 1) / 2 / np.maximum(total, 1)), 0)
             excluded |= c > 0
-            root = level == 0
-            live &= ~root
-            level = np.where(root, level, parent[level])
+            live &= level > 0
+            level = parent[level]
         # what no context has seen is equally likely among the 256 bytes left
         unseen = 256 - excluded.sum(axis=1)
-        cost[at] = np.where(excluded, out, (left - np.log10(np.maximum(unseen, 1)))[:, None])
+        cost[begin : begin + len(level)] = np.where(excluded, out, (left - np.log10(np.maximum(unseen, 1)))[:, None])
     three = np.zeros(width**3, np.int32)
     grid = three.reshape(width, width, width)
-    unpack = lambda x, k: [symbol[x >> (8 * j) & 255] for j in range(k - 1, -1, -1)]
-    first.append(ids)
-    deeper = [(first[k - 1], np.repeat(np.arange(first[k - 1], first[k], dtype=np.int32), width)) for k in range(4, ORDER + 1)]
-    for (size, x), row in sorted(rows.items(), key=lambda item: item[0][0]):
-        if 0 < size < 4:
-            grid[(..., *unpack(x, size))] = row
-        elif size >= 4:  # the suffix is kept as well: it is at least as frequent
-            start, table = deeper[size - 4]
-            table[(rows[size - 1, x & (256 ** (size - 1) - 1)] - start) * width + symbol[x >> (8 * size - 8)]] = row
-    return Trie(symbol, three, deeper, cost)
+    for k in range(1, 4):
+        ends = [symbol[kept[k] >> (8 * j) & 255] for j in range(k - 1, -1, -1)]
+        ids = np.arange(first[k], first[k + 1], dtype=np.int32)
+        grid[(..., *ends)] = ids  # for shorter ends the symbols before don't matter
+    deeper = []
+    for k in range(4, ORDER + 1):
+        table = np.repeat(np.arange(first[k - 1], first[k], dtype=np.int32), width)
+        ids = np.arange(first[k], first[k + 1])
+        table[(parent[ids] - first[k - 1]) * width + symbol[kept[k] >> (8 * k - 8)]] = ids
+        deeper.append((int(first[k - 1]), table))
+    return Trie(symbol, three, deeper, int(first[ORDER]) if len(seen) else 0, cost)
 
 
 @dataclass
@@ -169,40 +173,96 @@ class Words:
     logs: np.ndarray
 
 
-def _train(docs: DataFrame) -> tuple[Trie, Words, DataFrame, dict]:
-    """The trie, the common words, the counts of the others by hash, and the totals."""
+def _levels(grams: DataFrame) -> list[DataFrame]:
+    """(context, byte, n) for each length of context, each counted from the one that is a byte longer."""
+    here = grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
+    levels = [here]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = here.select(F.col("context").bitwiseAND(F.lit(256**k - 1).cast("bigint")).alias("context"), "byte", "n")
+        here = stored(shorter.groupBy("context", "byte").agg(F.sum("n").alias("n")), "contexts")
+        levels.append(here)
+    return levels[::-1]
+
+
+def _head(levels: list[DataFrame], cells: int) -> Trie:
+    """The trie of the contexts that occur at least so often that their code lengths fit in so many cells.
+
+    A context's shorter ends occur at least as often, so they are in it too."""
+    totals = [c.groupBy("context").agg(F.sum("n").alias("total")) for c in levels]
+    step = F.floor(F.log2("total") * 8).cast("int")
+    sizes = None
+    for t in totals[1:]:
+        part = t.select(step.alias("step"))
+        sizes = part if sizes is None else sizes.unionByName(part)
+    by_step = {r["step"]: r["count"] for r in sizes.groupBy("step").count().collect()}  # eight rows for each power of two
+    width = levels[0].count() + 1
+    held, least = 1, max(by_step, default=0) + 1
+    while least > 0 and (held := held + by_step.get(least - 1, 0)) * width <= cells:
+        least -= 1
+    parts = [levels[0].toPandas()]
+    for counted, total in zip(levels[1:], totals[1:], strict=True):
+        frequent = total.where(step >= least).select("context")
+        parts.append(counted.join(frequent, "context", "left_semi").select("context", F.col("byte").cast("smallint"), "n").toPandas())  # within `cells`
+    return _trie([tuple(p[c].to_numpy() for c in ("context", "byte", "n")) for p in parts])
+
+
+def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(gram, cost): the code length, as log10 probability, of the last byte after the others, for each distinct packed place.
+
+    From the longest context down: where it has seen the byte, its share of what longer ones have not excluded; else an
+    escape. What a context excludes from the next is `below`, the count that its bytes have there."""
+    state = places.select("gram", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(0).cast("bigint").alias("below"), F.lit(0).cast("bigint").alias("kinds"))
+    done: DataFrame | None = None
+    for k in range(ORDER, -1, -1):
+        here = F.shiftright("gram", 8).bitwiseAND(F.lit(256**k - 1).cast("bigint"))
+        state = state.withColumns({"context": here, "byte": F.col("gram").bitwiseAND(F.lit(255)).cast("int")})
+        own = levels[k].join(state.select("context").distinct(), "context", "left_semi")
+        if k:
+            shorter = levels[k - 1].select(F.col("context").alias("suffix"), "byte", F.col("n").alias("m"))
+            own = own.withColumn("suffix", F.col("context").bitwiseAND(F.lit(256 ** (k - 1) - 1).cast("bigint"))).join(shorter, ["suffix", "byte"])
+        else:
+            own = own.withColumn("m", F.lit(0).cast("bigint"))
+        own = stored(own.select("context", "byte", "n", "m"), "around")
+        sums = own.groupBy("context").agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds"), F.sum("m").alias("_below"))
+        found = state.join(sums, "context", "left").join(own.select("context", "byte", F.col("n").alias("_n")), ["context", "byte"], "left")
+        rest, new = F.col("_total") - F.col("below"), F.col("_kinds") - F.col("kinds")
+        escape = F.when(rest > 0, F.log10(new / 2 / rest)).otherwise(F.lit(0.0))
+        hit = F.col("_n").isNotNull()
+        cost = F.col("cost") + F.when(hit, F.log10((F.col("_n") - 0.5) / rest)).when(F.col("_total").isNotNull(), escape).otherwise(F.lit(0.0))
+        if not k:
+            cost = F.when(hit, cost).otherwise(cost - F.log10(256 - F.coalesce("_kinds", F.lit(0))))
+        after = stored(found.select("gram", cost.alias("cost"), hit.alias("done"), F.coalesce("_below", "below").alias("below"), F.coalesce("_kinds", "kinds").alias("kinds")), "places")
+        ended = after.where("done" if k else "true").select("gram", "cost")
+        done = ended if done is None else done.unionByName(ended)
+        state = after.where("not done")
+    return done
+
+
+def _train(docs: DataFrame, cells: int = HEAD_CELLS) -> tuple[Trie, list[DataFrame], Words, DataFrame, dict]:
+    """The frequent part of the trie, the counts of all contexts, the common words, the counts of the others by hash, and the totals."""
     counted = stored(_count(docs), "counted")
     words = counted.where("gram is null")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("texts")).first().asDict()
-    grams = counted.where("gram is not null")
-    places = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    orders = F.explode(F.array(*[F.lit(k) for k in range(ORDER + 1)]))
-    each = grams.select(orders.alias("order"), "gram", "n")
-    context = F.shiftright("gram", 8).bitwiseAND(F.element_at(F.array(*[F.lit(256**k - 1).cast("bigint") for k in range(ORDER + 1)]), F.col("order") + 1))
-    each = each.select("order", context.alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
-    each = stored(each.groupBy("order", "context", "byte").agg(F.sum("n").alias("n")), "contexts")
-    kept = each.groupBy("order", "context").agg(F.sum("n").alias("total")).where((F.col("order") == 0) | (F.col("total") >= places * MIN_SHARE))
-    rows = stored(each.join(kept.select("order", "context"), ["order", "context"], "left_semi"), "kept")
-    parts = [rows.where(F.col("order") == k).select("context", F.col("byte").cast("smallint"), "n").toPandas() for k in range(ORDER + 1)]  # bounded by MIN_SHARE
-    trie = _trie([tuple(p[c].to_numpy() for c in ("context", "byte", "n")) for p in parts])
-    del parts
+    levels = _levels(counted.where("gram is not null"))
+    trie = _head(levels, cells)
     least = totals["tokens"] * COMMON_SHARE
     words = words.where("word is not null")
     common = words.where(F.col("n") >= least).select("word", "n").toPandas()
     place = {bytes(w): k for k, w in enumerate(common["word"])}
     logs = np.log10(common["n"].to_numpy(np.float64) + 0.1)
     rare = words.where(F.col("n") < least).select(F.xxhash64("word").alias("hash"), F.col("n").alias("c"))
-    return trie, Words(place, logs), rare, totals
+    return trie, levels, Words(place, logs), rare, totals
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, out: int = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, out: int = 0, cells: int = HEAD_CELLS) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Training takes the rows outside the fold `out`, those with a null id included. Null texts are empty: their only
     token is the end. Rare words meet their counts by a 64-bit hash. Without any training row all words are unknown
-    and all bytes equally likely. Other columns are ignored; repeated rows each count and come back."""
+    and all bytes equally likely. Other columns are ignored; repeated rows each count and come back. cells bounds what
+    is sent to all executors; the scores don't depend on it."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    trie, words, rare, totals = _train(rows.where(fold(F.col("_id"), folds) != out))
+    trie, levels, words, rare, totals = _train(rows.where(fold(F.col("_id"), folds) != out), cells)
     context = docs.sparkSession.sparkContext
     model = context.broadcast((trie, words))
 
@@ -223,26 +283,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                     hashes += [xxhash.xxh64_intdigest(t[k], 42) for k in off]
                     cuts.append(len(hashes))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)))
-                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(trie.score(texts)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_id", "n_tokens", "known", "logs", "score", "rare"])
+                total, codes, left = trie.score(texts)
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.array(codes))
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), lists, places]
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_id", "n_tokens", "known", "logs", "score", "rare", "places"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
-    scored = stored(numbered.mapInArrow(run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"), "scored")
+    scored = stored(numbered.mapInArrow(run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, places array<bigint>"), "scored")
     asked = scored.select("_row", F.explode("rare").alias("hash"))
     found = asked.join(rare, "hash").groupBy("_row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("c") + 0.1)).alias("found_logs"))
+    left = scored.select("_row", F.explode("places").alias("gram"))
+    costs = _costs(left.select("gram").distinct(), levels)
+    priced = left.join(costs, "gram").groupBy("_row").agg(F.sum("cost").alias("rest"))
     zero = F.lit(0).cast("bigint")
     total = float(totals["tokens"]) + 0.1 * (totals["kinds"] + 1)
     end_logs = float(np.log10(totals["texts"] + 0.1))
     found_n = F.coalesce("found", zero)
-    unknown = F.size("rare") - found_n
+    unknown = F.col("n_rare") - found_n
     base = F.col("logs") + F.coalesce("found_logs", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.1))) + F.lit(end_logs) - F.col("n_tokens") * F.lit(float(np.log10(total)))
-    return scored.join(found, "_row", "left").select(
+    scored = scored.withColumn("n_rare", F.size("rare")).drop("rare", "places")
+    return scored.join(found, "_row", "left").join(priced, "_row", "left").select(
         F.col("_id").alias(id_col),
         (fold(F.col("_id"), folds) == out).alias("held_out"),
         "n_tokens",
         (F.col("known") + found_n + F.lit(int(totals["texts"] > 0))).alias("n_known"),
         F.lit(int(totals["tokens"])).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

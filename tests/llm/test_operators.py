@@ -305,19 +305,29 @@ def brute_ppm(counts, text):
     return total
 
 
-def test_ppm_trie(spark, monkeypatch):
-    texts = ["the cat sat on the mat", "the bat", "a cat and a hat", "that"] * 2
+@pytest.mark.parametrize("cells", [10**7, 800, 0])
+def test_ppm_contexts_of_every_frequency_count(spark, cells):
+    """Whatever part of the trie is sent to the executors, scores are those of all contexts."""
+    own = ["the cat sat on the mat", "the bat", "a cat and a hat", "that", "The cat sat on the mat", "a bat sat", None, "the zebra xyz é", "", "that hat on the bat", "the cat zat on the zat " * 30]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id int, text string").repartition(3)
+    plain = [b" ".join((t or "").lower().encode().split()) for t in own]
+    folds = next(f for f in range(2, 9) if 2 < sum(zlib.crc32(str(k).encode()) % f == 0 for k in range(len(own))) < 7)
+    held = [zlib.crc32(str(k).encode()) % folds == 0 for k in range(len(own))]
     counts = {}
-    for t in texts:
-        padded = ppm._PAD + t.encode() + bytes([ppm.EDGE])
-        for k in range(ppm.ORDER, len(padded)):
+    for t, out in zip(plain, held, strict=True):
+        padded = ppm._PAD + t + bytes([ppm.EDGE])
+        for k in range(ppm.ORDER, 0 if out else len(padded)):
             for size in range(ppm.ORDER + 1):
                 c = counts.setdefault(padded[k - size : k], {})
                 c[padded[k]] = c.get(padded[k], 0) + 1
-    monkeypatch.setattr(ppm, "MIN_SHARE", 0)
-    trie, *_ = ppm._train(spark.createDataFrame([(t.encode(),) for t in texts], "_text binary"))
-    for t in ["the cat", "the zebra", "", "xyz é", "that hat on the bat"]:
-        assert np.isclose(trie.score([t.encode().split()])[0], brute_ppm(counts, t.encode()), atol=1e-4)
+    found = {r["doc_id"]: (r["held_out"], r["score"]) for r in ppm.score(df, folds=folds, cells=cells).collect()}
+    assert [found[k][0] for k in range(len(own))] == held
+    assert np.allclose([found[k][1] for k in range(len(own))], [brute_ppm(counts, t) for t in plain], atol=1e-3)
+
+
+def test_ppm_without_training_rows(spark):
+    df = spark.createDataFrame([(k, "abc") for k in range(3)], "doc_id int, text string")
+    assert np.allclose([r["score"] for r in ppm.score(df, folds=1).collect()], -4 * np.log10(256), atol=1e-4)
 
 
 def brute_overlap(data, items):
@@ -432,9 +442,10 @@ def test_every_query_runs_over_its_table(spark):
 def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
     text = [w.encode() for w in ("the cat sat on the mat and the bat sat on a hat " * 40).split()]
     trie, *_ = ppm._train(spark.createDataFrame([(b" ".join(text),)], "_text binary"))
-    whole = trie.score([text, [], text[:7]])
+    texts = [text, [], text[:7] + [b"new", b"words"]]
+    whole = trie.score(texts)
     monkeypatch.setattr(ppm, "PIECE", 50)
-    assert np.allclose(trie.score([text, [], text[:7]]), whole)
+    assert all(np.allclose(a, b) for a, b in zip(trie.score(texts), whole, strict=True))
     sample = spark.createDataFrame([(k, "aba cab dab " * 30 if k % 2 else "xyz zzy yxy " * 30, "a" if k % 2 else "x") for k in range(60)], "doc_id long, text string, lang string")
     models = language.train(sample, "doc_id", "text", "lang")
     texts = ["aba dab " * 50, "", "zzy", "123"]
