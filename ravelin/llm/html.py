@@ -1,15 +1,20 @@
 """Main text of HTML pages by removing site templates.
 
-Every container element of a page is hashed with all that it holds; the hashes are counted per host in Spark, and
-subtrees that recur across many pages of their host are deleted. Elements whose tag, role or class says that they
-are no article (menus, footers, adverts, forms, comments ...) go on every page, and where a page marks an article
-or main element, only what is inside remains.
+Every container element of a page is hashed with all that it holds, from the innermost outwards. Spark counts, per host
+and hash, how many different surroundings (the rest of the page's text) a subtree has; those with many are part of the
+site's template and are deleted. Copies of a page, and a container that holds all of its text, have one surrounding
+however often they occur. What the counts can't see, as its text differs from page to page, goes by fixed names: tags,
+roles and classes of menus, footers, adverts, forms, comments; and where a page marks an article or main element, only
+what is inside remains.
+
+Headings, and paragraphs inside an article, are not counted: many articles of a site share a heading or a sentence.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,11 +42,13 @@ HINTS = re.compile(
     r"masthead|site-?header|page-?header|skip-?link|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
-#: Containers whose subtrees are hashed and counted; paragraphs only outside an article.
+#: Containers whose subtrees are counted; paragraphs only outside an article, with a link or so many words.
+PARAGRAPH_WORDS = 8
 CONTAINERS = frozenset("nav footer aside header form div section ul ol table figure details fieldset menu blockquote dl center".split())
 MAIN = ("article", "main")
-#: A subtree recurs when at least so many pages of the host, and this share of them, hold it.
-MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A subtree recurs when it has at least so many different surroundings on its host.
+MIN_PAGES = 5
+_ALL = (1 << 64) - 1
 
 
 def _hidden(tag: str, attributes: str, in_article: bool) -> bool:
@@ -55,14 +62,17 @@ def _hidden(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Page:
-    """A page's text pieces, each with the hashes of the containers around it, and the hashes of all containers."""
+    """A page's text pieces, each with the innermost container around it, and the containers with their hashes."""
 
-    def __init__(self, source: str):
-        self.source = source
-        self.open: list[list] = []  # tag, place in signature, hidden, container's number or None, is article
-        self.signature: list[str] = []
+    def __init__(self, source: str, names: bool = True):
+        self.names = names  # whether parts with a name that is no article's are left out
+        self.open: list[list] = []  # tag, what it holds for the hash, hidden, container's number or None, is article
+        self.depth: Counter = Counter()  # open elements by tag
+        self.around: list[int] = [-1]
         self.hashes: list[int] = []
-        self.pieces: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in an article, containers around
+        self.up: list[int] = []  # the container around each container
+        self.spans: list[list[int]] = []  # first piece, piece after the last, words (links count as many)
+        self.pieces: list[tuple[str, bool, int]] = []  # text, in an article, innermost container
         self.hidden = self.articles = 0
         self.has_article = False
         at, lower = 0, None
@@ -89,46 +99,59 @@ class Page:
 
     def _text(self, raw: str) -> None:
         if not self.hidden:
-            text = entities.unescape(raw) if "&" in raw else raw
-            self.pieces.append((text, self.articles > 0, tuple(o[3] for o in self.open if o[3] is not None)))
-        if not raw.isspace():
-            self.signature.append(" ".join(raw.split()))
+            self.pieces.append((entities.unescape(raw) if "&" in raw else raw, self.articles > 0, self.around[-1]))
+        if self.open and not raw.isspace():
+            self.open[-1][1].append(" ".join(raw.split()).encode("utf-8", "surrogatepass"))
 
     def _gap(self) -> None:
         if self.pieces and self.pieces[-1][0] != " ":
-            self.pieces.append((" ", True, ()))
+            self.pieces.append((" ", True, -1))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self._gap()
-        if tag in CLOSES_P and any(o[0] == "p" for o in self.open):
+        if tag in CLOSES_P and self.depth["p"]:
             self._close("p", within=("button", "td", "th", "caption", "object", *MAIN, "div", "section"))
         for other in SIBLINGS.get(tag, ()):
             self._close(other, within=("ul", "ol", "menu", "dl", "table", "select"))
-        self.signature.append(f"<{tag}")
         if tag in VOID or attributes.endswith("/") and tag not in MAIN and tag not in CONTAINERS:
+            if self.open:
+                self.open[-1][1].append(b"<" + tag.encode("utf-8", "surrogatepass"))
             return
-        hidden = _hidden(tag, attributes, self.articles > 0)
+        hidden = _hidden(tag, attributes, self.articles > 0) if self.names else tag in RAW or tag == "head"
         counted = tag in CONTAINERS or tag == "p" and not self.articles
         if counted:
+            self.up.append(self.around[-1])
+            self.around.append(len(self.hashes))
             self.hashes.append(0)
+            self.spans.append([len(self.pieces), 0, PARAGRAPH_WORDS if tag != "p" else 0])
+        elif tag == "a" and self.around[-1] >= 0:
+            self.spans[self.around[-1]][2] = PARAGRAPH_WORDS
         article = tag in MAIN and not self.hidden
-        self.open.append([tag, len(self.signature) - 1, hidden, len(self.hashes) - 1 if counted else None, article])
+        self.open.append([tag, [], hidden, self.around[-1] if counted else None, article])
+        self.depth[tag] += 1
         self.hidden += hidden
         self.articles += article
         self.has_article |= article
 
     def _pop(self) -> None:
-        tag, place, hidden, number, article = self.open.pop()
-        self.signature.append(">")
+        tag, holds, hidden, number, article = self.open.pop()
+        self.depth[tag] -= 1
+        own = xxhash.xxh64_intdigest(b"\n".join([tag.encode("utf-8", "surrogatepass"), *holds]))
+        if self.open:
+            self.open[-1][1].append(b"<%d>" % own)
         if number is not None:
-            self.hashes[number] = xxhash.xxh64_intdigest("\n".join(self.signature[place:])) - (1 << 63)
+            self.hashes[number] = own
+            self.spans[number][1] = len(self.pieces)
+            self.around.pop()
         self.hidden -= hidden
         self.articles -= article
         if tag not in INLINE:
             self._gap()
 
     def _close(self, tag: str, within: tuple[str, ...] = ()) -> None:
+        if not self.depth[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -137,55 +160,76 @@ class Page:
             if self.open[k][0] in within or not within and self.open[k][0] in MAIN and tag not in ("body", "html", *MAIN):
                 return
 
-    def main(self) -> list[tuple[str, tuple[int, ...]]]:
-        """The pieces of the article, or of the whole page if it marks none, with the hashes around them."""
-        return [(t, tuple(self.hashes[n] for n in around)) for t, inside, around in self.pieces if inside or not self.has_article]
+    def main(self) -> list[tuple[str, int]]:
+        """The pieces of the article, or of the whole page if it marks none, with the innermost container around each."""
+        return [(t, c) for t, inside, c in self.pieces if inside or not self.has_article]
+
+    def parts(self) -> list[tuple[int, int]]:
+        """Hash and surroundings (a hash of all other text that main gives) of each container; 0 and 0 where it doesn't count.
+
+        What holds no text of the page, or all of it, doesn't count, nor do short paragraphs without a link."""
+        sums, words = [0], [0]
+        for text, inside, _ in self.pieces:
+            text = " ".join(text.split()) if inside or not self.has_article else ""
+            sums.append(sums[-1] + (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) | 1) & _ALL if text else sums[-1])
+            words.append(words[-1] + text.count(" ") + 1 if text else words[-1])
+        out = []
+        for own, (start, stop, known) in zip(self.hashes, self.spans, strict=True):
+            held = words[stop] - words[start]
+            good = 0 < held < words[-1] and held + known >= PARAGRAPH_WORDS
+            out.append((own - (1 << 63), (sums[-1] - (sums[stop] - sums[start]) & _ALL) - (1 << 63)) if good else (0, 0))
+        return out
 
 
 def joined(pieces: list[str]) -> str:
     return " ".join("".join(pieces).split())
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, names: bool = True) -> DataFrame:
     """id_col, url_col, text for every row of pages.
 
     Null html is empty and gives an empty text; pages without a host are one site. Other columns are ignored;
-    repeated rows each come back."""
+    repeated rows each come back, and count as one page. names=False leaves out nothing by tag, role or class but
+    raw elements and the head, so only the counts decide."""
     own = [F.col(id_col).alias("_id"), F.col(url_col).alias("_url")]
     keys = [F.xxhash64(*own, F.col(html_col)).alias("_k1"), F.xxhash64(F.col(html_col), F.lit("page"), *own).alias("_k2")]
     rows = pages.select(*own, *keys, url_parts(F.col(url_col))[0].alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("_id", "_url")}
+    piece = pa.list_(pa.struct([("text", pa.string()), ("within", pa.int32())]))
+    part = pa.list_(pa.struct([("hash", pa.int64()), ("rest", pa.int64()), ("up", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts, hashes, pieces = [], [], []
-                for source in part.column(5).to_pylist():
-                    page = Page(source)
-                    main = page.main()
-                    hashes.append(sorted(set(page.hashes)))
-                    bare = not any(around for _, around in main)
+                some = batch.slice(start, 500)
+                texts, pieces, parts = [], [], []
+                for source in some.column(5).to_pylist():
+                    page = Page(source, names)
+                    main, counted = page.main(), page.parts()
+                    bare = not any(h or r for h, r in counted)
                     texts.append(joined([t for t, _ in main]) if bare else None)
-                    pieces.append(None if bare else [{"text": t, "within": list(around)} for t, around in main])
-                columns = [*part.columns[:5], pa.array(texts, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(pieces, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_url", "_k1", "_k2", "_host", "text", "hashes", "pieces"])
-
-    types = {c: rows.schema[c].dataType.simpleString() for c in ("_id", "_url")}
-    parsed = stored(
-        rows.mapInArrow(run, f"_id {types['_id']}, _url {types['_url']}, _k1 bigint, _k2 bigint, _host string, text string, hashes array<bigint>, pieces array<struct<text string, within array<bigint>>>"),
-        "parsed",
-    )
-    held = parsed.select("_host", F.explode("hashes").alias("hash")).groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    of_host = parsed.groupBy("_host").agg(F.count("*").alias("pages"))
-    often = held.join(of_host, "_host").where(F.col("n") >= F.col("pages") * min_share).select("_host", "hash")
-    open_pages = parsed.where("pieces is not null")
-    around = open_pages.select("_k1", "_k2", "_host", F.explode(F.array_distinct(F.flatten("pieces.within"))).alias("hash"))
+                    pieces.append(None if bare else [{"text": t, "within": c} for t, c in main])
+                    parts.append(None if bare else [{"hash": h, "rest": r, "up": u} for (h, r), u in zip(counted, page.up, strict=True)])
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(texts, pa.string()), pa.array(pieces, piece), pa.array(parts, part)], names=["_id", "_url", "_k1", "_k2", "_host", "text", "pieces", "parts"])
+
+    schema = f"_id {types['_id']}, _url {types['_url']}, _k1 bigint, _k2 bigint, _host string, text string, pieces array<struct<text string, within int>>, parts array<struct<hash bigint, rest bigint, up int>>"
+    parsed = stored(rows.mapInArrow(run, schema), "parsed")
+    counted = parsed.where("pieces is not null")
+    around = counted.select("_k1", "_k2", "_host", F.explode("parts").alias("p")).where("p.hash <> 0 or p.rest <> 0").select("_k1", "_k2", "_host", "p.hash", "p.rest").distinct()
+    often = around.select("_host", "hash", "rest").distinct().groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("_host", "hash")
     gone = around.join(often, ["_host", "hash"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("hash").alias("gone"))
-    none = F.array().cast("array<bigint>")
-    rest = open_pages.join(gone, ["_k1", "_k2"], "left").withColumn("gone", F.coalesce("gone", none))
-    kept = F.filter("pieces", lambda p: ~F.arrays_overlap(p["within"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda p: p["text"]), "")
-    rest = rest.select("_id", "_url", F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")).alias("text"))
+    rest = counted.join(gone, ["_k1", "_k2"], "left").select("_id", "_url", "pieces", "parts", "gone")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for pieces, parts, off in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                off, dropped = set(off or ()), []
+                for p in parts:  # what is around a container comes before it
+                    dropped.append(p["hash"] in off or p["up"] >= 0 and dropped[p["up"]])
+                texts.append(joined([p["text"] for p in pieces if p["within"] < 0 or not dropped[p["within"]]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["_id", "_url", "text"])
+
     done = parsed.where("pieces is null").select("_id", "_url", "text")
+    rest = rest.mapInArrow(cut, f"_id {types['_id']}, _url {types['_url']}, text string")
     return done.unionByName(rest).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

@@ -386,6 +386,37 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_counts_surroundings(spark):
+    """Which blocks go, against counts by hand: a block goes where it has five different surroundings on its host."""
+    rng = np.random.default_rng(11)
+    made = []
+    for k in range(120):
+        blocks = [f"block {int(rng.integers(0, 12))} of host" for _ in range(4)] + [f"own words of page {k}"]
+        made.append((f"http://h{k % 2}.org/{k}", blocks))
+    same = ["copied once", "and again", "with the same rest"]
+    made += [(f"http://h0.org/same{k}", same) for k in range(9)]  # copies have one surrounding for each block
+    made += [(f"http://h1.org/whole{k}", ["all there is"]) for k in range(9)]
+    surroundings = {}
+    for url, blocks in made:
+        for b in set(blocks):
+            surroundings.setdefault((url[7:9], b), set()).add(tuple(sorted(x for x in blocks if x != b)) if blocks.count(b) == 1 else tuple(sorted(blocks, key=lambda x: x != b))[1:])
+    pages = [(k, url, "<body>" + "".join(f"<div><div>{b}</div></div>" for b in blocks) + "</body>") for k, (url, blocks) in enumerate(made)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages + pages[:30] * 5, "page_id int, url string, html string"), names=False).collect()}
+    for k, (url, blocks) in enumerate(made):
+        assert found[k] == " ".join(b for b in blocks if len(surroundings[url[7:9], b]) < 5), k
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    page = html.Page("<div>x" * 50_000 + "</div>" * 50_000)
+    assert len(page.parts()) == 50_000 and html.joined([t for t, _ in page.main()]).count("x") == 50_000
+    html.Page("<p>a<b>c" * 50_000)
+    html.Page("<li>x</span></ul>" * 50_000)
+    assert time.perf_counter() - began < 30
+
+
 def test_html_articles_on_the_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
