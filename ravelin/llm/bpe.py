@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: How the vocabulary file cuts a lower-case text into words.
 _WHITE = r"\t-\r \x85\xA0  -     　"
 WORDS = r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^" + _WHITE + r"\p{L}\p{N}]+"
@@ -198,4 +200,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as a class for Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where nothing is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ravelin-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -40,6 +45,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow for rows that hold whole texts: the session's Arrow batches are held at BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def row_keys(id_col: Column, text: Column) -> list[Column]:
     """Two 64-bit hashes of id and text. Rows that agree in both columns share them, and then every result."""
     return [F.xxhash64(id_col, text).alias("_k1"), F.xxhash64(text, F.lit("row"), id_col).alias("_k2")]

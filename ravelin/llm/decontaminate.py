@@ -1,30 +1,34 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-A first pass counts, over the whole corpus, the words that occur in the benchmark. Each benchmark window is then
-looked up by its rarest word. The second pass stores the index: one posting (word, row, position) for each
-occurrence of a lookup word, with the word ids around it, so that the lists of the other words of a window are
-intersected at their offsets without reading the texts again. Joining postings with windows gives exact phrase
-matches, and proximity matches where enough of a window's words stand around the posting.
+The windows of all benchmark items are made and grouped in Spark, equal ones once. A first pass counts the benchmark's
+words in the corpus, and each window is looked up by its rarest words: as many as it takes for one of them to remain
+in any run of words that is near the window. The second pass stores the index: one posting (word, row, position) for
+each occurrence of such a word, with the words around it, so the lists of a window's other words are intersected at
+their offsets without reading the texts again. Joining postings with windows gives the exact phrase matches and, where
+enough of a window's words stand together around a posting, the proximity matches.
+
+Words travel as 64-bit hashes. Which words matter is told to the tasks by bit maps of fixed size (2 ** BITS bits), so
+nothing that is sent or gathered grows with the benchmark; words that a map lets through by chance join with nothing.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import row_keys, stored
+from .common import in_batches, row_keys, stored
 
-#: Bytes of benchmark text that are looked up in one go; a larger benchmark takes more passes.
-SLICE_BYTES = 32 << 20
-#: Windows that may be sent to all executors (about 100 bytes each); more are joined by shuffling.
-BROADCAST_WINDOWS = 100_000
+#: Each bit map is 2 MB; a benchmark of many million different words only fills it more.
+BITS = 24
+#: Look-ups that may be sent to all executors (about 300 bytes each); more are joined by shuffling.
+BROADCAST_LOOKUPS = 50_000
+#: Words that a task remembers.
+MEMORY = 200_000
 #: Lower-cases A-Z and turns every other ASCII character that is no digit or letter into a space.
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -33,129 +37,174 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def _ids(vocab: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(vocab.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+def _marked(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Whether the map has each term."""
+    at = terms >> np.uint64(64 - BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _windows(items: list, size: int) -> tuple[dict[bytes, int], list[tuple]]:
-    """The vocabulary of the items and their windows (item, word ids)."""
-    vocab: dict[bytes, int] = {}
-    windows = []
-    for item, text in items:
-        ids = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
-        if ids:
-            windows += [(item, ids[k : k + size]) for k in range(max(1, len(ids) - size + 1))]
-    return vocab, windows
+def _short(terms: np.ndarray) -> np.ndarray:
+    """32 bits of each term; 0 stays 0, and nothing else becomes 0."""
+    folded = (terms ^ terms >> np.uint64(32)).astype(np.uint32)
+    return np.where((folded == 0) & (terms != 0), np.uint32(1), folded).view(np.int32)
 
 
-def _counts(docs: DataFrame, vocab) -> np.ndarray:
+class _Terms(dict):
+    """The term of a word that the map has, 0 for others; what is asked again is remembered, within MEMORY."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: bytes) -> int:
+        term = xxhash.xxh64_intdigest(word) or 1
+        at = term >> (64 - BITS)
+        if not int(self.bits[at >> 6]) >> (at & 63) & 1:
+            term = 0
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = term
+        return term
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, count=len(words))
+
+
+def _map_of(terms: DataFrame) -> np.ndarray:
+    """The bit map of the column term; Spark makes its words."""
+    at = F.shiftrightunsigned("term", 64 - BITS)
+    found = terms.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    for row in found.toLocalIterator():
+        out[row[0]] = row[1]
+    return out.view(np.uint64)
+
+
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """(window, terms, ids, item): the windows of each item; equal ones share the number window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocab.value
         for batch in batches:
-            seen = np.zeros(len(known) + 1, dtype=np.int64)
-            for text in batch.column(0).to_pylist():
-                seen += np.bincount(_ids(known, words_of(text)) + 1, minlength=len(known) + 1) if text else 0
-            terms = np.flatnonzero(seen[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(seen[1:][terms])], names=["term", "n"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                terms = np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in words), np.uint64, count=len(words))
+                wide = min(size, len(words))
+                every = np.lib.stride_tricks.sliding_window_view(terms, wide) if wide else terms.reshape(0, 1)
+                for k in range(0, len(every), 1 << 14):
+                    part = np.ascontiguousarray(every[k : k + (1 << 14)])
+                    cuts = pa.array(np.arange(len(part) + 1, dtype=np.int32) * wide)
+                    lists = [pa.ListArray.from_arrays(cuts, pa.array(x.ravel())) for x in (part.view(np.int64), _short(part))]
+                    own = np.fromiter((xxhash.xxh64_intdigest(w.tobytes()) for w in part), np.uint64, count=len(part)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *lists, pa.array([item] * len(part), pa.string())], names=["window", "terms", "ids", "item"])
 
-    counts = np.zeros(len(vocab.value), dtype=np.int64)
-    for row in docs.select("_text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row[0]] = row[1]
-    return counts
+    return in_batches(items, run, "window bigint, terms array<bigint>, ids array<int>, item string")
 
 
-def _index(docs: DataFrame, vocab, lookup, size: int) -> DataFrame:
-    """Per row: its keys, the number of its words and the postings of lookup words; ctx holds size-1 ids on both sides."""
+def _counts(docs: DataFrame, bits) -> DataFrame:
+    """(term, n): how often the corpus has each word of the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = vocab.value, lookup.value
-        around = np.arange(1 - size, size)
+        known = _Terms(bits.value)
         for batch in batches:
-            n_words, offsets, terms, places, ctx = [], [0], [], [], []
+            each = [known.of(t) for t in batch.column(0).to_pylist()]
+            terms, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+    return in_batches(docs.select("_text"), run, "term bigint, n bigint").where("term <> 0").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _needed(ids: Column, near: float) -> Column:
+    """How many of a window's different words a run must have to be near it."""
+    return F.ceil(F.size(F.array_distinct(ids)) * F.lit(near)).cast("int")
+
+
+def _lookups(windows: DataFrame, counts: DataFrame, near: float) -> DataFrame:
+    """(term, off, window, ids): each window by its rarest words that occur at all."""
+    each = windows.select("window", F.posexplode("terms").alias("off", "term")).groupBy("window", "term").agg(F.min("off").alias("off"))
+    ranked = each.join(counts, "term", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("by"))
+    rows = windows.select("window", "ids").join(ranked, "window")
+    most = F.size("by") - _needed(F.col("ids"), near) + 1
+    return rows.select("window", "ids", F.explode(F.slice("by", F.lit(1), most)).alias("x")).where("x.n > 0").select("x.term", "x.off", "window", "ids")
+
+
+def _index(docs: DataFrame, known, wanted, size: int) -> DataFrame:
+    """Per row: its keys, the number of its words and the postings of wanted words; ctx holds size-1 words on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, around = _Terms(known.value), np.arange(1 - size, size)
+        pad = np.zeros(size - 1, np.int32)
+        for batch in batches:
+            n_words, offsets, terms, places, ctx = [], [0], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
             for text in batch.column(3).to_pylist():
-                ids = _ids(known, words_of(text))
-                at = np.flatnonzero(wanted[ids])  # -1 falls on the last place, which is False
-                n_words.append(len(ids))
+                own = of.of(text)
+                at = np.flatnonzero(own)
+                at = at[_marked(wanted.value, own[at])]
+                n_words.append(len(own))
                 offsets.append(offsets[-1] + len(at))
                 if len(at):
-                    padded = np.concatenate([np.full(size - 1, -1, np.int32), ids, np.full(size - 1, -1, np.int32)])
-                    terms.append(ids[at])
+                    terms.append(own[at])
                     places.append(at.astype(np.int32))
-                    ctx.append(padded[at[:, None] + size - 1 + around])
-            cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int32)
-            flat = cat(ctx).reshape(-1)
+                    ctx.append(np.concatenate([pad, _short(own), pad])[at[:, None] + size - 1 + around].ravel())
             cuts = pa.array(np.arange(offsets[-1] + 1, dtype=np.int32) * (2 * size - 1))
-            posts = pa.StructArray.from_arrays([pa.array(cat(terms)), pa.array(cat(places)), pa.ListArray.from_arrays(cuts, pa.array(flat))], names=["term", "pos", "ctx"])
+            posts = pa.StructArray.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(np.concatenate(places)), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(ctx)))], names=["term", "pos", "ctx"])
             lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), posts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int64()), lists], names=["_id", "_k1", "_k2", "n_words", "posts"])
 
-    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _k1 bigint, _k2 bigint, n_words bigint, posts array<struct<term int, pos int, ctx array<int>>>"
-    return docs.select("_id", "_k1", "_k2", "_text").mapInArrow(run, schema)
-
-
-def _lookup(index: DataFrame, windows: list[tuple], counts: np.ndarray, size: int, near: float) -> DataFrame:
-    """(_k1, _k2, item, start, stop, exact) of the windows that occur; stop is exclusive."""
-    spark = index.sparkSession
-    rows = []
-    for item, ids in windows:
-        off = min(range(len(ids)), key=lambda k: (counts[ids[k]], k))
-        if counts[ids[off]]:
-            rows.append((ids[off], off, ids, item))
-    kind = StructType([StructField("term", IntegerType()), StructField("off", IntegerType()), StructField("ids", ArrayType(IntegerType())), StructField("item", StringType())])
-    wanted = spark.createDataFrame(rows, kind)
-    wanted = F.broadcast(wanted) if len(rows) <= BROADCAST_WINDOWS else wanted
+    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _k1 bigint, _k2 bigint, n_words bigint, posts array<struct<term bigint, pos int, ctx array<int>>>"
+    return in_batches(docs.select("_id", "_k1", "_k2", "_text"), run, schema)
+
+
+def _matches(index: DataFrame, lookups: DataFrame, size: int, near: float) -> DataFrame:
+    """(_k1, _k2, window, start, stop, exact): where windows occur, and once for each posting with a run near a window."""
+    lookups = stored(lookups.withColumn("needed", _needed(F.col("ids"), near)), "lookups")
+    if lookups.limit(BROADCAST_LOOKUPS + 1).count() <= BROADCAST_LOOKUPS:
+        lookups = F.broadcast(lookups)
     posts = index.where(F.size("posts") > 0).select("_k1", "_k2", F.explode("posts").alias("p")).select("_k1", "_k2", "p.term", "p.pos", "p.ctx")
-    found = posts.join(wanted, "term")
-    exact = F.slice("ctx", F.lit(size) - F.col("off"), F.size("ids")) == F.col("ids")
-    shared = F.size(F.array_intersect("ctx", "ids")) / F.size(F.array_distinct("ids"))
-    found = found.select("*", exact.alias("exact")).where(F.col("exact") | (shared >= near))
+    found = posts.join(lookups, "term")
+    n = F.size("ids")
+    exact = F.slice("ctx", F.lit(size) - F.col("off"), n) == F.col("ids")
+    found = found.withColumn("exact", exact).where(F.col("exact") | (F.size(F.array_intersect("ctx", "ids")) >= F.col("needed")))
+    # a run of as many words as the window has, the posting among them
+    run = lambda first: F.size(F.array_intersect(F.slice("ctx", first, n), F.col("ids"))) >= F.col("needed")
+    found = found.where(F.col("exact") | F.exists(F.sequence(F.lit(size + 1) - n, F.lit(size)), run))
     start = F.col("pos") - F.col("off")
-    return found.select("_k1", "_k2", "item", start.alias("start"), (start + F.size("ids")).alias("stop"), "exact")
+    return found.select("_k1", "_k2", "window", start.alias("start"), (start + n).alias("stop"), "exact")
 
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, near: float = 0.8, with_keys: bool = False
 ) -> DataFrame:
-    """id_col, n_words, n_hit, items (sorted array), n_near (windows that are close but not exact) for every row of docs.
+    """id_col, n_words, n_hit, items (sorted array), n_near for every row of docs.
 
     A word is hit if an exact occurrence of a window of `size` item words covers it; shorter items are one window,
-    items without words none. Nulls have no words. Repeated rows of docs each come back, repeated items count
-    once; other columns are ignored. An empty benchmark hits nothing. with_keys adds _k1 and _k2, the row_keys of id
-    and text."""
+    items without words none. n_near counts the different windows that the row lacks, but of whose different words it
+    has the share `near` in some run of as many words. Nulls have no words; items without an id share the label ''.
+    Repeated rows of docs each come back, repeated items count once; other columns are ignored. An empty benchmark
+    hits nothing. with_keys adds _k1 and _k2, the row_keys of id and text."""
+    spark = docs.sparkSession
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), *row_keys(F.col(id_col), F.col(text_col)), text.alias("_text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("item is not null and t is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    slices = max(1, math.ceil(total / SLICE_BYTES))
-    spark = docs.sparkSession
-    counted, found = None, []
-    for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == k).collect()  # SLICE_BYTES on average
-        known, windows = _windows(sorted(part), size)
-        vocab = spark.sparkContext.broadcast(known)
-        counts = _counts(rows, vocab) if known else np.zeros(0, np.int64)
-        wanted = np.zeros(len(known) + 1, dtype=bool)
-        wanted[[min(ids, key=lambda t: counts[t]) for _, ids in windows]] = True
-        wanted[-1] = False
-        index = stored(_index(rows, vocab, spark.sparkContext.broadcast(wanted), size), "postings")
-        counted = counted if counted is not None else index.select("_id", "_k1", "_k2", "n_words")
-        found.append(_lookup(index, windows, counts, size, near))
-    matches = found[0]
-    for more in found[1:]:
-        matches = matches.unionByName(more)
-    per_doc = matches.groupBy("_k1", "_k2").agg(
-        F.array_sort(F.collect_set(F.when(F.col("exact"), F.struct("start", "stop")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"),
-        F.count_if(~F.col("exact")).alias("n_near"),
-    )
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("t is not null").distinct()
+    every = stored(_windows(items, size), "windows")
+    windows = stored(every.groupBy("window").agg(F.first("terms").alias("terms"), F.first("ids").alias("ids")), "windows")
+    known = spark.sparkContext.broadcast(_map_of(windows.select(F.explode("terms").alias("term")).distinct()))
+    lookups = stored(_lookups(windows, _counts(rows, known), near), "lookups")
+    wanted = spark.sparkContext.broadcast(_map_of(lookups.select("term").distinct()))
+    index = stored(_index(rows, known, wanted, size), "postings")
+    matches = stored(_matches(index, lookups, size, near).distinct(), "matches")
+    hits = matches.where("exact").select("_k1", "_k2", "window").distinct()
+    of_items = hits.join(every.select("window", "item").distinct(), "window").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_window = matches.groupBy("_k1", "_k2", "window").agg(F.collect_set(F.when(F.col("exact"), F.struct("start", "stop"))).alias("spans"))
+    per_doc = by_window.groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.count_if(F.size("spans") == 0).alias("n_near"))
     nothing = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
 
     def cover(acc, span):
         return F.struct((acc["covered"] + F.greatest(F.lit(0), span["stop"] - F.greatest(span["start"], acc["upto"]))).alias("covered"), F.greatest(acc["upto"], span["stop"]).alias("upto"))
 
-    per_doc = per_doc.select("_k1", "_k2", "items", "n_near", F.aggregate("spans", nothing, cover, lambda acc: acc["covered"]).cast("bigint").alias("n_hit"))
+    per_doc = per_doc.select("_k1", "_k2", "n_near", F.aggregate("spans", nothing, cover, lambda acc: acc["covered"]).cast("bigint").alias("n_hit"))
     none, no_items = F.lit(0).cast("bigint"), F.array().cast("array<string>")
-    return counted.join(per_doc, ["_k1", "_k2"], "left").select(
+    return index.select("_id", "_k1", "_k2", "n_words").join(per_doc, ["_k1", "_k2"], "left").join(of_items, ["_k1", "_k2"], "left").select(
         F.col("_id").alias(id_col), *(("_k1", "_k2") if with_keys else ()), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_near", none).alias("n_near")
     )
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_batches, stored
 from .urls import parts as url_parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -213,7 +213,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(texts, pa.string()), pa.array(pieces, piece), pa.array(parts, part)], names=["_id", "_url", "_k1", "_k2", "_host", "text", "pieces", "parts"])
 
     schema = f"_id {types['_id']}, _url {types['_url']}, _k1 bigint, _k2 bigint, _host string, text string, pieces array<struct<text string, within int>>, parts array<struct<hash bigint, rest bigint, up int>>"
-    parsed = stored(rows.mapInArrow(run, schema), "parsed")
+    parsed = stored(in_batches(rows, run, schema), "parsed")
     counted = parsed.where("pieces is not null")
     around = counted.select("_k1", "_k2", "_host", F.explode("parts").alias("p")).where("p.hash <> 0 or p.rest <> 0").select("_k1", "_k2", "_host", "p.hash", "p.rest").distinct()
     often = around.select("_host", "hash", "rest").distinct().groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("_host", "hash")
@@ -231,5 +231,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
     done = parsed.where("pieces is null").select("_id", "_url", "text")
-    rest = rest.mapInArrow(cut, f"_id {types['_id']}, _url {types['_url']}, text string")
+    rest = in_batches(rest, cut, f"_id {types['_id']}, _url {types['_url']}, text string")
     return done.unionByName(rest).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, runs_by_size
+from .common import fold, in_batches, runs_by_size
 
 ORDER = 4
 #: Signs that are scored at once (some 100 bytes of memory each).
@@ -197,7 +197,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(grams[:, k].astype(np.int32)) for k in range(ORDER)), pa.array(n)], names=["lang", *cols, "n"])
 
     cols = [f"c{k}" for k in range(ORDER)]
-    counted = sample.where("part > 0").select("lang", "_text").mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n bigint")
+    counted = in_batches(sample.where("part > 0").select("lang", "_text"), count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n bigint")
     rows = counted.groupBy("lang", *cols).agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample's characters
     languages = sorted(rows["lang"].unique())
     if not languages:
@@ -220,7 +220,7 @@ def _calibrate(models: Models, sample: DataFrame) -> None:
             cuts = np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.ravel())), pa.array(letters)], names=["lang", "h", "letters"])
 
-    rows = sample.mapInArrow(run, "lang string, h array<double>, letters bigint").where("letters > 0").toPandas()
+    rows = in_batches(sample, run, "lang string, h array<double>, letters bigint").where("letters > 0").toPandas()
     models.limits = np.full(len(models.languages), np.inf)
     rows = rows[rows["lang"].isin(models.languages)]
     if not len(rows):
@@ -269,5 +269,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(off)], names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    found = in_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
     return found.select(id_col, (fold(F.col(id_col), folds) == out).alias("held_out"), "lang_pred", "score", "rejected")

@@ -73,13 +73,20 @@ def op8() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{word}')"
     return f"""
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS k, w[i:i + 12] AS ws FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
 dw AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
-m AS (SELECT rid, i, bw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+m AS (SELECT rid, i, bw.n, item, k FROM dw JOIN bw USING (n, k)),
 h AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM m), range(0, 13) AS s(j) WHERE j < n GROUP BY 1),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+t AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1),
+win AS (SELECT DISTINCT n, k, list_distinct(ws) AS u, CAST(ceil(len(list_distinct(ws)) * 0.8) AS INTEGER) AS needed FROM bw),
+dt AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+freq AS (SELECT word, count(*) AS c FROM dt GROUP BY 1),
+wt AS (SELECT n, k, u, needed, word, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 0), word) AS r FROM (SELECT n, k, u, needed, unnest(u) AS word FROM win) LEFT JOIN freq USING (word)),
+posts AS (SELECT rid, i, n, k, u, needed FROM wt JOIN dt USING (word) WHERE r <= len(u) - needed + 1),
+runs AS (SELECT DISTINCT rid, k, u, needed, n, s FROM (SELECT rid, k, u, needed, n, unnest(range(greatest(1, i - n + 1), i + 1)) AS s FROM posts)),
+nr AS (SELECT rid, count(DISTINCT k) AS n_near FROM runs JOIN d USING (rid) WHERE len(list_intersect(w[s:s + n - 1], u)) >= needed AND (rid, k) NOT IN (SELECT rid, k FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN nr USING (rid)"""

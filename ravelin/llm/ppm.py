@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, runs_by_size, stored
+from .common import fold, in_batches, runs_by_size, stored
 
 ORDER = 5
 #: Code lengths (contexts x symbols, four bytes each) that are sent to all executors at most.
@@ -78,7 +78,7 @@ def _count(docs: DataFrame) -> DataFrame:
     def counted(keys: list, n: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int64())], names=["word", "gram", "n"])
 
-    return docs.select("_text").mapInArrow(run, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("_text"), run, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -290,7 +290,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
-    scored = stored(numbered.mapInArrow(run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, places array<bigint>"), "scored")
+    scored = stored(in_batches(numbered, run, f"_row bigint, _id {kind}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, places array<bigint>"), "scored")
     asked = scored.select("_row", F.explode("rare").alias("hash"))
     found = asked.join(rare, "hash").groupBy("_row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("c") + 0.1)).alias("found_logs"))
     left = scored.select("_row", F.explode("places").alias("gram"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import fold, in_batches, stored
 
 MAX_TRAIN = 20_000
 
@@ -60,7 +60,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             cuts = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=[*names, "stats"])
 
-    return own.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes[1:]) + ", stats array<float>")
+    return in_batches(own, run, ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes[1:]) + ", stats array<float>")
 
 
 @dataclass

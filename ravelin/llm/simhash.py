@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, stored
+from .common import Stored, in_batches, stored
 
 #: The 14 sets of four byte positions whose exclusive or is zero.
 BLOCKS = sorted({tuple(sorted((a, b, c, a ^ b ^ c))) for a, b, c in combinations(range(8), 3)})
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return in_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, fp bigint")
 
 
 def _forest(fps: np.ndarray, max_bits: int, wide: int = 16384) -> list[tuple[int, int]]:

@@ -336,7 +336,7 @@ def brute_overlap(data, items):
     for i, t in items:
         w = lower(t)
         for k in range(max(1, len(w) - 12) if w else 0):
-            wins.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + 13]), set()).add("" if i is None else str(i))
     sizes = sorted({len(w) for w in wins})
     out = []
     for i, t in data:
@@ -350,22 +350,51 @@ def brute_overlap(data, items):
     return out
 
 
-def test_decontaminate(spark, docs, data):
+def test_decontaminate(spark, docs, data, monkeypatch):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    items += [(900, "Alpha, beta GAMMA delta"), (901, "two words"), (902, None), (903, "..."), (904, "x"), (904, "x"), (905, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron")]
+    items += [(900, "Alpha, beta GAMMA delta"), (901, "two words"), (902, None), (903, "..."), (904, "x"), (904, "x"), (905, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (None, "one of no id"), (None, "phi chi psi omega alpha")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     expected = want(brute_overlap(data, items))
     assert got(decontaminate.overlaps(docs, bench), "doc_id", "n_words", "n_hit", "items") == expected
-    old = decontaminate.SLICE_BYTES
-    decontaminate.SLICE_BYTES = 3000  # many passes
-    try:
-        assert got(decontaminate.overlaps(docs, bench), "doc_id", "n_words", "n_hit", "items") == expected
-    finally:
-        decontaminate.SLICE_BYTES = old
+    monkeypatch.setattr(decontaminate, "BROADCAST_LOOKUPS", 0)
+    assert got(decontaminate.overlaps(docs, bench), "doc_id", "n_words", "n_hit", "items") == expected
     assert decontaminate.overlaps(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def brute_near(text, items, near=0.8):
+    lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    w, wins = lower(text), set()
+    for t in items:
+        own = lower(t)
+        wins |= {tuple(own[k : k + 13]) for k in range(max(1, len(own) - 12) if own else 0)}
+    n = 0
+    for win in wins:
+        needed = int(np.ceil(len(set(win)) * near))
+        runs = [w[max(0, k) : max(0, k + len(win))] for k in range(1 - len(win), len(w))]
+        n += tuple(win) not in {tuple(r) for r in runs} and any(len(set(r) & set(win)) >= needed for r in runs)
+    return n
+
+
+def test_near_matches_survive_any_changed_words(spark):
+    """Whichever words of a passage are changed, left out or moved, its windows are found while enough of them stand together."""
+    rng = np.random.default_rng(2)
+    vocab = [f"w{k}" for k in range(60)] + [f"rare{k}" for k in range(30)]
+    items = [" ".join(rng.choice(vocab, n)) for n in (30, 20, 13, 7, 3, 1)]
+    texts = [" ".join(rng.choice(vocab[:60], 50)) for _ in range(40)] + [None, ""]
+    for k in range(120):
+        words = items[k % 6].split()
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + 1] = [[], ["new"], words[at : at + 1] * 2, ["a", words[at]]][int(rng.integers(0, 4))]
+            words = words or ["x"]
+        texts.append(" ".join([*rng.choice(vocab[:60], 5), *words, *rng.choice(vocab[:60], 5)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    found = {r["doc_id"]: r["n_near"] for r in decontaminate.overlaps(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), bench).collect()}
+    expected = {k: brute_near(t, items) for k, t in enumerate(texts)}
+    assert found == expected and sum(expected.values()) > 100
+
+
 def test_html(spark):
     menu = '<div class="x"><a href="/a">Start</a> <a href="/b">Shop</a></div>'
     pages = [
