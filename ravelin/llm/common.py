@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1_000
+#: Tables of at most so many bytes are dealt out anew before the work on their texts.
+SMALL_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ class Stored:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        for tables in _SCRATCH[-1:]:
+            tables.append(self)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -45,6 +50,40 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+_SCRATCH: list[list[Stored]] = []
+
+
+@contextmanager
+def scratch(keep: bool = False) -> Iterator[None]:
+    """Tables that operators store inside are dropped at the end, so what is to stay must have been written by then.
+
+    Operators return plans over their stored tables; without this those tables stay in the shared folder, as do those
+    stored with keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for table in _SCRATCH.pop():
+            if not keep:
+                table.drop()
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df has not, each beginning with its stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def share_of(share: float, *keys: Column) -> Column:
+    """Whether a row is in a share of all rows, by a 63-bit hash of its keys."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))
+
+
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow for rows that hold whole texts: the session's Arrow batches are held at BATCH_ROWS rows at most."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -75,5 +114,12 @@ def runs_by_size(sizes: Sequence[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where all of it is small: such a file is often one row group, so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
