@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
-SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
+SPANS = f"array<{SPAN}>"
+#: Spans that are put together at once.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,27 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _gather(count: Column, kind: str, step) -> Column:
+    """(at, out) after step(at, i) -> (at, items) for each i under count; out holds all items in order.
+
+    Items are put together in runs of RUN, and the runs at the end, so long texts don't copy all items at each step."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def run(at: Column, first: Column) -> Column:
+        def one(acc: Column, i: Column) -> Column:
+            to, items = step(acc["at"], i)
+            return F.struct(to.alias("at"), F.concat(acc["out"], items).alias("out"))
+
+        return F.aggregate(F.sequence(first, F.least(first + RUN, count) - 1), F.struct(at.alias("at"), empty.alias("out")), one)
+
+    def join(acc: Column, k: Column) -> Column:
+        return _let(run(acc["at"], k * RUN), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    runs = F.sequence(F.lit(0), ((count - 1) / RUN).cast("int"))
+    return F.aggregate(runs, start, join, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """All spans of a rule, in code points, from the pieces between its matches."""
     none = F.array().cast(SPANS)
@@ -62,17 +86,15 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("secret"),
         F.split(text, rule.pattern, -1).alias("between"),
     )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def walk(m: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(m["between"][i])
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            begin = at + F.length(m["between"][i])
             end = begin + F.length(m["found"][i])
             span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("stop"))
-            kept = F.when(F.length(m["secret"][i]) >= rule.least, F.array(span)).otherwise(none)
-            return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
+            return end, F.when(F.length(m["secret"][i]) >= rule.least, F.array(span)).otherwise(none)
 
-        return F.when(F.size(m["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m["found"]) - 1), start, step, lambda acc: acc["out"])).otherwise(none)
+        return F.when(F.size(m["found"]) > 0, _gather(F.size(m["found"]), SPAN, step)["out"]).otherwise(none)
 
     return F.when(text.rlike(rule.hint), _let(parts, walk)).otherwise(none)
 
@@ -84,23 +106,21 @@ def blob_id(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """The new ledger: (blob, scanned array of rule@version, spans) for every text of docs, old entries included.
 
-    ledger: an earlier result, or None. Null texts are empty texts; a null id is an id like any other."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    ledger: an earlier result, or None. Null texts are empty texts. Each blob is scanned once, whatever rows it has."""
+    rows = docs.select(F.xxhash64(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("blob", blob_id(F.col("_text")))
     names = F.array(*[F.lit(r.name) for r in rules])
-    first = rows.groupBy("blob").agg(F.min("_id").alias("_first"))
+    first = rows.groupBy("blob").agg(F.min("_row").alias("_row"))
     if ledger is None:
         todo = first.withColumn("todo", names)
     else:
         seen = ledger.select("blob", F.explode("scanned").alias("rule"))
         pairs = first.withColumn("rule", F.explode(names)).join(seen, ["blob", "rule"], "left_anti")
-        todo = pairs.groupBy("blob", "_first").agg(F.collect_set("rule").alias("todo"))
-    todo = todo.withColumnRenamed("blob", "_blob")
-    # joined on the id too: the rows of a blob that many documents share don't meet in one task
-    texts = rows.join(todo, (F.col("blob") == F.col("_blob")) & F.col("_id").eqNullSafe(F.col("_first")), "inner")
+        todo = pairs.groupBy("blob", "_row").agg(F.collect_set("rule").alias("todo"))
+    # joined on a hash of the id too: the rows of a blob that many documents share don't meet in one task
+    texts = rows.join(todo, ["blob", "_row"]).groupBy("blob", "_row").agg(F.first("_text").alias("_text"), F.first("todo").alias("todo"))
     spans = F.concat(*[F.when(F.array_contains("todo", r.name), _spans(F.col("_text"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)])
     new = texts.select("blob", F.col("todo").alias("scanned"), F.array_sort(spans).alias("spans"))
-    new = new.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.first("spans").alias("spans"))  # repeated rows
     if ledger is None:
         return new
     both = ledger.select("blob", "scanned", "spans").unionByName(new)
@@ -111,10 +131,12 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     """Every row of docs, with all its columns and `spans` (sorted by start, then order of the rules).
 
     A column of docs that is called spans is replaced. Rows with empty or null texts have no spans."""
+    rows = docs.drop("spans")
+    of, blob, own = fresh(rows, "blob", "found_blob", "found_spans")
     found = stored(scan(docs, id_col, text_col, rules, ledger), "ledger")
-    found = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.drop("spans").withColumn("_of", blob_id(F.col(text_col)))
-    return rows.join(found, F.col("_of") == F.col("_blob"), "left").withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_of", "_blob", "_spans")
+    found = found.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(own))
+    rows = rows.withColumn(of, blob_id(F.col(text_col)))
+    return rows.join(found, F.col(of) == F.col(blob), "left").withColumn("spans", F.coalesce(own, F.array().cast(SPANS))).drop(of, blob, own)
 
 
 def listed(spans: Column) -> Column:
@@ -124,12 +146,11 @@ def listed(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by [kind of its first span]."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        s = spans[i]
+        piece = F.array(F.substring(text, at + 1, s["start"] - at), F.concat(F.lit("["), s["kind"], F.lit("]")))
+        return F.greatest(at, s["stop"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _let(_gather(F.size(spans), "string", step), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
