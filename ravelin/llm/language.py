@@ -3,8 +3,9 @@
 Each language has a model over letters (all else is one boundary sign). The n-grams of all languages stand in one
 sorted array of hashes per order, found through a table of their leading bits, with a row of log probabilities,
 one per language. A text is given the language of the lowest cross-entropy per character. The models are fitted on
-a bounded sample: `max_docs` texts of each language (3,000 unless set), a fifth of which only calibrates the
-temperature of the scores and the cross-entropy beyond which a text is marked as rejected.
+a bounded sample: `max_docs` texts and `max_chars` characters of each language (3,000 and 12 million unless set). A
+fifth of the texts only calibrates the temperature of the scores and the cross-entropy beyond which a text is marked
+as rejected; of a language with few texts all are learned.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_batches, runs_by_size
+from .common import fold, in_batches, runs_by_size, share_of, stored
 
 ORDER = 4
 #: Signs that are scored at once (some 100 bytes of memory each).
 PIECE = 1 << 19
-MAX_DOCS = 3_000
+MAX_DOCS, MAX_CHARS = 3_000, 12_000_000
+#: Sampled texts of a language from which on a fifth of them calibrates.
+CALIBRATES = 50
 UNKNOWN = "und"
 _M, _MIX, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 _LETTER: list[np.ndarray] = []
@@ -55,6 +58,17 @@ def _hash(columns) -> np.ndarray:
     return h * _MIX
 
 
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows by their hashes, the place of each row among them, and how often each occurs."""
+    _, first, to, n = np.unique(_hash(list(grams.T)), return_index=True, return_inverse=True, return_counts=True)
+    return grams[first], to, n
+
+
+def _summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values added up by their place."""
+    return np.stack([np.bincount(to, values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
+
+
 class Hashes:
     """Sorted 64-bit hashes, found by a table of their 20 leading bits."""
 
@@ -141,10 +155,8 @@ def fit(grams: np.ndarray, counts: np.ndarray, languages: list[str]) -> Models:
     levels = [(grams.astype(np.uint64), counts.astype(np.float64))]
     for _ in range(order - 1):  # a shorter gram counts once for each different sign before it
         g, c = levels[-1]
-        shorter, to = np.unique(g[:, 1:], axis=0, return_inverse=True)
-        lower = np.zeros((len(shorter), len(languages)))
-        np.add.at(lower, to.ravel(), c > 0)
-        levels.append((shorter, lower))
+        shorter, to, _ = _distinct(g[:, 1:])
+        levels.append((shorter, _summed(to, c > 0, len(shorter))))
     levels.reverse()
     signs_seen = len(levels[0][0]) + 1
     models = Models(languages, floor=float(np.log2(1 / signs_seen)))
@@ -155,9 +167,7 @@ def fit(grams: np.ndarray, counts: np.ndarray, languages: list[str]) -> Models:
         discount = np.clip(discount, 0.1, 0.95)
         key, context = _hash(list(g.T)), _hash(list(g[:, :-1].T)) if k > 1 else np.zeros(len(g), np.uint64)
         contexts, of = np.unique(context, return_inverse=True)
-        total, types = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
-        np.add.at(total, of, c)
-        np.add.at(types, of, c > 0)
+        total, types = _summed(of, c, len(contexts)), _summed(of, c > 0, len(contexts))
         weight = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
         lower = below[below_keys.find(_hash(list(g[:, 1:].T)))] if k > 1 else np.broadcast_to(below[0], c.shape)
         chance = np.maximum(c - discount, 0) / np.maximum(total[of], 1) + weight[of] * lower
@@ -170,19 +180,24 @@ def fit(grams: np.ndarray, counts: np.ndarray, languages: list[str]) -> Models:
     return models
 
 
-def _sample(docs: DataFrame, max_docs: int, folds: int, out: int) -> DataFrame:
-    """(lang, text, part): at most about max_docs texts of each language from the training folds; part 0 calibrates."""
-    rows = docs.select(F.col("_id"), "_text", "_lang").where(F.col("_lang").isNotNull() & (fold(F.col("_id"), folds) != out))
-    share = [(r[0], min(1.0, max_docs / r[1])) for r in sorted(rows.groupBy("_lang").count().collect())]
-    spot = F.pmod(F.xxhash64("_id", F.lit("language")), F.lit(1_000_000))
-    limit = F.create_map(*[x for lang, s in share for x in (F.lit(lang), F.lit(int(s * 1_000_000)))])
-    rows = rows.where(spot < limit[F.col("_lang")]) if share else rows.where(F.lit(False))
-    return rows.select(F.col("_lang").alias("lang"), "_text", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(5)).alias("part"))
+def _sample(docs: DataFrame, max_docs: int, max_chars: int, folds: int, out: int) -> DataFrame:
+    """(lang, text, part): of each language at most about max_docs texts and max_chars characters from the training folds.
+
+    Part 0 calibrates: a fifth of the texts of a language that has CALIBRATES of them in the sample, none of others."""
+    rows = docs.select(F.col("_id"), "_text", "_lang").where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), folds) != out))
+    choice = None
+    for lang, n, chars in sorted(rows.groupBy("_lang").agg(F.count("*"), F.sum(F.length("_text"))).collect()):
+        share = min(1.0, max_docs / n, max_chars / max(1, chars))
+        part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(5)) if n * share >= CALIBRATES else F.lit(1)
+        own = (F.col("_lang") == lang) & share_of(share, F.col("_id"), F.lit("language"))
+        choice = F.when(own, part) if choice is None else choice.when(own, part)
+    rows = rows.withColumn("part", F.lit(None).cast("int") if choice is None else choice.cast("int"))
+    return rows.where("part is not null").select(F.col("_lang").alias("lang"), "_text", "part")
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = MAX_DOCS, folds: int = 3, out: int = 1) -> Models:
-    sample = _sample(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")), max_docs, folds, out)
-    sample = sample.where("_text is not null")
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, folds: int = 3, out: int = 1) -> Models:
+    sample = _sample(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")), max_docs, max_chars, folds, out)
+    sample = stored(sample, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.zeros(ORDER - 1, np.uint32)
@@ -190,21 +205,23 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs:
             names = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1).to_pylist()
             for lang in sorted(set(names)):
-                parts = [signs(t) for t, own in zip(texts, names == lang, strict=True) if own]
-                wins = [np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, p]), ORDER) for p in parts if len(p)]
-                if wins:
-                    grams, n = np.unique(np.concatenate(wins), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(grams[:, k].astype(np.int32)) for k in range(ORDER)), pa.array(n)], names=["lang", *cols, "n"])
+                own = [t for t, mine in zip(texts, names == lang, strict=True) if mine]
+                for some in runs_by_size(list(map(len, own)), PIECE):
+                    parts = [signs(t) for t in own[some]]
+                    wins = [np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, p]), ORDER) for p in parts if len(p)]
+                    if wins:
+                        grams, _, n = _distinct(np.concatenate(wins))
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(grams[:, k].astype(np.int32)) for k in range(ORDER)), pa.array(n)], names=["lang", *cols, "n"])
 
     cols = [f"c{k}" for k in range(ORDER)]
     counted = in_batches(sample.where("part > 0").select("lang", "_text"), count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n bigint")
-    rows = counted.groupBy("lang", *cols).agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample's characters
+    rows = counted.groupBy("lang", *cols).agg(F.sum("n").alias("n")).toPandas()  # max_chars rows of each language at most
     languages = sorted(rows["lang"].unique())
     if not languages:
         return Models([])
-    grams, to = np.unique(rows[cols].to_numpy(np.uint32), axis=0, return_inverse=True)
+    grams, to, _ = _distinct(rows[cols].to_numpy(np.uint32))
     counts = np.zeros((len(grams), len(languages)))
-    np.add.at(counts, (to.ravel(), np.searchsorted(languages, rows["lang"].to_numpy(object))), rows["n"].to_numpy())
+    counts[to, np.searchsorted(languages, rows["lang"].to_numpy(object))] = rows["n"].to_numpy()  # each pair once
     models = fit(grams, counts, languages)
     _calibrate(models, sample.where("part = 0").select("lang", "_text"))
     return models
@@ -244,13 +261,13 @@ def _posterior(h: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, folds: int = 3, out: int = 1) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, folds: int = 3, out: int = 1) -> DataFrame:
     """id_col, held_out, lang_pred, score, rejected for every row of docs.
 
     Null texts and texts without letters get `und` and score 0, as do all without any language to learn. A null id
     is never held out. Ties go to the language that sorts first. rejected marks texts unlike all languages; they
     keep the nearest one at half the score. Other columns are ignored; repeated rows each come back."""
-    own = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_docs, folds, out))
+    own = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_docs, max_chars, folds, out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = own.value
