@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_batches, stored
+from .common import fold, in_batches, share_of, stored
 
 MAX_TRAIN = 20_000
 
@@ -127,13 +127,14 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: in
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", held_out: int = 5, max_train: int = MAX_TRAIN) -> Trees:
     """Trees from the labelled rows whose crc32 fold isn't 0, at most about max_train of them, taken by a hash of the id.
 
-    Null ids and labels are left out; an id with several labels counts by their mean."""
+    Null ids and labels are left out; an id with several labels counts by their mean, one with several texts by the
+    text whose statistics sort first."""
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null")
     own = own.groupBy("_id").agg(F.avg("_y").alias("_y")).where(fold(F.col("_id"), held_out) != 0)
     share = min(1.0, max_train / max(1, own.count()))
-    sample = own.where(F.pmod(F.xxhash64("_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = stats.select(F.col(id_col).alias("_id"), "stats").join(F.broadcast(sample), "_id").select("_id", "stats", "_y").toPandas()
-    rows = rows.sort_values("_id", kind="stable").drop_duplicates("_id")
+    sample = own.where(share_of(share, F.col("_id"), F.lit("train")))  # about max_train rows
+    found = stats.select(F.col(id_col).alias("_id"), "stats").join(F.broadcast(sample), "_id")
+    rows = found.groupBy("_id").agg(F.min("stats").alias("stats"), F.first("_y").alias("_y")).toPandas().sort_values("_id")
     x = np.array(rows["stats"].tolist(), dtype=np.float32).reshape(-1, len(FEATURES))
     return grow(x, (rows["_y"].to_numpy(dtype=np.float64) >= 0.5).astype(np.float64))
 
