@@ -90,17 +90,36 @@ def _forest(fps: np.ndarray, max_bits: int, wide: int = 16384) -> list[tuple[int
     return edges
 
 
-def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v): links among distinct fingerprints (column fp), enough of them to keep every connection."""
+def _split(posts: DataFrame, most: int) -> DataFrame:
+    """(fp, block, shared) with lists of more than `most` entries dealt out by a further byte.
+
+    Fingerprints that link agree in at least one byte beside the four of their list, so each entry goes to one list
+    for each of the other four positions, and every link is still in one of them."""
+    sizes = stored(posts.groupBy("block", "shared").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block", "shared"), "long")
+    if not sizes.limit(1).count():
+        return posts
+    rows = posts.join(sizes.withColumn("long", F.lit(True)), ["block", "shared"], "left")
+    others = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in b]) for b in BLOCKS])
+    more = rows.where("long").select("fp", "block", "shared", F.explode(F.element_at(others, F.col("block") + F.lit(1))).alias("p"))
+    byte = F.expr("shiftrightunsigned(fp, 8 * p)").bitwiseAND(F.lit(0xFF))
+    # numbers of block beyond the 14 tell the further position; shared tells the list and the further byte
+    more = more.select("fp", (F.col("block") + F.lit(len(BLOCKS)) * (F.col("p") + 1)).cast("int").alias("block"), F.xxhash64("shared", byte).alias("shared"))
+    return rows.where("long is null").select("fp", F.col("block").cast("int").alias("block"), "shared").unionByName(more)
+
+
+def links(distinct: DataFrame, max_bits: int = 3, max_list: int = 50_000) -> DataFrame:
+    """(u, v): links among distinct fingerprints (column fp), enough of them to keep every connection.
+
+    max_list: entries of a list that one task works on; longer lists are split."""
     if max_bits > 3:
         raise ValueError("four differing bytes can touch every set of positions; max_bits is 3 at most")
     posts = distinct.select("fp", F.explode(F.array(*[F.lit(k).cast("tinyint") for k in range(len(BLOCKS))])).alias("block"))
     masks = F.array(*[F.lit(int(m)) for m in MASKS.view(np.int64)])
     posts = posts.withColumn("shared", F.col("fp").bitwiseAND(F.element_at(masks, F.col("block") + F.lit(1))))
-    posts = posts.repartition("block", "shared").sortWithinPartitions("block", "shared")
+    posts = _split(posts, max_list).repartition("block", "shared").sortWithinPartitions("block", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 3), dtype=np.int64)
+        held: list[np.ndarray] = []  # rows of the list that the next batch may go on with
 
         def edges_of(rows: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero((np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 2]) != 0)) + 1
@@ -115,15 +134,17 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             if not len(rows):
                 continue
-            rows = np.concatenate([held, rows])
-            last = rows[-1, 1:]
-            back = np.flatnonzero((rows[:, 1:] != last).any(axis=1))
+            if held and (rows[0, 1:] != held[0][0, 1:]).any():
+                yield edges_of(np.concatenate(held))
+                held = []
+            back = np.flatnonzero((rows[:, 1:] != rows[-1, 1:]).any(axis=1))
             cut = back[-1] + 1 if len(back) else 0
             if cut:
-                yield edges_of(rows[:cut])
-            held = rows[cut:]
-        if len(held):
-            yield edges_of(held)
+                yield edges_of(np.concatenate([*held, rows[:cut]]))
+                held = []
+            held.append(rows[cut:])
+        if held:
+            yield edges_of(np.concatenate(held))
 
     return posts.select("fp", "block", "shared").mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
 
