@@ -33,8 +33,20 @@ PLAIN = r"[\x00-\x7Fß-öø-ÿ]*"
 PLAIN_WORDS = r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-ÿ0-9]+"
 #: Marks the last byte of a word inside the automaton; no byte is written so.
 END = "\x00"
-#: Words that each of a worker's two generations of memory holds at most (some 200 bytes each).
-MEMORY = 400_000
+#: Bytes that each of a worker's two generations of words takes at most, and pairs of tokens that it remembers.
+MEMORY, PAIRS = 24 << 20, 300_000
+#: How the vocabulary file normalises and cuts texts, which WORDS and normal() follow.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
 
 
 class _Memory(dict):
@@ -42,16 +54,17 @@ class _Memory(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= MEMORY:
-            self.old = dict(self)
+        if self.size >= MEMORY:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[word] = value
+        self.size += 200 + 2 * len(word) + len(value)
         return value
 
 
@@ -68,6 +81,9 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        for part, known in CUTS.items():
+            if spec.get(part) != known:
+                raise ValueError(f"{path}: {part} is not the one that this encoder follows")
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -122,12 +138,14 @@ class WordBpe:
                 pair = last[before] << 32 | token
                 good = fits.get(pair)
                 if good is None:
-                    if len(fits) >= MEMORY:
+                    if len(fits) >= PAIRS:
                         fits.clear()
                     good = fits[pair] = self.stands(last[before], token)
                 if not good:
                     continue
             last[stop], size[stop] = token, n
+        if not size[-1]:
+            raise ValueError(f"no tokens of the vocabulary give the word {word!r}")
         ids, at = [], len(form)
         while at:
             ids.append(last[at])
