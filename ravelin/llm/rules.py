@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh
 
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = r"(?i)all rights reserved|licensed under|under the \S+ licen[sc]e|copyright \(c\)|terms of (?:use|service)|privacy policy|cookie|subscribe to|click here|enable javascript|lorem ipsum"
@@ -85,17 +85,18 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(lost.alias("lost"), dup.alias("dup"), F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"))
 
     words = _let(all_words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
-    out = docs.withColumns({"_words": words, "_lines": _let(judged, parts)})
+    own_words, own_lines = fresh(docs, "words", "lines")
+    out = docs.withColumns({own_words: words, own_lines: _let(judged, parts)})
     out = out.withColumns(
         {
-            "n_words": F.col("_words.n").cast("bigint"),
+            "n_words": F.col(own_words)["n"].cast("bigint"),
             "word_chars": (F.length(text) - _without(text, " \t\n\x0b\x0c\r")).cast("bigint"),
             "n_symbols": _without(text, SYMBOLS).cast("bigint"),
-            "n_dup_lines": F.col("_lines.dup").cast("bigint"),
-            "n_repeat_words": F.col("_words.again").cast("bigint"),
-            "lost_words": F.col("_lines.lost").cast("bigint"),
-            "cleaned": F.col("_lines.cleaned"),
+            "n_dup_lines": F.col(own_lines)["dup"].cast("bigint"),
+            "n_repeat_words": F.col(own_words)["again"].cast("bigint"),
+            "lost_words": F.col(own_lines)["lost"].cast("bigint"),
+            "cleaned": F.col(own_lines)["cleaned"],
         }
     )
-    out = out.drop("_words", "_lines").withColumn("base_failed", (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words")))
+    out = out.drop(own_words, own_lines).withColumn("base_failed", (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * MOST_LOST))
