@@ -5,11 +5,11 @@ training texts are counted in Spark, for contexts of five bytes and then of one
 that occurs stays in these tables. Escape estimates are those of method D, and a symbol that a longer context has seen
 is excluded from the shorter ones.
 
-The trie is fixed after training, so each symbol has one code length in each context. For the frequent contexts (as
-many as HEAD_CELLS numbers can hold) these are worked out as one array and sent to all executors; scoring a byte there
-is two look-ups, whole batches at a time. The other places of a text leave the task as packed bytes, whose code
-lengths Spark works out from the counts, each distinct one once, and joins back. The bound moves work between the two
-ways; scores don't depend on it.
+The trie is fixed after training, so each byte after five others has one code length. Those of the most frequent
+places (bytes with their contexts, HEAD of them at most) are sent to all executors as sorted arrays and looked up for
+whole batches at a time. The other places of a text leave the task as packed bytes; Spark works out their code lengths
+from the tables, each distinct one once, and joins them back. The bound moves work between the two ways; scores don't
+depend on it.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, in_batches, runs_by_size, stored
+from .language import Hashes
 
 ORDER = 5
-#: Code lengths (contexts x symbols, four bytes each) that are sent to all executors at most.
-HEAD_CELLS = 12_000_000
+#: Places whose code lengths are sent to all executors at most (some 16 bytes each).
+HEAD = 1_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words with at least this share of all training tokens are sent to all executors: 100,000 words at most.
 COMMON_SHARE = 1e-5
 #: Start padding and end sign; words and the spaces between them never hold it.
@@ -82,32 +84,23 @@ def _count(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Trie:
-    """Code lengths by (context, symbol), and tables that lead from the last bytes to the longest context."""
+class Head:
+    """Code lengths of the frequent places, found by a hash of their packed bytes."""
 
-    symbol: np.ndarray  # byte -> symbol; the last symbol stands for all bytes without training
-    three: np.ndarray  # the last three symbols -> context
-    deeper: list[tuple[int, np.ndarray]]  # for four symbols and more: the first context that is one shorter, (its place from there, symbol before it) -> context
-    full: int  # the first context of ORDER symbols; 0 without training
-    cost: np.ndarray  # (context, symbol) -> log10 probability
+    places: Hashes
+    cost: np.ndarray  # by place, log10 probability
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each text over the places whose whole context is here; the other places of all texts, packed, and their number in each text."""
-        total, left, width = np.zeros(len(texts)), np.zeros(len(texts), np.int64), self.cost.shape[1]
+        """log10 probability of each text over the places that are here; the other places of all texts, packed, and their number in each text."""
+        total, left = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         codes = [np.empty(0, np.int64)]
         for flat, at, of in _pieces(texts):
-            s = self.symbol[flat]
-            near = (s[at - 3] * width + s[at - 2]) * width + s[at - 1]
-            context = self.three[near]
-            for k, (first, table) in enumerate(self.deeper, 4):
-                from_here = np.flatnonzero(context >= first)  # the others have no context of this length
-                context[from_here] = table[(context[from_here] - first) * width + s[at[from_here] - k]]
-            out = np.flatnonzero(context < self.full)
-            codes.append(_packed(flat, at[out]))
+            code = _packed(flat, at)
+            found = self.places.find(code.view(np.uint64) * _MIX)
+            total += np.bincount(of, self.cost[found], minlength=len(texts))  # -1 takes the last, which is 0
+            out = np.flatnonzero(found < 0)
+            codes.append(code[out])
             left += np.bincount(of[out], minlength=len(texts))
-            logs = self.cost.ravel()[context * width + s[at]]
-            logs[out] = 0
-            total += np.bincount(of, logs, minlength=len(texts))
         return total, np.concatenate(codes), left
 
 
@@ -119,52 +112,6 @@ def _packed(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code
 
 
-def _trie(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-    """From the counts (context, byte, n) of each length of context; a context's shorter ends are all there too."""
-    seen = np.unique(orders[0][1])
-    symbol = np.full(256, len(seen), np.int32)
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    kept = [np.zeros(1, np.int64), *(np.unique(context) for context, _, _ in orders[1:])]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
-    counted = np.zeros((first[-1], width), np.float32)
-    parent = np.zeros(first[-1], np.int64)
-    for k, (context, byte, n) in enumerate(orders):
-        counted[first[k] + np.searchsorted(kept[k], context), symbol[byte]] = n  # each pair once
-        if k:
-            parent[first[k] : first[k + 1]] = first[k - 1] + np.searchsorted(kept[k - 1], kept[k] & (256 ** (k - 1) - 1))
-    cost = np.empty(counted.shape, np.float32)
-    for begin in range(0, len(cost), 4096):
-        level = np.arange(begin, min(len(cost), begin + 4096))
-        out = np.full((len(level), width), -np.inf)
-        left, excluded, live = np.zeros(len(level)), np.zeros((len(level), width), bool), np.ones(len(level), bool)
-        while live.any():
-            c = np.where(excluded, 0, counted[level]).astype(np.float64) * live[:, None]
-            total, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
-            new = np.log10(np.maximum(c - 0.5, 0.5)) - np.log10(np.maximum(total, 1))[:, None] + left[:, None]
-            out = np.where(c > 0, new, out)
-            left += np.where(total > 0, np.log10(np.maximum(kinds, 1) / 2 / np.maximum(total, 1)), 0)
-            excluded |= c > 0
-            live &= level > 0
-            level = parent[level]
-        # what no context has seen is equally likely among the 256 bytes left
-        unseen = 256 - excluded.sum(axis=1)
-        cost[begin : begin + len(level)] = np.where(excluded, out, (left - np.log10(np.maximum(unseen, 1)))[:, None])
-    three = np.zeros(width**3, np.int32)
-    grid = three.reshape(width, width, width)
-    for k in range(1, 4):
-        ends = [symbol[kept[k] >> (8 * j) & 255] for j in range(k - 1, -1, -1)]
-        ids = np.arange(first[k], first[k + 1], dtype=np.int32)
-        grid[(..., *ends)] = ids  # for shorter ends the symbols before don't matter
-    deeper = []
-    for k in range(4, ORDER + 1):
-        table = np.repeat(np.arange(first[k - 1], first[k], dtype=np.int32), width)
-        ids = np.arange(first[k], first[k + 1])
-        table[(parent[ids] - first[k - 1]) * width + symbol[kept[k] >> (8 * k - 8)]] = ids
-        deeper.append((int(first[k - 1]), table))
-    return Trie(symbol, three, deeper, int(first[ORDER]) if len(seen) else 0, cost)
-
-
 @dataclass
 class Words:
     """Add-0.1 estimates of the common words; rarer ones are joined from the counted table."""
@@ -184,26 +131,20 @@ def _levels(grams: DataFrame) -> list[DataFrame]:
     return levels[::-1]
 
 
-def _head(levels: list[DataFrame], cells: int) -> Trie:
-    """The trie of the contexts that occur at least so often that their code lengths fit in so many cells.
-
-    A context's shorter ends occur at least as often, so they are in it too."""
-    totals = [c.groupBy("context").agg(F.sum("n").alias("total")) for c in levels]
-    step = F.floor(F.log2("total") * 8).cast("int")
-    sizes = None
-    for t in totals[1:]:
-        part = t.select(step.alias("step"))
-        sizes = part if sizes is None else sizes.unionByName(part)
-    by_step = {r["step"]: r["count"] for r in sizes.groupBy("step").count().collect()}  # eight rows for each power of two
-    width = levels[0].count() + 1
-    held, least = 1, max(by_step, default=0) + 1
-    while least > 0 and (held := held + by_step.get(least - 1, 0)) * width <= cells:
+def _head(longest: DataFrame, most: int) -> Head:
+    """The code lengths of the places that occur at least so often that they are `most` or fewer."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    by_step = {r["step"]: r["count"] for r in longest.groupBy(step.alias("step")).count().collect()}  # eight rows for each power of two
+    held, least = 0, max(by_step, default=-1) + 1
+    while least > 0 and held + by_step.get(least - 1, 0) <= most:
         least -= 1
-    parts = [levels[0].toPandas()]
-    for counted, total in zip(levels[1:], totals[1:], strict=True):
-        frequent = total.where(step >= least).select("context")
-        parts.append(counted.join(frequent, "context", "left_semi").select("context", F.col("byte").cast("smallint"), "n").toPandas())  # within `cells`
-    return _trie([tuple(p[c].to_numpy() for c in ("context", "byte", "n")) for p in parts])
+        held += by_step.get(least, 0)
+    totals = longest.groupBy("context").agg(F.sum("n").alias("total"))
+    gram = F.call_function("shiftleft", F.col("context"), F.lit(8)) + F.col("byte")
+    rows = longest.where(step >= least).join(totals, "context").select(gram.alias("gram"), F.log10((F.col("n") - 0.5) / F.col("total")).cast("float").alias("cost")).toPandas()  # `most` at most
+    key = rows["gram"].to_numpy(np.int64).view(np.uint64) * _MIX
+    order = np.argsort(key)
+    return Head(Hashes(key[order]), np.append(rows["cost"].to_numpy(np.float32)[order], np.float32(0)))
 
 
 def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -238,36 +179,36 @@ def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return done
 
 
-def _train(docs: DataFrame, cells: int = HEAD_CELLS) -> tuple[Trie, list[DataFrame], Words, DataFrame, dict]:
-    """The frequent part of the trie, the counts of all contexts, the common words, the counts of the others by hash, and the totals."""
+def _train(docs: DataFrame, head: int = HEAD) -> tuple[Head, list[DataFrame], Words, DataFrame, dict]:
+    """The frequent places, the counts of all contexts, the common words, the counts of the others by hash, and the totals."""
     counted = stored(_count(docs), "counted")
     words = counted.where("gram is null")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("texts")).first().asDict()
     levels = _levels(counted.where("gram is not null"))
-    trie = _head(levels, cells)
+    frequent = _head(levels[ORDER], head)
     least = totals["tokens"] * COMMON_SHARE
     words = words.where("word is not null")
     common = words.where(F.col("n") >= least).select("word", "n").toPandas()
     place = {bytes(w): k for k, w in enumerate(common["word"])}
     logs = np.log10(common["n"].to_numpy(np.float64) + 0.1)
     rare = words.where(F.col("n") < least).select(F.xxhash64("word").alias("hash"), F.col("n").alias("c"))
-    return trie, levels, Words(place, logs), rare, totals
+    return frequent, levels, Words(place, logs), rare, totals
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, out: int = 0, cells: int = HEAD_CELLS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, out: int = 0, head: int = HEAD) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Training takes the rows outside the fold `out`, those with a null id included. Null texts are empty: their only
     token is the end. Rare words meet their counts by a 64-bit hash. Without any training row all words are unknown
-    and all bytes equally likely. Other columns are ignored; repeated rows each count and come back. cells bounds what
+    and all bytes equally likely. Other columns are ignored; repeated rows each count and come back. head bounds what
     is sent to all executors; the scores don't depend on it."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    trie, levels, words, rare, totals = _train(rows.where(fold(F.col("_id"), folds) != out), cells)
+    frequent, levels, words, rare, totals = _train(rows.where(fold(F.col("_id"), folds) != out), head)
     context = docs.sparkSession.sparkContext
-    model = context.broadcast((trie, words))
+    model = context.broadcast((frequent, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words = model.value
+        frequent, words = model.value
         logs = np.append(words.logs, 0.0)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
@@ -283,7 +224,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                     hashes += [xxhash.xxh64_intdigest(t[k], 42) for k in off]
                     cuts.append(len(hashes))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)))
-                total, codes, left = trie.score(texts)
+                total, codes, left = frequent.score(texts)
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.array(codes))
                 columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), lists, places]
                 yield pa.RecordBatch.from_arrays(columns, names=["_row", "_id", "n_tokens", "known", "logs", "score", "rare", "places"])

@@ -388,9 +388,9 @@ def brute_ppm(counts, text):
     return total
 
 
-@pytest.mark.parametrize("cells", [10**7, 800, 0])
-def test_ppm_contexts_of_every_frequency_count(spark, cells):
-    """Whatever part of the trie is sent to the executors, scores are those of all contexts."""
+@pytest.mark.parametrize("head", [10**6, 30, 0])
+def test_ppm_contexts_of_every_frequency_count(spark, head):
+    """Whatever part of the code lengths is sent to the executors, scores are those of all contexts."""
     own = ["the cat sat on the mat", "the bat", "a cat and a hat", "that", "The cat sat on the mat", "a bat sat", None, "the zebra xyz é", "", "that hat on the bat", "the cat zat on the zat " * 30]
     df = spark.createDataFrame(list(enumerate(own)), "doc_id int, text string").repartition(3)
     plain = [b" ".join((t or "").lower().encode().split()) for t in own]
@@ -403,7 +403,7 @@ def test_ppm_contexts_of_every_frequency_count(spark, cells):
             for size in range(ppm.ORDER + 1):
                 c = counts.setdefault(padded[k - size : k], {})
                 c[padded[k]] = c.get(padded[k], 0) + 1
-    found = {r["doc_id"]: (r["held_out"], r["score"]) for r in ppm.score(df, folds=folds, cells=cells).collect()}
+    found = {r["doc_id"]: (r["held_out"], r["score"]) for r in ppm.score(df, folds=folds, head=head).collect()}
     assert [found[k][0] for k in range(len(own))] == held
     assert np.allclose([found[k][1] for k in range(len(own))], [brute_ppm(counts, t) for t in plain], atol=1e-3)
 
