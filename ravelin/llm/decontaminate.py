@@ -133,23 +133,19 @@ def _index(docs: DataFrame, known, wanted, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, around = _Terms(known.value), np.arange(1 - size, size)
-        pad = np.zeros(size - 1, np.int32)
+        gap = [np.zeros(size - 1, np.uint64)]
         for batch in batches:
-            n_words, offsets, terms, places, ctx = [], [0], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-            for text in batch.column(3).to_pylist():
-                own = of.of(text)
-                at = np.flatnonzero(own)
-                at = at[_marked(wanted.value, own[at])]
-                n_words.append(len(own))
-                offsets.append(offsets[-1] + len(at))
-                if len(at):
-                    terms.append(own[at])
-                    places.append(at.astype(np.int32))
-                    ctx.append(np.concatenate([pad, _short(own), pad])[at[:, None] + size - 1 + around].ravel())
-            cuts = pa.array(np.arange(offsets[-1] + 1, dtype=np.int32) * (2 * size - 1))
-            posts = pa.StructArray.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(np.concatenate(places)), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(ctx)))], names=["term", "pos", "ctx"])
-            lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), posts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int64()), lists], names=["_id", "_k1", "_k2", "n_words", "posts"])
+            each = [of.of(t) for t in batch.column(3).to_pylist()]
+            sizes = np.fromiter(map(len, each), np.int64, count=len(each))
+            starts = np.cumsum(sizes + size - 1) - sizes  # a gap before each text and one at the end
+            flat = np.concatenate([x for own in each for x in (*gap, own)] + gap)
+            at = np.flatnonzero(flat)
+            at = at[_marked(wanted.value, flat[at])]
+            row = np.searchsorted(starts, at, side="right") - 1
+            ctx = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(around)), pa.array(_short(flat)[at[:, None] + around].ravel()))
+            posts = pa.StructArray.from_arrays([pa.array(flat[at].view(np.int64)), pa.array((at - starts[row]).astype(np.int32)), ctx], names=["term", "pos", "ctx"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(each) + 1)).astype(np.int32)), posts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), lists], names=["_id", "_k1", "_k2", "n_words", "posts"])
 
     schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _k1 bigint, _k2 bigint, n_words bigint, posts array<struct<term bigint, pos int, ctx array<int>>>"
     return in_batches(docs.select("_id", "_k1", "_k2", "_text"), run, schema)
@@ -189,7 +185,8 @@ def overlaps(
     every = stored(_windows(items, size), "windows")
     windows = stored(every.groupBy("window").agg(F.first("terms").alias("terms"), F.first("ids").alias("ids")), "windows")
     known = spark.sparkContext.broadcast(_map_of(windows.select(F.explode("terms").alias("term")).distinct()))
-    lookups = stored(_lookups(windows, _counts(rows, known), near), "lookups")
+    counts = stored(_counts(rows, known), "counts")
+    lookups = stored(_lookups(windows, counts, near), "lookups")
     wanted = spark.sparkContext.broadcast(_map_of(lookups.select("term").distinct()))
     index = stored(_index(rows, known, wanted, size), "postings")
     matches = stored(_matches(index, lookups, size, near).distinct(), "matches")
