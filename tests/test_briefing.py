@@ -26,9 +26,29 @@ def test_claims(text, total, new, old):
     assert (said["total"], said["new"], said["preexisting"]) == (total, new, old)
 
 
-def test_names():
-    out = evaluate.names_in("Darkhosel and APT28 were active with PittyPig.", ["Darkhotel", "APT28", "PittyTiger", "Sandworm"])
-    assert out["exact"] == ["APT28"] and "Darkhotel" in out["corrupt"] and "Sandworm" in out["omitted"]
+@pytest.mark.parametrize(
+    ("text", "total", "new", "old"),
+    [
+        ("Top 5 indicators follow.", set(), set(), set()),
+        ("12 indicadores nuevos y 40 indicadores en total.", {40}, {12}, set()),
+        ("Newly added: 3; overall 90 IOCs were seen", {90}, set(), set()),
+        ("There were 7 previously known artifacts, and no new indicators", set(), {0}, {7}),
+        ("Ningún indicador nuevo entre 50 indicadores", {50}, {0}, set()),
+        ("twenty-one newly identified IOCs", set(), {21}, set()),
+        ("1.2.3.4 was seen", set(), set(), set()),
+        ("", set(), set(), set()),
+    ],
+)
+def test_more_claims(text, total, new, old):
+    said = evaluate.claims(text)
+    assert (said["total"], said["new"], said["preexisting"]) == (total, new, old)
+
+
+def test_names(spark):
+    rows = spark.createDataFrame([("Darkhosel and APT28 were active with PittyPig.", ["Darkhotel", "APT28", "PittyTiger", "Sandworm"]), (None, ["X"]), ("a\\E(b and c", ["a\\E(b", "\\E("]), ("x", None)], "text string, names array<string>")
+    out = evaluate.name_fidelity(rows).collect()
+    assert out[0]["exact"] == ["APT28"] and "Darkhotel" in out[0]["corrupt"] and "Sandworm" in out[0]["omitted"]
+    assert "a\\E(b" in out[2]["exact"] and out[3]["exact"] == []
 
 
 def test_block_and_measure(spark):
