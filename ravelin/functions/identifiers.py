@@ -28,8 +28,23 @@ SHAPES = {
     "hash_sha256": r"^[A-Fa-f0-9]{64}$",
     "email": r"^[^\s'\"\\@]{1,64}@(?!-)[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+$",
 }
-#: Top-level domains under which a dotted word counts as a domain, unless others are given.
-TLDS = ("com", "net", "org", "info", "biz", "edu", "gov", "mil", "int", "io", "co", "ru", "cn", "de", "fr", "es", "uk", "us", "br", "mx", "ar", "cl", "pe", "ec", "ve", "eu", "it", "nl", "pl", "ua", "ir", "in", "jp", "kr", "xyz", "top", "online", "site", "club", "shop", "app", "dev", "example")
+#: Generic top-level domains that are in wide use. Country codes are known by their form: two letters.
+GENERIC_TLDS = (
+    "com", "net", "org", "info", "biz", "edu", "gov", "mil", "int", "arpa", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "asia", "cat", "post", "xxx",
+    "xyz", "top", "online", "site", "website", "space", "club", "shop", "store", "app", "dev", "page", "cloud", "tech", "live", "life", "world", "today", "news", "blog", "wiki", "work",
+    "works", "email", "link", "click", "vip", "win", "bid", "loan", "men", "date", "party", "trade", "review", "stream", "download", "racing", "science", "cricket", "faith", "accountant",
+    "icu", "cyou", "buzz", "monster", "quest", "sbs", "rest", "bar", "fun", "pw", "host", "press", "agency", "digital", "network", "systems", "solutions", "services", "support", "center",
+    "group", "company", "finance", "money", "bank", "insurance", "capital", "exchange", "market", "markets", "global", "international", "media", "studio", "design", "art", "games",
+    "game", "bet", "casino", "poker", "chat", "social", "video", "photos", "zip", "mov", "run", "rocks", "ninja", "guru", "zone", "expert", "tools", "software", "codes", "security",
+    "health", "care", "school", "academy", "university", "law", "legal", "example", "test", "invalid", "localhost", "onion",
+)
+
+
+def is_tld(label: Column, tlds: tuple[str, ...] | None = None) -> Column:
+    """Whether a lower-case label is a top-level domain: one of tlds if they are given (a full list, say), else a country code by form or a generic one."""
+    return label.isin(*tlds) if tlds else label.rlike("^[a-z]{2}$") | label.isin(*GENERIC_TLDS)
+
+
 HASH_SIZES = (("hash_sha256", 64), ("hash_sha1", 40), ("hash_md5", 32))
 
 
@@ -69,9 +84,11 @@ def type_label(pattern: Column) -> Column:
 
 def hashes(text: Column) -> Column:
     """(type, value) of all hex runs of a hash's size, by type from the longest, then in text order."""
-    runs = F.regexp_extract_all(text, F.lit(r"([A-Fa-f0-9]+)"), F.lit(1))
-    of = lambda name, size: F.transform(F.filter(runs, lambda r: F.length(r) == size), lambda r: F.struct(F.lit(name).alias("type"), r.alias("value")))
-    return F.concat(*[of(*x) for x in HASH_SIZES])
+    size = "|".join(f"[A-Fa-f0-9]{{{n}}}" for _, n in HASH_SIZES)
+    shape = rf"(?<![A-Fa-f0-9])({size})(?![A-Fa-f0-9])"
+    of = lambda runs, name, n: F.transform(F.filter(runs, lambda r: F.length(r) == n), lambda r: F.struct(F.lit(name).alias("type"), r.alias("value")))
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(shape), F.lit(1))), lambda runs: F.concat(*[of(runs, *x) for x in HASH_SIZES]))
+    return F.flatten(found)
 
 
 def cves(text: Column) -> Column:
@@ -97,18 +114,18 @@ def normal_identifier(kind: Column, value: Column) -> Column:
     return F.when(kind == "url", url).when(kind == "domain", F.lower(value)).when(kind.isin("cve", "technique"), F.upper(value)).otherwise(value)
 
 
-def facts(text: Column, tlds: tuple[str, ...] = TLDS) -> Column:
+def facts(text: Column, tlds: tuple[str, ...] | None = None) -> Column:
     """(kind, value) of the identifiers in a text, each once, sorted: IPv4, technique and CVE ids, URLs, and domains outside URLs."""
     url = r"(?i)https?://[^\s|)\]}>\"'`]+"
     every = lambda kind, pattern, source=text: F.transform(F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), normal_identifier(F.lit(kind), v).alias("value")))
     urls = F.transform(F.regexp_extract_all(text, F.lit(f"({url})"), F.lit(1)), lambda v: F.struct(F.lit("url").alias("kind"), normal_identifier(F.lit("url"), F.regexp_replace(v, r"[.,;:*]+$", "")).alias("value")))
     outside = F.lower(F.regexp_replace(text, url, " "))
-    names = F.filter(every("domain", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b", outside), lambda x: F.substring_index(x["value"], ".", -1).isin(*tlds))
+    names = F.filter(every("domain", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b", outside), lambda x: is_tld(F.substring_index(x["value"], ".", -1), tlds))
     found = F.concat(every("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), every("technique", r"(?i)\bT1\d{3}(?:\.\d{3})?\b"), every("cve", r"(?i)\bCVE-\d{4}-\d{4,7}\b"), urls, names)
     return F.array_sort(F.array_distinct(found))
 
 
-def context_facts(text: Column, tlds: tuple[str, ...] = TLDS) -> Column:
+def context_facts(text: Column, tlds: tuple[str, ...] | None = None) -> Column:
     """The same of a context, where the host of a URL also stands for its domain or address."""
     found = facts(text, tlds)
     hosts = F.transform(F.filter(found, lambda x: x["kind"] == "url"), lambda x: url_part(x["value"], "host"))
@@ -127,7 +144,14 @@ def is_valid_name(name: Column, category: Column) -> Column:
     return (F.length(name) >= least) & ~name.rlike(r"…|\.\.\.") & ~name.rlike(r"(?iU)\b(?:unknown|unnamed|unidentified)\b")
 
 
+#: What a message says that tells of the network, in lower case.
+TRANSIENT = (
+    "name resolution", "cannot resolve", "temporary failure", "not reachable", "timed out", "timeout", "connection refused", "connection reset", "connection aborted", "connection error",
+    "max retries", "502", "503", "504", "bad gateway", "service unavailable", "gateway time",
+)
+
+
 def is_transient(message: Column) -> Column:
     """Whether a failure came from the network, so that the URL is tried again."""
-    shape = r"(?i)name resolution|cannot resolve|temporary failure|not reachable|timed out|timeout|connection (?:refused|reset|aborted|error)|max retries|502|503|504|bad gateway|service unavailable|gateway time"
-    return F.coalesce(message, F.lit("")).rlike(shape)
+    said = F.lower(F.coalesce(message, F.lit("")))
+    return F.exists(F.array(*map(F.lit, TRANSIENT)), lambda sign: F.contains(said, sign))

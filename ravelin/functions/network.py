@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 #: Networks that no public host has.
@@ -38,16 +43,60 @@ def cidr(text: Column) -> Column:
     return F.when(is_ipv4(ip) & bits.between(0, 32), F.concat(ip_text(ip_number(ip) - F.pmod(ip_number(ip), host)), F.lit("/"), bits.cast("string")))
 
 
+#: IPv6 networks that no public host has.
+SPECIAL_6 = ("::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8")
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address, a trailing dotted IPv4 part included; null if it is none. A zone after % is ignored."""
+    groups = lambda part: F.filter(F.split(F.coalesce(part, F.lit("")), ":", -1), lambda g: F.coalesce(part, F.lit("")) != "")
+    hextet = lambda n: F.lower(F.hex(n))
+
+    def with_words(bare: Column) -> Column:
+        """The dotted part, if there is one, as two groups."""
+        four = ip_number(F.regexp_extract(bare, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+        head = F.regexp_extract(bare, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1)
+        return let(four, lambda n: F.when(head == "", bare).when(n.isNotNull(), F.concat(head, hextet(F.shiftright(n, 16)), F.lit(":"), hextet(n.bitwiseAND(F.lit(0xFFFF))))))
+
+    def filled(cut: Column) -> Column:
+        def pad(sides: Column) -> Column:
+            missing = F.lit(8) - F.size(sides["l"]) - F.size(sides["r"])
+            whole = F.concat(sides["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), sides["r"])
+            return F.when(F.size(cut) == 1, sides["l"]).when((F.size(cut) == 2) & (missing >= 1), whole)
+
+        return let(F.struct(groups(F.get(cut, F.lit(0))).alias("l"), groups(F.get(cut, F.lit(1))).alias("r")), pad)
+
+    bare = F.lower(F.substring_index(F.regexp_replace(F.trim(text), r"^\[|\]$", ""), "%", 1))
+    every = let(let(bare, with_words), lambda b: let(F.split(b, "::", -1), filled))
+    good = lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    return let(every, lambda g: F.when(good(g), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
+
+
+def _in_block_6(groups: Column, block: str) -> Column:
+    net = ipaddress.ip_network(block)
+    out = F.lit(True)
+    for k in range(-(-net.prefixlen // 16)):
+        bits = min(16, net.prefixlen - 16 * k)
+        mask = 0xFFFF << (16 - bits) & 0xFFFF
+        out = out & (F.get(groups, F.lit(k)).bitwiseAND(F.lit(mask)) == (int(net.network_address) >> (112 - 16 * k) & mask))
+    return out
+
+
 def is_special(ip: Column) -> Column:
-    """Whether an address lies in a special-use network (so no fetch may go there)."""
-    number = ip_number(ip)
-    hit = F.lit(False)
-    for block in SPECIAL:
-        a, b, c, d_bits = block.split(".")
-        d, bits = d_bits.split("/")
-        low = int(a) << 24 | int(b) << 16 | int(c) << 8 | int(d)
-        hit = hit | number.between(low, low + 2 ** (32 - int(bits)) - 1)
-    return F.coalesce(hit, F.lit(False))
+    """Whether an address lies in a special-use network (so no fetch may go there): IPv4, IPv6, and IPv4 inside a mapped IPv6 address."""
+
+    def judged(groups: Column) -> Column:
+        inner = ip_text(F.get(groups, F.lit(6)).cast("bigint") * 65536 + F.get(groups, F.lit(7)))
+        six = functools.reduce(lambda a, b: a | b, (_in_block_6(groups, block) for block in SPECIAL_6))
+        return F.when(groups.isNull(), let(ip, _is_special_4)).when(_in_block_6(groups, "::ffff:0:0/96"), let(inner, _is_special_4)).otherwise(six)
+
+    return let(ipv6_groups(ip), judged)
+
+
+def _is_special_4(ip: Column) -> Column:
+    blocks = [ipaddress.ip_network(block) for block in SPECIAL]
+    inside = lambda n: functools.reduce(lambda a, b: a | b, (n.between(int(b[0]), int(b[-1])) for b in blocks))
+    return F.coalesce(let(ip_number(ip), inside), F.lit(False))
 
 
 def url_part(url: Column, part: str) -> Column:

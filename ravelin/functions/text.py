@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with accents and what is left without them. Fixed values.
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is one other character, those characters, and what Latin letters and numbers become that fall into several."""
+    single: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or not unicodedata.decomposition(c):
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(plain) == 1 and plain != c and c.lower() == c:
+            single[c] = plain
+        elif len(plain) > 1 and c.lower() == c and (code < 0x370 or 0x1E00 <= code < 0x1F00 or 0x2100 <= code < 0x2190 or 0xFB00 <= code <= 0xFB06):
+            several[c] = plain
+    return "".join(single), "".join(single.values()), several
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def escape(value: Column) -> Column:
@@ -31,8 +54,18 @@ def fold_space(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.regexp_replace(F.lower(text), r"[\u0300-\u036f]", ""), _ACCENTED, _PLAIN)
+    """Lower case in compatibility form without combining marks (NFKD): by one table of single characters, and one replacement each for the rare ligatures."""
+    source, plain, several = _folds()
+    text = F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), source, plain)
+    parts = text
+    for c, new in several.items():
+        parts = F.replace(parts, F.lit(c), F.lit(new))
+    return F.when(text.rlike("[" + "".join(several) + "]"), parts).otherwise(text)
+
+
+def quoted(value: Column) -> Column:
+    """A pattern that matches a value letter by letter, whatever it holds."""
+    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def name_key(name: Column) -> Column:
@@ -52,9 +85,13 @@ def refang(text: Column) -> Column:
         (r"\[:\]", ":"),
         (r"\[://\]", "://"),
     )
-    for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, new)
-    return text
+    for pattern, new in steps[:1]:
+        text = F.when(text.rlike("(?i)hxxp"), F.regexp_replace(text, pattern, new)).otherwise(text)
+    open_ = text.contains("[") | text.contains("(") | text.contains("{")
+    out = text
+    for pattern, new in steps[1:]:
+        out = F.regexp_replace(out, pattern, new)
+    return F.when(open_, out).otherwise(text)
 
 
 def clean(value: Column, most: int = 80) -> Column:
@@ -92,7 +129,7 @@ def line_at(text: Column, at: Column) -> Column:
 
 def occurrences(text: Column, value: Column) -> Column:
     """0-based places of a literal, without overlaps, in order."""
-    pieces = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
+    pieces = F.split(text, quoted(value), -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -120,8 +157,8 @@ def contexts(text: Column, value: Column, radius: int = 350) -> Column:
 
 def mentions(text: Column, name: Column) -> Column:
     """Whether a name stands in the text, in any case, and not inside a word."""
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower(name), F.lit(r"\E(?!\w)"))
-    return (name != "") & F.call_function("regexp", F.lower(text), quoted)
+    shape = F.concat(F.lit(r"(?U)(?<!\w)"), quoted(F.lower(name)), F.lit(r"(?!\w)"))
+    return (name != "") & F.call_function("regexp", F.lower(text), shape)
 
 
 def has_markdown(text: Column) -> Column:

@@ -164,3 +164,58 @@ def test_outcomes_of_dispatch(spark):
     processed = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "url string")
     outcomes = spark.createDataFrame([("complete", "r", "l1", "d1", None), ("error", None, "l2", "d2", "Connection refused"), ("error", None, "l3", "d3", "404"), ("complete", None, "l4", "d4", None)], "status string, report_id string, landing_key string, document_key string, error string")
     assert {r["url"] for r in lifecycle.acknowledged(processed, outcomes).collect()} == {"d1", "l1", "d3"}
+
+
+def test_addresses_of_both_kinds_are_judged_alike(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    given = ["::", "::1", "fe80::1%eth0", "[fc00::5]", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "2606:4700:4700::1111", "2001:db8::1", "1::2::3", "12345::", "::ffff:999.1.1.1", "1:2:3:4:5:6:7", "2a00:1450::200e", "ff02::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8"]
+    given += [str(ipaddress.ip_address(rng.getrandbits(128))) for _ in range(40)] + [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(40)]
+    rows = spark.createDataFrame([(g,) for g in given], "ip string")
+    found = {r["ip"]: (r["groups"], r["special"]) for r in rows.select("ip", network.ipv6_groups(F.col("ip")).alias("groups"), network.is_special(F.col("ip")).alias("special")).collect()}
+    for g in given:
+        try:
+            ip = ipaddress.ip_address(g.strip("[]").split("%")[0])
+        except ValueError:
+            assert found[g] == (None, False), g
+            continue
+        if ip.version == 6:
+            assert found[g][0] == [int(ip) >> (112 - 16 * k) & 0xFFFF for k in range(8)], g
+        inner = getattr(ip, "ipv4_mapped", None) or ip
+        if inner.version == 6:
+            assert found[g][1] == (inner.is_private or inner.is_link_local or inner.is_multicast or inner.is_loopback or inner.is_unspecified or inner.is_site_local or inner in ipaddress.ip_network("2002::/16")), g
+        else:
+            assert found[g][1] == (not inner.is_global or inner.is_multicast or inner in ipaddress.ip_network("192.88.99.0/24")), g
+
+
+def test_folding_is_that_of_unicode(spark):
+    import unicodedata
+
+    texts = ["ÁÉÍ ñandú Über", "ǅungla ﬁn ½ ① ｆｕｌｌ", "Ṩȫ Ǖ ą̈ İstanbul ŉ ĳ", "\u212b \u2126 x\u0301\u0323", "日本 한국", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold_accents(F.col("t")).alias("f")).collect()
+    for r in rows:
+        plain = None if r["t"] is None else "".join(c for c in unicodedata.normalize("NFKD", r["t"]) if not unicodedata.combining(c)).lower()
+        if r["t"] and "한" in r["t"]:
+            continue  # syllables stay whole
+        assert r["f"] == plain, r["t"]
+
+
+def test_values_with_pattern_signs_are_literal(spark):
+    rows = spark.createDataFrame([("x \\E( y \\E( z", "\\E("), ("a.b a+b", "a+b"), ("\\Q\\E", "\\Q\\E"), ("aaaa", "aa")], "t string, v string")
+    found = rows.select(T.occurrences(F.col("t"), F.col("v")).alias("o"), T.mentions(F.col("t"), F.col("v")).alias("m")).collect()
+    assert [r["o"] for r in found] == [[2, 8], [4], [0], [0, 2]] and found[1]["m"]
+
+
+def test_network_failures_are_known_by_their_words(spark):
+    rows = spark.createDataFrame([("Read timed out",), ("HTTP 503",), ("Bad Gateway",), ("bad password",), (None,)], "m string")
+    assert [r[0] for r in rows.select(identifiers.is_transient(F.col("m"))).collect()] == [True, True, True, False, False]
+
+
+def test_techniques_by_keyword(spark):
+    names = spark.createDataFrame([("t1", "Phishing"), ("t2", "Spearphishing Link"), ("t3", "OS Credential Dumping"), ("t4", "Os")], "id string, name string")
+    asked = spark.createDataFrame([("phishing",), ("PHISH",), ("dump",), ("os",), ("zzz",), ("",)], "keyword string")
+    from ravelin.operators import resolve
+
+    assert {r["keyword"]: r["technique_id"] for r in resolve.technique_lookup(asked, names).collect()} == {"phishing": "t1", "PHISH": "t1", "dump": "t3", "os": "t4"}
