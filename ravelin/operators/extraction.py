@@ -75,19 +75,27 @@ def judge(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, source_type. Grounding is against the refanged text; a domain that stands only in addresses
     becomes those addresses; per document each type and value counts once, at its first place."""
-    texts = docs.select("doc_id", T.refang(F.col("text")).alias("_text"), "source_type")
-    rows = candidates.withColumn("value", T.refang(F.trim("value"))).join(texts, "doc_id")
-    mails = F.when(F.col("type") == "domain", I.salvage_emails(F.col("value"), F.col("_text")))
-    rows = rows.withColumn("_mails", mails)
-    rows = rows.withColumn("value", F.explode(F.coalesce("_mails", F.array("value")))).withColumn("type", F.when(F.col("_mails").isNotNull(), "email").otherwise(F.col("type"))).drop("_mails")
-    once = F.min(F.struct("rank", "pos"))
-    first = rows.groupBy("doc_id", "type", "value").agg(once.alias("_o"))
-    unique = first.join(texts, "doc_id")
-    policy = F.when(F.col("source_type") == "bulletin", bulletin_rejection(F.col("type"), F.col("value"), F.col("_text")))
-    reason = (
-        F.when(F.col("value") == "", "empty").when(~F.contains(F.col("_text"), F.col("value")), "ungrounded").when(~I.has_shape(F.col("type"), F.col("value")), "shape").otherwise(policy)
-    )
-    return unique.select("doc_id", "type", "value", F.col("_o.rank").alias("rank"), F.col("_o.pos").alias("pos"), reason.alias("reason"))
+    once = candidates.select("doc_id", "type", T.refang(F.trim("value")).alias("value"), "rank", "pos")
+    once = once.groupBy("doc_id", "type", "value").agg(F.min(F.struct("rank", "pos")).alias("at"))
+    lists = once.groupBy("doc_id").agg(F.collect_list(F.struct("type", "value", "at")).alias("_given"))
+    # all candidates of a document meet its text in one row, so the text moves once
+    rows = docs.select("doc_id", T.refang(F.col("text")).alias("_text"), "source_type").join(lists, "doc_id")
+    text, bulletin = F.col("_text"), F.col("source_type") == "bulletin"
+
+    def named(c: Column) -> Column:
+        mails = F.when(c["type"] == "domain", I.salvage_emails(c["value"], text))
+        own = lambda kind, value: F.struct(kind.alias("type"), value.alias("value"), c["at"].alias("at"))
+        return F.coalesce(F.transform(mails, lambda m: own(F.lit("email"), m)), F.array(own(c["type"], c["value"])))
+
+    def judged(c: Column) -> Column:
+        kind, value = c["type"], c["value"]
+        policy = F.when(bulletin, bulletin_rejection(kind, value, text))
+        reason = F.when(value == "", "empty").when(~F.contains(text, value), "ungrounded").when(~I.has_shape(kind, value), "shape").otherwise(policy)
+        return F.struct(kind.alias("type"), value.alias("value"), c["at"].alias("at"), reason.alias("reason"))
+
+    each = rows.select("doc_id", F.explode(F.transform(F.flatten(F.transform("_given", named)), judged)).alias("c")).select("doc_id", "c.*")
+    out = each.groupBy("doc_id", "type", "value").agg(F.min("at").alias("at"), F.first("reason").alias("reason"))
+    return out.select("doc_id", "type", "value", F.col("at.rank").alias("rank"), F.col("at.pos").alias("pos"), "reason")
 
 
 def indicators(judged: DataFrame) -> DataFrame:

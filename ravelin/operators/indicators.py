@@ -75,12 +75,16 @@ def _by_rounds(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
     same = lambda c: [F.col(k).eqNullSafe(F.col(f"{c}.{n}")) for k, n in names.items()]
     keyed = lambda df: df.withColumnsRenamed(names)
     chain = state = None  # inserted rows that were accepted so far; the last of each key
+    ended: list[int] = []
     for bucket in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):  # as many as the data spans
         now = rows.where((F.col("_bucket") == bucket) & F.col("_ok"))
         if state is not None:
             now = now.join(state.alias("l"), same("l"), "left").where(F.col("_last").isNull() | (F.unix_micros("_at") - F.unix_micros("_last") >= span))
         first = now.groupBy(*key).agg(F.min(F.struct("_at", "_tie")).alias("_f")).select(*key, "_f._at", "_f._tie", F.lit(bucket).alias("_bucket"))
         found = stored(first, "accepted")
+        if chain is not None and len(ended) >= 32:  # the chain of days is stored before its plan grows long
+            chain, ended = stored(chain, "chain"), []
+        ended.append(bucket)
         last = keyed(found).select(*names.values(), F.col("_at").alias("_last"))
         state = last if state is None else stored(state.unionByName(last).groupBy(*names.values()).agg(F.max("_last").alias("_last")), "last")
         chain = found if chain is None else chain.unionByName(found)
@@ -184,7 +188,8 @@ def intelligence(rows: DataFrame, scores: tuple[int, int, int] = (90, 60, 20)) -
 def batches(objects: DataFrame, size: int = 50_000) -> DataFrame:
     """objects (kind, id) with batch numbers, entities before relationships. Ranks come from counts per range, not from one sorted task."""
     ranked = objects.withColumns({"_later": (F.col("kind") == "relationship").cast("int")})
-    parts = ranked.repartitionByRange("_later", "id").sortWithinPartitions("_later", "id").withColumn("_part", F.spark_partition_id())
+    # stored with the numbers of the ranges, which a plan that is run twice could give anew
+    parts = stored(ranked.repartitionByRange("_later", "id").withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))  # one row per partition
     own = F.row_number().over(W.partitionBy("_part").orderBy("_later", "id"))

@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str, *partitions: str) -> DataFrame:
-    """A table written to the folder that driver and executors share (spark.checkpoint.dir) and read again.
-
-    A folder of our own is made only where nothing is set, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. One of our own is made only in local mode where nothing is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ravelin-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """A table written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,8 +32,8 @@ def _csv(spark: SparkSession, path: str, columns: str, header: bool = False, sep
 
 def _data(spark: SparkSession, path: str, row: str, status: bool = True) -> DataFrame:
     """Rows of the array `data` of a JSON body; with status only if query_status is ok."""
-    body = spark.read.text(path, wholetext=True).select(F.from_json("value", f"query_status string, data array<struct<{row}>>").alias("b"))
-    return (body.where("b.query_status = 'ok'") if status else body).selectExpr("inline(b.data)")
+    body = spark.read.json(path, schema=f"query_status string, data array<struct<{row}>>", multiLine=True)
+    return (body.where("query_status = 'ok'") if status else body).selectExpr("inline(data)")
 
 
 def read_urlhaus(spark: SparkSession, path: str) -> DataFrame:

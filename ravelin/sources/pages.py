@@ -28,6 +28,14 @@ def index_links(links: DataFrame, page_col: str, hosts: list[str], path_pattern:
     return rows.groupBy(page_col, "link").agg(F.min("pos").alias("pos"))
 
 
+def links_on_hosts(links: DataFrame, page_col: str, hosts: DataFrame, path_pattern: str, base_col: str = "url") -> DataFrame:
+    """The same where the hosts are a table (column host) of any size; links join it by the host they lead to."""
+    url = F.regexp_replace(network.resolve(F.col(base_col), F.col("href")), r"#.*$", "")
+    rows = links.withColumn("link", url).where(network.url_is_admissible(F.col("link")) & network.url_part(F.col("link"), "path").rlike(path_pattern))
+    rows = rows.withColumn("_host", network.url_part(F.col("link"), "host")).join(hosts.select(F.col("host").alias("_host")).distinct(), "_host", "left_semi")
+    return rows.groupBy(page_col, "link").agg(F.min("pos").alias("pos"))
+
+
 def first_per_page(links: DataFrame, page_col: str, base_col: str, most: int = 5) -> DataFrame:
     """The first links of each page, those on its own host before others."""
     other = network.url_part(F.col("absolute"), "host") != network.url_part(F.col(base_col), "host")
