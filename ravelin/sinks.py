@@ -26,6 +26,34 @@ def merge_into(path: str, new: DataFrame, key: str, at: str, *ties: str) -> Data
     return spark.read.parquet(target)
 
 
+BUCKET = "key_bucket"
+
+
+def merge_buckets(path: str, new: DataFrame, key: str, at: str, *ties: str, buckets: int = 256) -> int:
+    """Upserts rows into a table that is partitioned by a hash of its key, and rewrites only the buckets that rows fall in.
+
+    The new buckets are written beside the table first and then take the place of the old ones (dynamic partition
+    overwrite); gives how many were rewritten. Rows that were merged before change nothing, so a batch may run again."""
+    from .operators.indicators import upsert
+    from .session import stored
+
+    spark = new.sparkSession
+    rows = stored(new.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "merge")
+    touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # `buckets` numbers at most
+    if not touched:
+        return 0
+    try:
+        old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    except Exception as error:  # no table yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        old = None
+    both = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
+    ready = stored(upsert(both, key, at, *ties), "merged")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return len(touched)
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

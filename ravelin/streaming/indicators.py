@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.indicators import TTL_SECONDS, upsert
+from ..sinks import merge_buckets
 
 
-def accept_first(stream: DataFrame, key: str, at: str, seconds: int = TTL_SECONDS, lateness: str = "2 hours") -> DataFrame:
+def accept_first(stream: DataFrame, key: str, at: str, seconds: int = TTL_SECONDS, lateness: str = "2 hours", inserted: str | None = None) -> DataFrame:
     """Rows of a stream that are the first of their key for so long, by event time.
 
-    An accepted row opens the time and duplicates don't prolong it. State is one number per key; it goes once the
-    watermark has passed the end of the time. Rows of a micro-batch are taken in the order of their time."""
+    An accepted row opens the time and duplicates don't prolong it; rows whose column `inserted` is false are given
+    but open nothing, so the next one is tried again. State is the times that were opened and that the watermark has
+    not yet passed by more than their length: a late row is a duplicate only if it lies within one of them, and else
+    is accepted, as in the batch fold, unless a later row had already been given in its place (that can't be taken
+    back). Rows of a micro-batch are taken in the order of their time."""
     span = seconds * 1_000_000_000
     columns = stream.columns
 
@@ -26,17 +32,22 @@ def accept_first(stream: DataFrame, key: str, at: str, seconds: int = TTL_SECOND
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values([at, *[c for c in columns if c != at]], kind="stable")
-        last = state.get[0] if state.exists else None
+        mark = state.getCurrentWatermarkMs()
+        opened = [t for t in (state.get[0] if state.exists else []) if t // 1_000_000 + seconds * 1000 > mark]
         keep = []
-        for moment in rows[at].astype("datetime64[ns]").astype("int64"):
-            fresh = last is None or moment - last >= span
+        done = rows[inserted].fillna(False).astype(bool) if inserted else itertools.repeat(True)
+        for moment, counts in zip(rows[at].astype("datetime64[ns]").astype("int64").tolist(), done, strict=False):
+            k = bisect.bisect_right(opened, moment)
+            fresh = k == 0 or moment - opened[k - 1] >= span
             keep.append(fresh)
-            last = moment if fresh else last
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(last // 1_000_000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            if fresh and counts:
+                opened.insert(k, moment)
+        state.update((opened,))
+        last = opened[-1] if opened else 0
+        state.setTimeoutTimestamp(max(last // 1_000_000 + seconds * 1000, mark + 1))
         yield rows[pd.Series(keep, index=rows.index)][columns] if any(keep) else rows.iloc[:0][columns]
 
-    own = StructType([StructField("last", LongType())])
+    own = StructType([StructField("opened", ArrayType(LongType()))])
     return stream.withWatermark(at, lateness).groupBy(key).applyInPandasWithState(pick, stream.schema, own, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -50,6 +61,15 @@ def into_table(stream: DataFrame, read: Callable[[], DataFrame | None], write: C
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def into_buckets(stream: DataFrame, path: str, key: str, at: str, checkpoint: str, *ties: str, buckets: int = 256):
+    """Starts a query that merges each micro-batch into a table by buckets of its key, so a batch rewrites only those it touches."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        merge_buckets(path, batch, key, at, *ties, buckets=buckets)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def volumes(stream: DataFrame, at: str = "ts", by: str = "feed", length: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Extension: rows per window and feed; rows later than the watermark allows are left out."""
     rows = stream.withWatermark(at, lateness).groupBy(by, F.window(at, length).alias("w")).agg(F.count("*").alias("n"))
