@@ -99,6 +99,44 @@ def sources_due(sources: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return rows.select("source", times.source_is_due(F.col("last_attempt"), F.col("last_polled"), now, F.col("interval_hours")).alias("due"))
 
 
+def schedule(jobs: DataFrame, runs: DataFrame, now: Column, jitter: int = 60, workers: int = 5) -> DataFrame:
+    """When each job (job, interval_seconds) runs next, and which start now.
+
+    runs: job, started_at, ended_at (null while it runs). A job is due an interval after its last start plus a fixed
+    delay of up to `jitter` seconds, which a hash of its name gives; intervals that were missed count as one; a job
+    that still runs doesn't start again. Of those due, the ones that waited longest take the free workers."""
+    last = runs.groupBy("job").agg(F.max("started_at").alias("last_start"), F.count_if(F.col("ended_at").isNull()).alias("_open"))
+    delay = F.pmod(F.crc32(F.col("job").cast("binary")), F.lit(jitter + 1))
+    at = F.timestamp_seconds(F.unix_timestamp("last_start") + F.col("interval_seconds") + delay)
+    rows = jobs.join(last, "job", "left").withColumn("next_run", F.coalesce(at, now))
+    running = F.coalesce("_open", F.lit(0)) > 0
+    rows = rows.withColumns({"running": running, "due": ~running & (F.col("next_run") <= now)})
+    order = W.partitionBy(F.col("due")).orderBy("next_run", "job")  # one row per registered job
+    free = F.lit(workers) - F.sum(F.col("running").cast("int")).over(W.partitionBy(F.lit(0)))
+    return rows.withColumn("starts", F.col("due") & (F.row_number().over(order) <= free)).select("job", "last_start", "next_run", "running", "due", "starts")
+
+
+def poll_cycle(sources: DataFrame, state: DataFrame, items: DataFrame, known: DataFrame, now: Column) -> DataFrame:
+    """One cycle over all sources: due, items polled, of them new, and the time stamp that due sources get.
+
+    sources: source, interval_hours; state: source, last_attempt, last_polled; items: source, url; known: url."""
+    due = sources_due(sources, state, now)
+    fresh = items.join(known.select("url").distinct(), "url", "left_anti").groupBy("source").agg(F.count_distinct("url").alias("_new"))
+    polled = items.groupBy("source").agg(F.count_distinct("url").alias("_all"))
+    rows = due.join(polled, "source", "left").join(fresh, "source", "left").join(state.select("source", "last_attempt"), "source", "left")
+    count = lambda c: F.when(F.col("due"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return rows.select("source", "due", count("_all").alias("polled"), count("_new").alias("fresh"), F.when(F.col("due"), now).otherwise(F.col("last_attempt")).alias("last_attempt"))
+
+
+def collector_cycle(queue: DataFrame, index: DataFrame) -> DataFrame:
+    """What the hourly loop does beside polling: pending names that a catalog knows by now, counted by category."""
+    from .resolve import rematch
+
+    before = queue.select("id", F.col("status").alias("_was"))
+    rows = rematch(queue, index).join(before, "id")
+    return rows.groupBy("category").agg(F.count_if(F.col("_was") == "pending").alias("pending"), F.count_if((F.col("_was") == "pending") & (F.col("status") == "auto_matched")).alias("matched"))
+
+
 def pipeline_values(rows: DataFrame) -> DataFrame:
     """Defaults and bounds of a document's row: the title falls back to the landing, then the key; counts aren't negative."""
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), "landing_url", "document_key")

@@ -34,7 +34,7 @@ def closed_world_resolve(spark, sf_dir):
     return resolve.resolve(rows, resolve.catalog_index(_catalog(spark, sf_dir))).select("p_partkey", F.lower("canonical").alias("canonical"))
 
 
-_SECTOR_VALUES = ", ".join("('" + k.lower().replace("'", "''") + "', '" + name + "', " + str(n) + ")" for n, (name, others) in enumerate(resolve.SECTORS.items()) for k in (name, *[x.strip() for x in others.split(",")]))
+_SECTOR_VALUES = ", ".join("('" + k.lower().replace("'", "''") + "', '" + name + "', " + str(n) + ")" for n, (name, others) in enumerate(resolve.SECTORS.items()) for k in (name, *others))
 
 
 @query(f"""
@@ -60,12 +60,12 @@ def capped_members(spark, sf_dir):
 def _members(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     of = lambda kind, c: li.select(F.col("l_orderkey").alias("doc_id"), F.lit(kind).alias("category"), F.concat(F.lit(kind), F.col(c).cast("string")).alias("name"))
-    return of("actor", "l_suppkey").where("doc_id % 3 = 0").unionByName(of("malware", "l_linenumber")).unionByName(of("sector", "l_returnflag")).unionByName(of("cve", "l_partkey").where("doc_id % 6 = 0"))
+    return of("actor", "l_suppkey").unionByName(of("malware", "l_linenumber")).unionByName(of("sector", "l_returnflag")).unionByName(of("cve", "l_partkey"))
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_orderkey AS d, 'actor' || l_suppkey AS n FROM lineitem WHERE l_orderkey % 3 = 0), m AS (SELECT DISTINCT l_orderkey AS d, 'malware' || l_linenumber AS n FROM lineitem),
-s AS (SELECT DISTINCT l_orderkey AS d, 'sector' || l_returnflag AS n FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS d, 'cve' || l_partkey AS n FROM lineitem WHERE l_orderkey % 6 = 0), one AS (SELECT d FROM a GROUP BY 1 HAVING count(*) = 1),
+WITH a AS (SELECT DISTINCT l_orderkey AS d, 'actor' || l_suppkey AS n FROM lineitem), m AS (SELECT DISTINCT l_orderkey AS d, 'malware' || l_linenumber AS n FROM lineitem),
+s AS (SELECT DISTINCT l_orderkey AS d, 'sector' || l_returnflag AS n FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS d, 'cve' || l_partkey AS n FROM lineitem), one AS (SELECT d FROM a GROUP BY 1 HAVING count(*) = 1),
 e AS (SELECT d, a.n AS f, s.n AS t, 'actor-sector' AS axis FROM a JOIN s USING (d) UNION ALL SELECT d, m.n, s.n, 'malware-sector' FROM m JOIN s USING (d) UNION ALL SELECT d, a.n, c.n, 'actor-cve' FROM a JOIN c USING (d) JOIN one USING (d))
 SELECT axis, d % 100 AS bucket, count(*) AS n, count(DISTINCT f) AS sources, count(DISTINCT t) AS targets FROM e GROUP BY 1, 2""")
 def targeting_axes(spark, sf_dir):

@@ -25,8 +25,8 @@ def harvest_ipv4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(found, lambda x: x["value"])).alias("value"))
 
 
-_TLD_SQL = ", ".join(f"'{t}'" for t in identifiers.TLDS)
-_DOMAINS = f"SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '(?i)https?://[^\\s|)\\]}}>\"''`]+', ' ', 'g')), '\\b[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{{2,}}\\b')) AS value FROM documents) WHERE regexp_extract(value, '[a-z]+$') IN ({_TLD_SQL})"
+_TLD_SQL = ", ".join(f"'{t}'" for t in identifiers.GENERIC_TLDS)
+_DOMAINS = f"SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '(?i)https?://[^\\s|)\\]}}>\"''`]+', ' ', 'g')), '\\b[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{{2,}}\\b')) AS value FROM documents) WHERE len(regexp_extract(value, '[a-z]+$')) = 2 OR regexp_extract(value, '[a-z]+$') IN ({_TLD_SQL})"
 
 
 @query(_DOMAINS)
@@ -96,13 +96,12 @@ _HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 
 @query(f"""
 SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]*') || regexp_replace(href, '#.*$', '') AS link FROM
-(SELECT page_id, url, replace(regexp_extract(unnest({_A}), 'href="([^"]*)"', 1), '&amp;', '&') AS href FROM pages) WHERE {_HOST} LIKE '%.example.com' AND href LIKE '/%' AND regexp_matches(regexp_extract(href, '^[^?#]*'), '^/[a-z]+$') AND len(href) > 0
-AND {_HOST} IN (SELECT {_HOST} FROM pages GROUP BY 1 HAVING min(page_id) < 20)""")
+(SELECT page_id, url, replace(regexp_extract(unnest({_A}), 'href="([^"]*)"', 1), '&amp;', '&') AS href FROM pages) WHERE {_HOST} LIKE '%.example.com' AND href LIKE '/%' AND regexp_matches(regexp_extract(href, '^[^?#]*'), '^/[a-z]+$') AND len(href) > 0""")
 def page_links_confined(spark, sf_dir):
+    """Links that stay on the hosts of one domain, which are a table, not a list."""
     pages = table(spark, sf_dir, "pages")
-    hosts = [r[0] for r in pages.groupBy(network.url_part(F.col("url"), "host").alias("h")).agg(F.min("page_id").alias("m")).where("m < 20 and h like '%.example.com'").collect()]
-    links = P.anchors(pages)
-    return P.index_links(links, "page_id", hosts, "^/[a-z]+$").select("page_id", "link")
+    hosts = pages.select(network.url_part(F.col("url"), "host").alias("host")).where("host like '%.example.com'").distinct()
+    return P.links_on_hosts(P.anchors(pages), "page_id", hosts, "^/[a-z]+$").select("page_id", "link")
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS link FROM pages WHERE regexp_replace(url, '[?#].*$', '') NOT IN (SELECT regexp_replace(url, '[?#].*$', '') FROM pages WHERE page_id % 3 = 0)")
@@ -130,13 +129,15 @@ def pages_capped_per_host(spark, sf_dir):
 _FOLD = "trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))"
 
 
+_HIDDEN = f"regexp_replace({_FOLD}, '(?i)\\b(token|password|authorization)\\b(\\s*[:=]\\s*)(?:bearer\\s+)?\\S+', '\\1\\2[redacted]', 'g')"
+
+
 @query(f"""
-SELECT doc_id, CAST(len(string_split({_FOLD}, ' ')) AS BIGINT) AS words, substr({_FOLD}, 1, 500) AS one_line, substr(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), 1, 80) AS cleaned,
-CASE WHEN len(string_split({_FOLD}, ' ')) > 320 THEN array_to_string(string_split({_FOLD}, ' ')[1:300], ' ') || '...' ELSE text END AS short FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(token|password|authorization)\\b\\s*[:=]')""")
+SELECT doc_id, CAST(len(string_split({_FOLD}, ' ')) AS BIGINT) AS words, substr({_HIDDEN}, 1, 500) AS one_line, substr(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), 1, 80) AS cleaned,
+CASE WHEN len(string_split({_FOLD}, ' ')) > 320 THEN array_to_string(string_split({_FOLD}, ' ')[1:300], ' ') || '...' ELSE text END AS short FROM documents""")
 def sanitised_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)\b(?:token|password|authorization)\b\s*[:=]"))
     t = F.col("text")
-    return docs.select("doc_id", F.size(F.split(T.fold_space(t), " ")).cast("bigint").alias("words"), T.sanitize_error(t).alias("one_line"), T.clean(t).alias("cleaned"), T.truncate_words(t).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(T.fold_space(t), " ")).cast("bigint").alias("words"), T.sanitize_error(t).alias("one_line"), T.clean(t).alias("cleaned"), T.truncate_words(t).alias("short"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\n\s*\n+'), lambda s: trim(s) <> '')) AS BIGINT) AS sections, regexp_matches(text, '(?m)^\s*#{1,6}\s|\*\*|^\s*[-*]\s+|^\s*\d+\.\s+') AS markdown FROM documents")
@@ -155,12 +156,20 @@ def cidr_blocks(spark, sf_dir):
     return ev.select("event_id", network.cidr(text).alias("block"))
 
 
-@query("SELECT doc_id, 'CVE-2024-' || (10000 + doc_id) AS id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(length(substr(text, 1, 20)) + 1 AS BIGINT) AS first FROM documents")
+_CVE = r"CVE\s*-\s*[0-9]{4}\s*-\s*[0-9]+(?:\r?\n[ \t]*[0-9]+)*"
+_BROKEN = "' cve - 2024-' || substr(CAST(10000 + doc_id AS VARCHAR), 1, 2) || chr(10) || '  ' || substr(CAST(10000 + doc_id AS VARCHAR), 3) || ' end' || CASE WHEN doc_id % 2 = 0 THEN '; CVE-2024-' || (10000 + doc_id) ELSE '' END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text || {_BROKEN} AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)(^|[^A-Za-z0-9])({_CVE})', 2)) AS raw FROM d),
+n AS (SELECT doc_id, 'CVE-' || regexp_extract(raw, '(?i)CVE\s*-\s*([0-9]{{4}})', 1) || '-' || regexp_replace(regexp_extract(raw, '(?is)CVE\s*-\s*[0-9]{{4}}\s*-\s*(.*)$', 1), '\s+', '', 'g') AS id FROM m)
+SELECT doc_id, id, count(*) AS n FROM n WHERE regexp_matches(id, '^CVE-[0-9]{{4}}-[0-9]{{4,10}}$') GROUP BY ALL""")
 def cve_candidates(spark, sf_dir):
-    """Ids broken over lines, appended to the head of each text."""
+    """Ids in whole texts, one broken over lines and one not appended to each."""
     docs = table(spark, sf_dir, "documents")
     number = (F.lit(10000) + F.col("doc_id")).cast("string")
     broken = F.concat(F.substring(number, 1, 2), F.lit("\n  "), F.substring(number, 3, 20))
-    text = F.concat(F.substring("text", 1, 20), F.lit(" cve - 2024-"), broken, F.lit(" end"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("; CVE-2024-"), number)).otherwise(""))
+    text = F.concat("text", F.lit(" cve - 2024-"), broken, F.lit(" end"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("; CVE-2024-"), number)).otherwise(""))
     found = extraction.cve_candidates(docs.select("doc_id", text.alias("text")))
-    return found.select("doc_id", "id", F.col("occurrence_count").cast("bigint").alias("n"), F.col("first").cast("bigint").alias("first"))
+    return found.select("doc_id", "id", F.col("occurrence_count").cast("bigint").alias("n"))
