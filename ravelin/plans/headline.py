@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, flows, indicators, relations, texts  # noqa: F401  (they register their queries)
+from . import documents, feeds, flows, indicators, relations, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "ioc_score_newest"
