@@ -39,8 +39,10 @@ def line_fails(line: Column, words: Column) -> Column:
     return punctuation | navigation | line.rlike(BOILERPLATE)
 
 
-def _words_in(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, SPACE + "+"), lambda w: w != ""))
+def _lines(text: Column) -> Column:
+    """(line, words) of each line that has a word; no word goes over a line's end."""
+    words = lambda x: F.filter(F.split(x, SPACE + "+"), lambda w: w != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -61,10 +63,13 @@ def _repeat_words(words: Column) -> Column:
 
     def count(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - 3)
-        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        all_once = _let(F.transform(at, hashed), lambda h: F.size(F.array_distinct(h)) == F.size(h))
-        windows = F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-        return F.when(F.size(w) < 4, F.lit(0)).when(all_once, F.lit(0)).otherwise(_let(windows, covered))
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+        def among(h: Column) -> Column:
+            windows = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(windows, covered))
+
+        return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(hashes, among))
 
     return _let(words, count)
 
@@ -75,28 +80,31 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cleaned is the text without the lines that failed. Null texts have no words and no lines, so they fail.
     Columns of docs with one of these names are replaced; repeated rows each come back."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    all_words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    judged = F.transform(lines, lambda x: _let(_words_in(x), lambda n: F.struct(x.alias("line"), n.alias("n"), line_fails(x, n).alias("fails"))))
-
-    def parts(j: Column) -> Column:
-        lost = F.aggregate(F.filter(j, lambda x: x["fails"]), F.lit(0), lambda acc, x: acc + x["n"])
-        dup = F.size(j) - F.size(F.array_distinct(F.transform(j, lambda x: x["line"])))
-        return F.struct(lost.alias("lost"), dup.alias("dup"), F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"))
-
-    words = _let(all_words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
-    own_words, own_lines = fresh(docs, "words", "lines")
-    out = docs.withColumns({own_words: words, own_lines: _let(judged, parts)})
+
+    def parts(lines: Column) -> Column:
+        judged = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), line_fails(x["line"], F.size(x["words"])).alias("fails")))
+
+        def sums(j: Column) -> Column:
+            lost = F.aggregate(F.filter(j, lambda x: x["fails"]), F.lit(0), lambda acc, x: acc + x["n"])
+            dup = F.size(j) - F.size(F.array_distinct(F.transform(j, lambda x: x["line"])))
+            return F.struct(lost.alias("lost"), dup.alias("dup"), F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"))
+
+        words = _let(F.flatten(F.transform(lines, lambda x: x["words"])), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
+        return F.struct(words.alias("words"), _let(judged, sums).alias("lines"))
+
+    (own,) = fresh(docs, "parts")
+    out = docs.withColumn(own, _let(_lines(text), parts))
+    own_words, own_lines = F.col(own)["words"], F.col(own)["lines"]
     out = out.withColumns(
         {
-            "n_words": F.col(own_words)["n"].cast("bigint"),
+            "n_words": own_words["n"].cast("bigint"),
             "word_chars": (F.length(text) - _without(text, " \t\n\x0b\x0c\r")).cast("bigint"),
             "n_symbols": _without(text, SYMBOLS).cast("bigint"),
-            "n_dup_lines": F.col(own_lines)["dup"].cast("bigint"),
-            "n_repeat_words": F.col(own_words)["again"].cast("bigint"),
-            "lost_words": F.col(own_lines)["lost"].cast("bigint"),
-            "cleaned": F.col(own_lines)["cleaned"],
+            "n_dup_lines": own_lines["dup"].cast("bigint"),
+            "n_repeat_words": own_words["again"].cast("bigint"),
+            "lost_words": own_lines["lost"].cast("bigint"),
+            "cleaned": own_lines["cleaned"],
         }
     )
-    out = out.drop(own_words, own_lines).withColumn("base_failed", (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words")))
+    out = out.drop(own).withColumn("base_failed", (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * MOST_LOST))
