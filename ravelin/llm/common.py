@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,5 +122,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() <= cores else df
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have at most so many bytes together; a larger text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for run in runs_by_size(sizes, most):
+        yield batch.slice(run.start, run.stop - run.start)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
