@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_batches, runs_by_size, stored
+from .common import by_bytes, fold, in_batches, runs_by_size, stored
 from .language import Hashes
 
 ORDER = 5
@@ -64,8 +64,8 @@ def _count(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter = Counter()
-            for start in range(0, batch.num_rows, 500):
-                texts = [(t or b"").lower().split() for t in batch.column(0).slice(start, 500).to_pylist()]
+            for part in by_bytes(batch, 0):
+                texts = [(t or b"").lower().split() for t in part.column(0).to_pylist()]
                 for t in texts:
                     words.update(t)
                 if len(words) > COUNTED:
@@ -141,10 +141,10 @@ def _head(longest: DataFrame, most: int) -> Head:
         held += by_step.get(least, 0)
     totals = longest.groupBy("context").agg(F.sum("n").alias("total"))
     gram = F.call_function("shiftleft", F.col("context"), F.lit(8)) + F.col("byte")
-    rows = longest.where(step >= least).join(totals, "context").select(gram.alias("gram"), F.log10((F.col("n") - 0.5) / F.col("total")).cast("float").alias("cost")).toPandas()  # `most` at most
-    key = rows["gram"].to_numpy(np.int64).view(np.uint64) * _MIX
+    rows = longest.where(step >= least).join(totals, "context").select(gram.alias("gram"), F.log10((F.col("n") - 0.5) / F.col("total")).cast("float").alias("cost")).toArrow()  # `most` at most
+    key = rows["gram"].to_numpy().view(np.uint64) * _MIX
     order = np.argsort(key)
-    return Head(Hashes(key[order]), np.append(rows["cost"].to_numpy(np.float32)[order], np.float32(0)))
+    return Head(Hashes(key[order]), np.append(rows["cost"].to_numpy()[order], np.float32(0)))
 
 
 def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -163,9 +163,10 @@ def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
             own = own.withColumn("suffix", F.col("context").bitwiseAND(F.lit(256 ** (k - 1) - 1).cast("bigint"))).join(shorter, ["suffix", "byte"])
         else:
             own = own.withColumn("m", F.lit(0).cast("bigint"))
-        own = stored(own.select("context", "byte", "n", "m"), "around")
-        sums = own.groupBy("context").agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds"), F.sum("m").alias("_below"))
-        found = state.join(sums, "context", "left").join(own.select("context", "byte", F.col("n").alias("_n")), ["context", "byte"], "left")
+        # a context has 256 bytes at most, so its counts travel as one row
+        counts = F.map_from_entries(F.collect_list(F.struct("byte", "n")))
+        sums = own.groupBy("context").agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds"), F.sum("m").alias("_below"), counts.alias("_of"))
+        found = state.join(sums, "context", "left").withColumn("_n", F.try_element_at("_of", F.col("byte")))
         rest, new = F.col("_total") - F.col("below"), F.col("_kinds") - F.col("kinds")
         escape = F.when(rest > 0, F.log10(new / 2 / rest)).otherwise(F.lit(0.0))
         hit = F.col("_n").isNotNull()
@@ -188,9 +189,9 @@ def _train(docs: DataFrame, head: int = HEAD) -> tuple[Head, list[DataFrame], Wo
     frequent = _head(levels[ORDER], head)
     least = totals["tokens"] * COMMON_SHARE
     words = words.where("word is not null")
-    common = words.where(F.col("n") >= least).select("word", "n").toPandas()
-    place = {bytes(w): k for k, w in enumerate(common["word"])}
-    logs = np.log10(common["n"].to_numpy(np.float64) + 0.1)
+    common = words.where(F.col("n") >= least).select("word", "n").toArrow()
+    place = {w: k for k, w in enumerate(common["word"].to_pylist())}
+    logs = np.log10(common["n"].to_numpy() + 0.1)
     rare = words.where(F.col("n") < least).select(F.xxhash64("word").alias("hash"), F.col("n").alias("c"))
     return frequent, levels, Words(place, logs), rare, totals
 
@@ -211,8 +212,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         frequent, words = model.value
         logs = np.append(words.logs, 0.0)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in by_bytes(batch, 2):
                 texts = [(t or b"").lower().split() for t in part.column(2).to_pylist()]
                 n, known, sums, cuts, hashes = [], [], [], [0], []
                 for t in texts:
