@@ -14,6 +14,7 @@ nothing that is sent or gathered grows with the benchmark; words that a map lets
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, row_keys, stored
+from .common import by_bytes, in_batches, row_keys, stored
 
 #: Each bit map is 2 MB; a benchmark of many million different words only fills it more.
 BITS = 24
@@ -50,25 +51,31 @@ def _short(terms: np.ndarray) -> np.ndarray:
 
 
 class _Terms(dict):
-    """The term of a word that the map has, 0 for others; what is asked again is remembered, within MEMORY."""
+    """Words to places in `terms`: those that the map has to their own, all others to 0. What is asked again is remembered, about MEMORY words."""
 
     def __init__(self, bits: np.ndarray):
         super().__init__()
-        self.bits = bits
+        self.bits, self.terms, self.n = bits, np.zeros(1024, np.uint64), 1
 
     def __missing__(self, word: bytes) -> int:
-        term = xxhash.xxh64_intdigest(word) or 1
+        term, place = xxhash.xxh64_intdigest(word) or 1, 0
         at = term >> (64 - BITS)
-        if not int(self.bits[at >> 6]) >> (at & 63) & 1:
-            term = 0
+        if int(self.bits[at >> 6]) >> (at & 63) & 1:
+            if self.n == len(self.terms):
+                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)])
+            place = self.n
+            self.terms[place], self.n = term, place + 1
+        self[word] = place
+        return place
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all words of the texts, one after the other, and the number of words of each text."""
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = term
-        return term
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.uint64, count=len(words))
+            self.n = 1
+        each = [words_of(t) for t in texts]
+        sizes = np.fromiter(map(len, each), np.int64, count=len(each))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(each)), np.int32, count=int(sizes.sum())), sizes
 
 
 def _map_of(terms: DataFrame) -> np.ndarray:
@@ -106,12 +113,14 @@ def _counts(docs: DataFrame, bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(bits.value)
-        for batch in batches:
-            each = [known.of(t) for t in batch.column(0).to_pylist()]
-            terms, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+        for batch in (part for b in batches for part in by_bytes(b, 0)):
+            places, _ = known.of(batch.column(0).to_pylist())
+            n = np.bincount(places, minlength=1)
+            n[0] = 0
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(known.terms[some].view(np.int64)), pa.array(n[some])], names=["term", "n"])
 
-    return in_batches(docs.select("_text"), run, "term bigint, n bigint").where("term <> 0").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("_text"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _needed(ids: Column, near: float) -> Column:
@@ -133,18 +142,17 @@ def _index(docs: DataFrame, known, wanted, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, around = _Terms(known.value), np.arange(1 - size, size)
-        gap = [np.zeros(size - 1, np.uint64)]
-        for batch in batches:
-            each = [of.of(t) for t in batch.column(3).to_pylist()]
-            sizes = np.fromiter(map(len, each), np.int64, count=len(each))
+        for batch in (part for b in batches for part in by_bytes(b, 3)):
+            places, sizes = of.of(batch.column(3).to_pylist())
             starts = np.cumsum(sizes + size - 1) - sizes  # a gap before each text and one at the end
-            flat = np.concatenate([x for own in each for x in (*gap, own)] + gap)
+            flat = np.zeros(len(places) + (len(sizes) + 1) * (size - 1), np.uint64)
+            flat[np.arange(len(places)) + np.repeat((np.arange(len(sizes)) + 1) * (size - 1), sizes)] = of.terms[places]
             at = np.flatnonzero(flat)
             at = at[_marked(wanted.value, flat[at])]
             row = np.searchsorted(starts, at, side="right") - 1
             ctx = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(around)), pa.array(_short(flat)[at[:, None] + around].ravel()))
             posts = pa.StructArray.from_arrays([pa.array(flat[at].view(np.int64)), pa.array((at - starts[row]).astype(np.int32)), ctx], names=["term", "pos", "ctx"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(each) + 1)).astype(np.int32)), posts)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)), posts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), lists], names=["_id", "_k1", "_k2", "n_words", "posts"])
 
     schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _k1 bigint, _k2 bigint, n_words bigint, posts array<struct<term bigint, pos int, ctx array<int>>>"
