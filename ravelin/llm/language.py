@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_batches, runs_by_size, share_of, stored
+from .common import by_bytes, fold, in_batches, runs_by_size, share_of, stored
 
 ORDER = 4
 #: Signs that are scored at once (some 100 bytes of memory each).
@@ -215,13 +215,15 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs:
 
     cols = [f"c{k}" for k in range(ORDER)]
     counted = in_batches(sample.where("part > 0").select("lang", "_text"), count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n bigint")
-    rows = counted.groupBy("lang", *cols).agg(F.sum("n").alias("n")).toPandas()  # max_chars rows of each language at most
-    languages = sorted(rows["lang"].unique())
-    if not languages:
+    rows = counted.groupBy("lang", *cols).agg(F.sum("n").alias("n")).toArrow()  # max_chars rows of each language at most
+    if not rows.num_rows:
         return Models([])
-    grams, to, _ = _distinct(rows[cols].to_numpy(np.uint32))
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    own = names.dictionary.to_pylist()
+    languages = sorted(own)
+    grams, to, _ = _distinct(np.stack([rows[c].to_numpy().astype(np.uint32) for c in cols], axis=1))
     counts = np.zeros((len(grams), len(languages)))
-    counts[to, np.searchsorted(languages, rows["lang"].to_numpy(object))] = rows["n"].to_numpy()  # each pair once
+    counts[to, np.array([languages.index(x) for x in own])[names.indices.to_numpy()]] = rows["n"].to_numpy()  # each pair once
     models = fit(grams, counts, languages)
     _calibrate(models, sample.where("part = 0").select("lang", "_text"))
     return models
@@ -237,13 +239,14 @@ def _calibrate(models: Models, sample: DataFrame) -> None:
             cuts = np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.ravel())), pa.array(letters)], names=["lang", "h", "letters"])
 
-    rows = in_batches(sample, run, "lang string, h array<double>, letters bigint").where("letters > 0").toPandas()
+    rows = in_batches(sample, run, "lang string, h array<double>, letters bigint").where("letters > 0").select("lang", "h").toArrow()
     models.limits = np.full(len(models.languages), np.inf)
-    rows = rows[rows["lang"].isin(models.languages)]
-    if not len(rows):
+    place = {lang: k for k, lang in enumerate(models.languages)}
+    right = np.array([place.get(lang, -1) for lang in rows["lang"].to_pylist()], int)
+    if not (right >= 0).any():
         return
-    h = np.array(rows["h"].tolist())
-    right = np.searchsorted(models.languages, rows["lang"].to_numpy(object))
+    h = rows["h"].combine_chunks().flatten().to_numpy().reshape(len(right), -1)[right >= 0]
+    right = right[right >= 0]
     at = np.arange(len(h))
 
     def loss(t: float) -> float:
@@ -273,8 +276,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         models = own.value
         names = np.array([*models.languages, UNKNOWN], object)
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for part in by_bytes(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if models.languages:
                     h, letters = models.entropies(texts)
