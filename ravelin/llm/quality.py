@@ -134,9 +134,9 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     share = min(1.0, max_train / max(1, own.count()))
     sample = own.where(share_of(share, F.col("_id"), F.lit("train")))  # about max_train rows
     found = stats.select(F.col(id_col).alias("_id"), "stats").join(F.broadcast(sample), "_id")
-    rows = found.groupBy("_id").agg(F.min("stats").alias("stats"), F.first("_y").alias("_y")).toPandas().sort_values("_id")
-    x = np.array(rows["stats"].tolist(), dtype=np.float32).reshape(-1, len(FEATURES))
-    return grow(x, (rows["_y"].to_numpy(dtype=np.float64) >= 0.5).astype(np.float64))
+    rows = found.groupBy("_id").agg(F.min("stats").alias("stats"), F.first("_y").alias("_y")).toArrow().sort_by("_id")
+    x = rows["stats"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return grow(x, (rows["_y"].to_numpy() >= 0.5).astype(np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, cut: float = 0.3, max_train: int = MAX_TRAIN, keys: Sequence[Column] = ()) -> DataFrame:
