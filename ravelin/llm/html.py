@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored
+from .common import by_bytes, in_batches, stored
 from .urls import parts as url_parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -42,6 +42,14 @@ HINTS = re.compile(
     r"masthead|site-?header|page-?header|skip-?link|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
+#: Ids are often made from headings, so an id counts only where it is such a word with nothing but these around it.
+_ID = re.compile(
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary)[-_])*(?:ads?|advert\w*|sponsor\w*|promo|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|sidebar\w*|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommended|footer|header|masthead|toolbar|widgets?)"
+    r"(?:[-_](?:\d+|top|bottom|left|right|box|bar|block|wrapper|wrap|container|section|area|list|form|links|buttons?|inner|content|thread|posts?|articles?|main|menu|banner|notice|container|slot|unit|widget))*",
+    re.I,
+)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Containers whose subtrees are counted; paragraphs only outside an article, with a link or so many words.
 PARAGRAPH_WORDS = 8
 CONTAINERS = frozenset("nav footer aside header form div section ul ol table figure details fieldset menu blockquote dl center".split())
@@ -57,15 +65,15 @@ def _hidden(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in ("html", "body", "main") or tag == "article" and not in_article:
         return False
     values = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
-    named = f"{values.get('class', '')} {values.get('id', '')}"
-    return values.get("role", "").lower() in ROLES or bool(HINTS.search(named)) or "display:none" in values.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    named = bool(HINTS.search(values.get("class", ""))) or tag not in _HEADINGS and bool(_ID.fullmatch(values.get("id", "").strip()))
+    return values.get("role", "").lower() in ROLES or named or "display:none" in values.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
 
 
 class Page:
     """A page's text pieces, each with the innermost container around it, and the containers with their hashes."""
 
     def __init__(self, source: str, names: bool = True):
-        self.names = names  # whether parts with a name that is no article's are left out
+        self.names = names  # whether tags, roles and classes tell what is an article and what is none
         self.open: list[list] = []  # tag, what it holds for the hash, hidden, container's number or None, is article
         self.depth: Counter = Counter()  # open elements by tag
         self.around: list[int] = [-1]
@@ -127,7 +135,7 @@ class Page:
             self.spans.append([len(self.pieces), 0, PARAGRAPH_WORDS if tag != "p" else 0])
         elif tag == "a" and self.around[-1] >= 0:
             self.spans[self.around[-1]][2] = PARAGRAPH_WORDS
-        article = tag in MAIN and not self.hidden
+        article = self.names and tag in MAIN and not self.hidden
         self.open.append([tag, [], hidden, self.around[-1] if counted else None, article])
         self.depth[tag] += 1
         self.hidden += hidden
@@ -189,8 +197,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id_col, url_col, text for every row of pages.
 
     Null html is empty and gives an empty text; pages without a host are one site. Other columns are ignored;
-    repeated rows each come back, and count as one page. names=False leaves out nothing by tag, role or class but
-    raw elements and the head, so only the counts decide."""
+    repeated rows each come back, and count as one page. With names=False neither an article mark nor any tag, role
+    or class matters (but raw elements and the head), so only the counts decide."""
     own = [F.col(id_col).alias("_id"), F.col(url_col).alias("_url")]
     keys = [F.xxhash64(*own, F.col(html_col)).alias("_k1"), F.xxhash64(F.col(html_col), F.lit("page"), *own).alias("_k2")]
     rows = pages.select(*own, *keys, url_parts(F.col(url_col))[0].alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
@@ -200,8 +208,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
+            for some in by_bytes(batch, 5):
                 texts, pieces, parts = [], [], []
                 for source in some.column(5).to_pylist():
                     page = Page(source, names)
