@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from .common import SPACE, fresh
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = r"(?i)all rights reserved|licensed under|under the \S+ licen[sc]e|copyright \(c\)|terms of (?:use|service)|privacy policy|cookie|subscribe to|click here|enable javascript|lorem ipsum"
+#: Signs of lines that belong to a site and not to its text, in English, German, French and Spanish; a dot stands for an accented letter.
+BOILERPLATE = (
+    r"(?i)all rights reserved|licensed under|under the \S+ licen[sc]e|copyright \(c\)|terms of (?:use|service)|privacy policy|cookie|subscribe to|click here|enable javascript|lorem ipsum|"
+    r"alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|datenschutzerkl.rung|jetzt abonnieren|hier klicken|javascript aktivieren|"
+    r"tous droits r.serv.s|sous licence|conditions d.utilisation|politique de confidentialit.|abonnez-vous|cliquez ici|activer javascript|"
+    r"todos los derechos reservados|bajo la licencia|t.rminos de (?:uso|servicio)|pol.tica de privacidad|suscr.base|haga clic aqu.|habilitar? javascript"
+)
 #: A line fails with as many symbols as this share of its words, and so with exclamation marks or separators.
 HEAVY = 0.3
 #: A line of fewer words fails unless it ends like a sentence.
