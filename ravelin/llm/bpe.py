@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import by_bytes, in_batches
 
 #: How the vocabulary file cuts a lower-case text into words.
 _WHITE = r"\t-\r \x85\xA0  -     　"
@@ -199,8 +199,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):  # some texts at a time, so their ids don't pile up
-                part = batch.slice(start, 500)
+            for part in by_bytes(batch, 1):  # some texts at a time, so their ids don't pile up
                 both = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
                 columns = [
                     part.column(0),

@@ -498,6 +498,14 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_ids_made_from_headings_stay(spark):
+    page = (
+        "<article><h1>Voters</h1><h2 id='related-work'>Related work</h2><section id='share-of-voters'><p>Their share.</p></section><div id='comments-list'>Reader</div>"
+        "<div id='site-footer'>F</div><p class='cookie-notice'>We use cookies</p><div id='share-buttons'>Share</div><p id='notice-of-change'>A change.</p></article>"
+    )
+    assert html.extract(spark.createDataFrame([(1, "http://a.org/x", page)], "page_id int, url string, html string")).first()["text"] == "Voters Related work Their share. A change."
+
+
 def test_html_counts_surroundings(spark):
     """Which blocks go, against counts by hand: a block goes where it has five different surroundings on its host."""
     rng = np.random.default_rng(11)
