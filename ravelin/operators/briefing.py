@@ -55,7 +55,9 @@ def sectors(rows: DataFrame, labels: str = "labels") -> DataFrame:
 
 
 def block(indicators: DataFrame, names: DataFrame, counts: DataFrame, hours: int, until: str) -> DataFrame:
-    """The text block from a sample (name, observable_type, score, pos), names (kind, name, pos) and window totals."""
+    """The text block from a sample (name, observable_type, score, pos), names (kind, name, pos) and window totals.
+
+    The sentences are fixed values: what reads the block finds its numbers and names by them."""
     cleaned = T.clean(F.col("name"))
     lists = names.where(F.col("pos") < 10).groupBy().agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", cleaned.alias("n"))))), lambda x: x["n"]), ", ").alias(k) for k in ("actor", "malware", "campaign", "technique", "sector")])
     shown = F.concat(T.clean(F.col("name"), 120), F.lit(" ("), T.clean(F.coalesce("observable_type", F.lit("Unknown")), 30), F.lit(")"))
