@@ -29,8 +29,9 @@ from .common import by_bytes, fold, in_batches, runs_by_size, stored
 from .language import Hashes
 
 ORDER = 5
-#: Places whose code lengths are sent to all executors at most (some 16 bytes each).
-HEAD = 1_000_000
+#: Places whose code lengths are sent to all executors at most (12 bytes each on the way, some 40 where they are used); the slots by which they are found.
+HEAD, SLOT_BITS = 1_500_000, 21
+_TOP = np.uint64(64 - SLOT_BITS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words with at least this share of all training tokens are sent to all executors: 100,000 words at most.
 COMMON_SHARE = 1e-5
@@ -40,7 +41,7 @@ _PAD = bytes([EDGE]) * ORDER
 
 
 #: Bytes that are worked on at once (some 60 bytes of memory each), and words that are counted before they are sent on.
-PIECE, COUNTED = 1 << 20, 200_000
+PIECE, COUNTED = 1 << 20, 250_000
 
 
 def _pieces(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,11 +60,15 @@ def _pieces(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    """(word, gram, n) over all texts: words as binary, with null for the end sign; grams of ORDER + 1 bytes packed in a long."""
+    """(word, gram, n) over all texts: words as binary, with null for the end sign; grams of ORDER + 1 bytes packed in a long.
+
+    A task sums what it meets until it holds COUNTED words or grams that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        grams, n, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for batch in batches:
-            words: Counter = Counter()
+            ends += batch.num_rows
             for part in by_bytes(batch, 0):
                 texts = [(t or b"").lower().split() for t in part.column(0).to_pylist()]
                 for t in texts:
@@ -72,10 +77,28 @@ def _count(docs: DataFrame) -> DataFrame:
                     yield counted(list(words.keys()), list(words.values()))
                     words.clear()
                 for flat, at, _ in _pieces(texts):
-                    code, n = np.unique(_packed(flat, at), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n)], names=["word", "gram", "n"])
-            if batch.num_rows:
-                yield counted([*words.keys(), None], [*words.values(), batch.num_rows])
+                    code, count = np.unique(_packed(flat, at), return_counts=True)
+                    grams.append(code)
+                    n.append(count)
+                    if sum(map(len, grams)) > 4 * COUNTED:
+                        code, count = summed(grams, n)
+                        if len(code) > 2 * COUNTED:
+                            yield places(code, count)
+                            code, count = code[:0], count[:0]
+                        grams, n = [code], [count]
+        if ends:
+            yield places(*summed(grams, n))
+            yield counted([*words.keys(), None], [*words.values(), ends])
+
+    def summed(grams: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+        code, count = np.concatenate(grams), np.concatenate(n)
+        order = np.argsort(code, kind="stable")
+        code, count = code[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, int)
+        return code[first], np.add.reduceat(count, first) if len(code) else count
+
+    def places(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n)], names=["word", "gram", "n"])
 
     def counted(keys: list, n: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int64())], names=["word", "gram", "n"])
@@ -83,12 +106,34 @@ def _count(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("_text"), run, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
 class Head:
-    """Code lengths of the frequent places, found by a hash of their packed bytes."""
-
-    places: Hashes
-    cost: np.ndarray  # by place, log10 probability
+    """Code lengths of the frequent places, the most frequent first, found by a hash of their packed bytes.
+
+    The leading bits of a hash lead to a slot that holds the most frequent of its places; the others stand in a sorted
+    array. The slots are made where the object is used."""
+
+    def __init__(self, keys: np.ndarray, cost: np.ndarray):
+        self.keys, self.cost = keys, cost
+        slot = keys >> _TOP
+        _, first = np.unique(slot, return_index=True)
+        self.slot = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slot_cost = np.zeros(1 << SLOT_BITS, np.float32)
+        self.slot[slot[first]], self.slot_cost[slot[first]] = keys[first], cost[first]
+        others = np.delete(np.arange(len(keys)), first)
+        others = others[np.argsort(keys[others])]
+        self.others, self.others_cost = Hashes(keys[others]), np.append(cost[others], np.float32(0))
+
+    def __reduce__(self):
+        return Head, (self.keys, self.cost)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code length of each place, 0 for those that aren't here, and which those are."""
+        slot = key >> _TOP
+        cost, here = self.slot_cost[slot], self.slot[slot] == key
+        miss = np.flatnonzero(~here | (key == 0))  # an empty slot holds 0
+        place = self.others.find(key[miss])
+        cost[miss] = self.others_cost[place]  # -1 takes the last, which is 0
+        return cost, miss[place < 0]
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text over the places that are here; the other places of all texts, packed, and their number in each text."""
@@ -96,9 +141,8 @@ class Head:
         codes = [np.empty(0, np.int64)]
         for flat, at, of in _pieces(texts):
             code = _packed(flat, at)
-            found = self.places.find(code.view(np.uint64) * _MIX)
-            total += np.bincount(of, self.cost[found], minlength=len(texts))  # -1 takes the last, which is 0
-            out = np.flatnonzero(found < 0)
+            cost, out = self.find(code.view(np.uint64) * _MIX)
+            total += np.bincount(of, cost, minlength=len(texts))
             codes.append(code[out])
             left += np.bincount(of[out], minlength=len(texts))
         return total, np.concatenate(codes), left
@@ -106,10 +150,10 @@ class Head:
 
 def _packed(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The bytes at some places and the ORDER bytes before them in one number each, the latest lowest."""
-    code = np.zeros(len(at), np.int64)
-    for k in range(ORDER, -1, -1):
-        code = code << 8 | flat[at - k]
-    return code
+    code = flat[ORDER:].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        code |= flat[ORDER - k : len(flat) - k].astype(np.int64) << (8 * k)
+    return code[at - ORDER]
 
 
 @dataclass
@@ -141,10 +185,9 @@ def _head(longest: DataFrame, most: int) -> Head:
         held += by_step.get(least, 0)
     totals = longest.groupBy("context").agg(F.sum("n").alias("total"))
     gram = F.call_function("shiftleft", F.col("context"), F.lit(8)) + F.col("byte")
-    rows = longest.where(step >= least).join(totals, "context").select(gram.alias("gram"), F.log10((F.col("n") - 0.5) / F.col("total")).cast("float").alias("cost")).toArrow()  # `most` at most
-    key = rows["gram"].to_numpy().view(np.uint64) * _MIX
-    order = np.argsort(key)
-    return Head(Hashes(key[order]), np.append(rows["cost"].to_numpy()[order], np.float32(0)))
+    rows = longest.where(step >= least).join(totals, "context").select(gram.alias("gram"), "n", F.log10((F.col("n") - 0.5) / F.col("total")).cast("float").alias("cost")).toArrow()  # `most` at most
+    order = np.argsort(-rows["n"].to_numpy(), kind="stable")
+    return Head((rows["gram"].to_numpy().view(np.uint64) * _MIX)[order], rows["cost"].to_numpy()[order])
 
 
 def _costs(places: DataFrame, levels: list[DataFrame]) -> DataFrame:
