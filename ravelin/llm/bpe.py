@@ -34,7 +34,7 @@ PLAIN_WORDS = r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-
 #: Marks the last byte of a word inside the automaton; no byte is written so.
 END = "\x00"
 #: Bytes that each of a worker's two generations of words takes at most, and pairs of tokens that it remembers.
-MEMORY, PAIRS = 24 << 20, 300_000
+MEMORY, PAIRS = 48 << 20, 300_000
 #: How the vocabulary file normalises and cuts texts, which WORDS and normal() follow.
 CUTS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
