@@ -41,7 +41,7 @@ _PAD = bytes([EDGE]) * ORDER
 
 
 #: Bytes that are worked on at once (some 60 bytes of memory each), and words that are counted before they are sent on.
-PIECE, COUNTED = 1 << 20, 250_000
+PIECE, COUNTED = 1 << 19, 150_000
 
 
 def _pieces(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -69,7 +69,7 @@ def _count(docs: DataFrame) -> DataFrame:
         grams, n, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for batch in batches:
             ends += batch.num_rows
-            for part in by_bytes(batch, 0):
+            for part in by_bytes(batch, 0, 2 << 20):
                 texts = [(t or b"").lower().split() for t in part.column(0).to_pylist()]
                 for t in texts:
                     words.update(t)
@@ -255,7 +255,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         frequent, words = model.value
         logs = np.append(words.logs, 0.0)
         for batch in batches:
-            for part in by_bytes(batch, 2):
+            for part in by_bytes(batch, 2, 2 << 20):
                 texts = [(t or b"").lower().split() for t in part.column(2).to_pylist()]
                 n, known, sums, cuts, hashes = [], [], [], [0], []
                 for t in texts:
