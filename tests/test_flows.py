@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ravelin.operators import extraction, flows, resolve
+from ravelin.operators import extraction, flows, lifecycle, resolve
 
 
 def test_feeds_to_index(spark):
@@ -46,3 +46,23 @@ def test_briefing_flow(spark):
     out = flows.collect_briefing(inds, people, people, tech, spark.createDataFrame([("a",)], "id string"), 24, until)
     assert out["totals"].first()[:3] == (30, 0, 30) and out["sample"].count() == 25 and out["sectors"].first()[0] == ["finance"]
     assert out["actors"].count() == 10 and [r["name"] for r in out["techniques"].collect()] == ["Shell"] and out["types"].first()["n"] == 25
+
+
+def test_schedule_starts_the_longest_waiting_on_free_workers(spark):
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    jobs = spark.createDataFrame([(j, 3600) for j in "abcdef"], "job string, interval_seconds int")
+    data = [("a", "2026-01-01 08:00:00", "2026-01-01 08:01:00"), ("a", "2026-01-01 09:00:00", "2026-01-01 09:01:00"), ("b", "2026-01-01 10:00:00", None), ("c", "2026-01-01 11:30:00", "2026-01-01 11:31:00"), ("d", "2026-01-01 10:30:00", "2026-01-01 10:31:00"), ("e", "2026-01-01 10:40:00", "2026-01-01 10:41:00")]
+    runs = spark.createDataFrame(data, "job string, started_at string, ended_at string").withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "ended_at")})
+    rows = {r["job"]: r for r in lifecycle.schedule(jobs, runs, now, jitter=60, workers=3).collect()}
+    assert {j for j, r in rows.items() if r["due"]} == {"a", "d", "e", "f"} and rows["b"]["running"]
+    assert {j for j, r in rows.items() if r["starts"]} == {"a", "d"}  # one of three workers is taken
+    assert all(0 <= (r["next_run"] - r["last_start"]).total_seconds() - 3600 <= 60 for r in rows.values() if r["last_start"])
+
+
+def test_poll_cycle_counts_new_items_of_due_sources(spark):
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    sources = spark.createDataFrame([("a", 1), ("b", 24), ("c", 6)], "source string, interval_hours int")
+    state = spark.createDataFrame([("a", "2026-01-01 10:00:00", None), ("b", "2026-01-01 10:00:00", None)], "source string, last_attempt string, last_polled string").withColumns({c: F.col(c).cast("timestamp") for c in ("last_attempt", "last_polled")})
+    items = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "z")], "source string, url string")
+    rows = {r["source"]: (r["due"], r["polled"], r["fresh"], str(r["last_attempt"])) for r in lifecycle.poll_cycle(sources, state, items, spark.createDataFrame([("x",)], "url string"), now).collect()}
+    assert rows == {"a": (True, 2, 1, "2026-01-01 12:00:00"), "b": (False, 0, 0, "2026-01-01 10:00:00"), "c": (True, 0, 0, "2026-01-01 12:00:00")}
