@@ -32,15 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A table written to the shared folder and read again, so a lost executor costs no recomputation."""
+    """A table in the shared folder. Given rows are written to it and read again, so a lost executor costs no recomputation."""
 
-    def __init__(self, df: DataFrame, label: str):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame | None, label: str, spark: SparkSession | None = None):
+        self.spark = spark or df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         for tables in _SCRATCH[-1:]:
             tables.append(self)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if df is not None:
+            df.write.parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -51,6 +52,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def table_path(spark: SparkSession, label: str) -> str:
+    """Where to write a table piece by piece."""
+    return Stored(None, label, spark).path
+
+
 _SCRATCH: list[list[Stored]] = []
 
 

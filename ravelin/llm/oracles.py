@@ -90,3 +90,41 @@ runs AS (SELECT DISTINCT rid, k, u, needed, n, s FROM (SELECT rid, k, u, needed,
 nr AS (SELECT rid, count(DISTINCT k) AS n_near FROM runs JOIN d USING (rid) WHERE len(list_intersect(w[s:s + n - 1], u)) >= needed AND (rid, k) NOT IN (SELECT rid, k FROM m) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN nr USING (rid)"""
+
+
+def op11() -> str:
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor, p.other AS positive, p.score AS ps, s.other AS negative, s.score AS ns, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS r
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(r AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3"""
+
+
+def op12() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT rid, place, line, key IN (SELECT key FROM c) AS gone FROM k),
+t AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY rid)
+SELECT d.doc_id, t.n_lines, t.n_dropped, sha256(t.kept) AS kept_sha256 FROM d JOIN t ON d.rid = t.rid"""
+
+
+def op13() -> str:
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words("text")} AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({words("text")}) AS term FROM benchmark),
+v AS (SELECT DISTINCT term FROM q),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM v) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t GROUP BY term),
+i AS (SELECT t.rid, d.doc_id, t.term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * (SELECT n FROM s)) // (SELECT l FROM s)))) AS part FROM t JOIN d ON t.rid = d.rid JOIN f ON t.term = f.term),
+r AS (SELECT q.item_id, i.rid, i.doc_id, CAST(sum(i.part) AS BIGINT) AS score FROM q JOIN i ON q.term = i.term GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) <= 50"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, oracles, ppm, quality, rules, secrets, simhash, urls
+from . import bpe, decontaminate, html, language, lines, negatives, oracles, ppm, quality, rules, search, secrets, simhash, urls
 from .common import table
 
 
@@ -67,6 +67,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=moved)
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +99,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_html": op9_html,
         "op10_quality": op10_quality,
+        "op11_negatives": op11_negatives,
+        "op12_lines": op12_lines,
+        "op13_search": op13_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the url, secret, rule and decontamination queries; tests/llm compares the others with brute force, exact round trips or held-out rows."""
-    return {"op2_urls": oracles.op2(), "op3_secrets": oracles.op3(), "op5_rules": oracles.op5(), "op8_decontaminate": oracles.op8()}
+    """Where SQL can say it; tests/llm compares the other queries with brute force, exact round trips or held-out rows."""
+    return {
+        "op2_urls": oracles.op2(), "op3_secrets": oracles.op3(), "op5_rules": oracles.op5(), "op8_decontaminate": oracles.op8(), "op11_negatives": oracles.op11(), "op12_lines": oracles.op12(),
+        "op13_search": oracles.op13(),
+    }
