@@ -23,20 +23,35 @@ def days_old(at: Column, now: Column) -> Column:
     return F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)).cast("int")
 
 
+_SPANISH = rf"(?i)(?<!\d)([0-9]{{1,2}})\s+de\s+({'|'.join((*MONTHS, 'setiembre'))})\s+de\s+([0-9]{{4}})(?!\d)"
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    month = F.replace(F.lower(month), F.lit("setiembre"), F.lit("septiembre"))
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), month)
+    parts = F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    return F.to_date(F.try_to_timestamp(parts, F.lit("yyyy-MM-dd")))
+
+
 def spanish_date(text: Column) -> Column:
     """The first `D de mes de YYYY` of a text, or null."""
-    names = "|".join((*MONTHS, "setiembre"))
-    shape = rf"(?i)(?<!\d)([0-9]{{1,2}})\s+de\s+({names})\s+de\s+([0-9]{{4}})(?!\d)"
-    month = F.replace(F.lower(F.regexp_extract(text, shape, 2)), F.lit("setiembre"), F.lit("septiembre"))
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), month)
-    parts = F.concat_ws("-", F.regexp_extract(text, shape, 3), F.lpad(number.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, shape, 1), 2, "0"))
-    return F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(parts, F.lit("yyyy-MM-dd"))))
+    return F.when(text.rlike(_SPANISH), _day(*[F.regexp_extract(text, _SPANISH, k) for k in (3, 2, 1)]))
+
+
+def spanish_dates(text: Column) -> Column:
+    """All `D de mes de YYYY` of a text in order, null where the calendar has no such day."""
+    days, months, years = (F.regexp_extract_all(text, F.lit(_SPANISH), F.lit(k)) for k in (1, 2, 3))
+    return F.transform(F.arrays_zip(days.alias("d"), months.alias("m"), years.alias("y")), lambda x: _day(x["y"], x["m"], x["d"]))
+
+
+_CLOCK = r"[T ](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d{1,6})?)?)?(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?"
 
 
 def iso_day(text: Column) -> Column:
-    """The calendar day of an ISO date or time as written, or null."""
+    """The calendar day of an ISO date or time as written (with or without separators), or null."""
     t = F.trim(text)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), F.to_date(F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd"))))
+    digits = F.replace(F.regexp_extract(t, r"^\d{4}-?\d{2}-?\d{2}", 0), F.lit("-"), F.lit(""))
+    return F.when(t.rlike(rf"^(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})(?:{_CLOCK})?$"), F.to_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd"))))
 
 
 def window(hours: int, until: Column) -> tuple[Column, Column]:

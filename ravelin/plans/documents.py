@@ -62,12 +62,21 @@ SELECT page_id, 'Page ' || page_id || ' & more' AS title, url AS link, CASE WHEN
 def feed_entries(spark, sf_dir):
     """RSS items and Atom entries, one usable and one not in each body."""
     link = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    rss = F.concat(F.lit("<rss><item><title>Page "), _STR("page_id"), F.lit(" & more</title><link>"), "url", F.lit("</link><pubDate> Mon </pubDate></item><item><title>x</title><link>mailto:x</link></item></rss>"))
-    atom = F.concat(F.lit("<feed><entry><title><![CDATA[Page "), _STR("page_id"), F.lit(' & more]]></title><link href="'), "url", F.lit('"/><updated>2024-01-02</updated></entry></feed>'))
-    bodies = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lit("<rss><item><title>none</title></item></rss>")).when(F.col("page_id") % 2 == 0, rss).otherwise(atom).alias("xml"), link.alias("escaped"))
+    rss = F.concat(F.lit("<rss><item><title>Page "), _STR("page_id"), F.lit(" &amp; more</title><link>"), link, F.lit("</link><pubDate> Mon </pubDate></item><item><title>x</title><link>mailto:x</link></item></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title><![CDATA[Page "), _STR("page_id"), F.lit(' & more]]></title><link rel="self" href="https://self.example/"/><link href="'), link, F.lit('"/><updated>2024-01-02</updated></entry></feed>'))
+    bodies = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lit("<rss><item><title>none</title></item></rss>")).when(F.col("page_id") % 2 == 0, rss).otherwise(atom).alias("xml"))
     return P.feed_entries(bodies).select("page_id", "title", "link", "published")
 
 
+@query("""
+SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS entries, CASE page_id % 4 WHEN 0 THEN 'no feed' WHEN 1 THEN 'no entries' END AS error FROM pages""")
+def feed_states(spark, sf_dir):
+    """Whole pages are no feeds; a body that breaks off still gives its whole entries."""
+    m, item = F.col("page_id") % 4, F.concat(F.lit("<item><title>T</title><guid>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</guid></item>"))
+    xml = F.when(m == 0, F.col("html")).when(m == 1, "<rss><channel><title>t</title></channel></rss>").when(m == 2, F.concat(F.lit("<rss><channel>"), item, F.lit("<item><title>cut"))).otherwise(F.concat(F.lit("<rss><channel>"), item, item, F.lit("</channel></rss>")))
+    return P.feed_health(table(spark, sf_dir, "pages").select("page_id", xml.alias("xml")))
+
+
 @query("SELECT 'a' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.json' AS name FROM part WHERE p_partkey % 2 = 0 ORDER BY 1 DESC LIMIT 10")
 def latest_advisories(spark, sf_dir):
     name = F.concat(F.lit("a"), F.lpad(_STR("p_partkey"), 9, "0"))
@@ -84,7 +93,7 @@ def confirmed_documents(spark, sf_dir):
     o, key = table(spark, sf_dir, "orders"), _STR("o_orderkey")
     landing, day = F.concat(F.lit("https://s.example/l/"), key), F.date_format("o_orderdate", "yyyy-MM-dd")
     cards = o.select(landing.alias("landing"), F.concat(F.lit("BULLETIN "), key).alias("title"), F.to_date("o_orderdate").alias("day"))
-    shown = F.when(F.col("o_orderkey") % 5 == 0, F.lit("2001-01-01")).otherwise(day)
+    shown = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd")).otherwise(day)
     html = F.concat(F.lit("<main><h1>Bulletin "), F.when(F.col("o_orderkey") % 7 == 0, F.lit("x")).otherwise(key), F.lit('</h1><time datetime="'), shown, F.lit('">t</time><a href="/docs/'), key, F.lit('-a.pdf">A</a><a href="/docs/'), key, F.lit('-b.pdf">B</a></main>'))
     body = lambda suffix: o.select(F.concat(F.lit("https://s.example/docs/"), key, F.lit(suffix)).alias("url"), F.lit("text/html").alias("content_type"), F.lit("<html").cast("binary").alias("head"))
     bodies = body("-a.pdf").where("url not rlike '[13579]-a'").unionByName(body("-b.pdf"))
@@ -92,6 +101,30 @@ def confirmed_documents(spark, sf_dir):
     return found.select("landing", "document", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
+@query("""
+SELECT 'https://s.example/l/' || o_orderkey AS landing, CASE o_orderkey % 8 WHEN 6 THEN 'Heading ' ELSE 'Bulletin ' END || o_orderkey AS title,
+CASE o_orderkey % 8 WHEN 2 THEN 'title conflict between collection and landing' WHEN 3 THEN 'publication date conflict between collection and landing' WHEN 4 THEN 'landing must contain exactly one main element' WHEN 5 THEN 'conflicting time and visible dates'
+WHEN 7 THEN 'conflicting landing h2 titles' END AS reason, CASE o_orderkey % 8 WHEN 0 THEN 'collection_card_text+landing_confirmed' WHEN 4 THEN 'collection_card_time+landing_confirmed' WHEN 1 THEN 'landing_main_time' ELSE 'collection_card_time+landing_confirmed' END AS day_source
+FROM orders""")
+def judged_landings(spark, sf_dir):
+    """Collections of a day's bulletins, their cards, and the landing pages behind them, with one flaw or none."""
+    key, m, at = _STR("o_orderkey"), F.col("o_orderkey") % 8, F.col("o_orderdate")
+    month = F.element_at(F.array(*map(F.lit, times.MONTHS)), F.month(at))
+    written = F.concat(F.dayofmonth(at).cast("string"), F.lit(" de "), month, F.lit(" de "), F.year(at).cast("string"))
+    day, next_ = (F.date_format(d, "yyyy-MM-dd") for d in (at, F.date_add(at, 1)))
+    stamp = lambda d: F.concat(F.lit("<time datetime='"), d, F.lit("'>x</time>"))
+    name = F.concat(F.when(m == 6, "Heading ").otherwise("Bulletin "), key)
+    shown = F.when(m == 1, "").when(m == 0, written).when(m == 5, F.concat(stamp(day), F.lit(" 1 de enero de 1901"))).otherwise(stamp(day))
+    card = F.concat(F.lit("<li class=card>"), shown, F.lit(" <p><a class='item' href='/l/"), key, F.lit("'>"), name, F.lit("</a></p></li>"))
+    o = table(spark, sf_dir, "orders")
+    lists = o.withColumns({"card": card, "shard": F.floor(F.col("o_orderkey") / 500)}).groupBy("shard").agg(F.concat(F.lit("<main><ul>"), F.concat_ws("", F.collect_list("card")), F.lit("</ul></main>")).alias("html"))  # 500 orders at most
+    heads = F.concat(F.lit("<h1>"), F.when(m == 2, "Other").when(m == 6, "Site").otherwise(F.upper(name)), F.lit("</h1><h2>"), F.when(m == 6, name).otherwise("Sub"), F.when(m == 7, "</h2><h2>Second").otherwise(""), F.lit("</h2>"))
+    main = F.concat(F.lit("<nav>1 de enero de 1901</nav><main>"), heads, F.when(m == 3, stamp(next_)).otherwise(stamp(day)), F.lit("<footer>1 de enero de 1901</footer></main>"), F.when(m == 4, "<main></main>").otherwise(""))
+    found = P.cards(lists.withColumn("url", F.lit("https://s.example/all")), ["shard"], "li.card a.item[href]")
+    judged = P.confirm_landings(P.collected(found, ["s.example"], r"^/l/\d+$"), o.select(F.concat(F.lit("https://s.example/l/"), key).alias("landing"), main.alias("html")))
+    return judged.select("landing", "title", "reason", "day_source")
+
+
 @query("SELECT l_orderkey AS doc, string_agg('p' || l_linenumber || l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1")
 def paged_texts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers, network
 from ..functions import text as T
 from ..operators import briefing, extraction
+from ..sources import nodes as N
 from ..sources import pages as P
 from .registry import query, table
 
@@ -91,6 +92,21 @@ def page_links_first(spark, sf_dir):
     return P.first_per_page(links, "page_id", "url").select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_NAV, _ARTICLE = (f"regexp_extract(html, '(?s)<{t}>(.*?)</{t}>', 1)" for t in ("nav", "article"))
+
+
+@query(f"""
+SELECT page_id, CAST(len(regexp_extract_all({_NAV}, '<a href="/')) AS BIGINT) AS menu, CAST(len(regexp_extract_all({_ARTICLE}, '<h1>')) AS BIGINT) AS heads, CAST(len(regexp_extract_all(html, '<div class="ad">')) AS BIGINT) AS adverts,
+CAST(len(regexp_extract_all({_ARTICLE}, '<p>')) AS BIGINT) AS parts, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages""")
+def page_selectors(spark, sf_dir):
+    """How many nodes of each page some selectors pick."""
+    rows = N.node_rows(table(spark, sf_dir, "pages").select("page_id", "html"))
+    shapes = {"menu": "nav > ul li > a[href^='/']", "heads": "article > h1", "adverts": "body > div.ad", "parts": "article p", "items": "nav li, body > ul > li, article li, li"}
+    for name, shape in shapes.items():
+        rows = N.select(rows, ["page_id"], shape, name)
+    return rows.groupBy("page_id").agg(*[F.count_if(name).alias(name) for name in shapes])
+
+
 _HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 
 

@@ -8,16 +8,41 @@ from pyspark.sql import functions as F
 
 from ..functions import network, times
 from ..functions import text as T
+from ..session import stored
+from . import nodes as N
+
+
+def _own_texts(page: Column, found: Column) -> Column:
+    """(node, text) of nodes of one kind, in order; a text ends where the next node of its kind begins, so unclosed ones cost no more than the page."""
+
+    def all_of(own: Column) -> Column:
+        def one(node: Column, k: Column) -> Column:
+            end = F.least(node["last"], F.coalesce(F.get(own, k + 1)["pre"] - 1, node["last"]))
+            return F.struct(node.alias("node"), N.text_of(F.slice(page, node["pre"] + 2, end - node["pre"])).alias("text"))
+
+        return F.transform(own, one)
+
+    return T.let(found, all_of)
 
 
 def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Each link of each page: its place (pos), href, text and absolute url."""
-    found = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
-    rows = pages.select("*", F.posexplode(found).alias("pos", "_a"))
-    href = F.regexp_extract("_a", r"(?is)^<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)", 1)
-    rows = rows.withColumn("href", F.replace(href, F.lit("&amp;"), F.lit("&")))
-    shown = T.fold_space(F.regexp_replace(F.regexp_replace("_a", r"(?s)<[^>]*>", " "), "&amp;", "&"))
-    return rows.withColumns({"link_text": shown, "absolute": network.resolve(F.col(url_col), F.col("href"))}).drop("_a", html_col)
+    """Each link of each page (an `a` with an href): its place among them (pos), its node, href, text and absolute url.
+
+    Characters are decoded and quoted signs are no markup; pages without links, null ones included, give no row."""
+    rows = pages.withColumn("_page", N.nodes(html_col))
+    links = F.filter("_page", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attributes"], "href"))
+    rows = rows.withColumn("_links", links).withColumn("_links", _own_texts(F.col("_page"), F.col("_links"))).drop("_page", html_col)
+    rows = rows.select("*", F.posexplode("_links").alias("pos", "_a")).drop("_links")
+    rows = rows.withColumns({"node": F.col("_a.node.pre"), "href": F.trim(F.element_at("_a.node.attributes", "href")), "link_text": F.col("_a.text")}).drop("_a")
+    return rows.withColumn("absolute", network.resolve(F.col(url_col), F.col("href")))
+
+
+def selected_anchors(pages: DataFrame, page_cols: list[str], selector: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The anchors that a selector picks; page_cols tell the pages apart. A selector of another form raises ValueError."""
+    picked = N.select(N.node_rows(pages.select(*page_cols, html_col), html_col), page_cols, selector).where("selected and tag = 'a'")
+    links = anchors(pages, url_col, html_col)
+    keys = picked.select(*[F.col(c).alias(f"_k_{c}") for c in page_cols], F.col("pre").alias("_pre"))
+    return links.join(keys, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in page_cols] + [F.col("node") == F.col("_pre")], "left_semi")
 
 
 def index_links(links: DataFrame, page_col: str, hosts: list[str], path_pattern: str, base_col: str = "url", slash: bool = False) -> DataFrame:
@@ -44,7 +69,7 @@ def first_per_page(links: DataFrame, page_col: str, base_col: str, most: int = 5
 
 
 def pdf_links(links: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Links that name a PDF (and match a pattern)."""
+    """Links that name a PDF (and match a pattern); those of selected_anchors, where a recipe has a selector."""
     rows = links.where(F.lower(network.url_part(F.col("absolute"), "path")).endswith(".pdf"))
     return rows.where(F.col("absolute").rlike(pattern)) if pattern else rows
 
@@ -60,24 +85,58 @@ def cap_per_source(links: DataFrame, source_col: str, most: int, order: str = "p
     return links.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def entry_url(links: Column) -> Column:
-    """Of an entry's links (href, rel, type): the one typed as a PDF, else a PDF enclosure, else the first."""
-    pick = lambda test: F.get(F.filter(links, test), F.lit(0))["href"]
-    pdf = lambda x: F.lower(F.coalesce(x["type"], F.lit(""))).contains("pdf")
-    return F.coalesce(
-        pick(lambda x: pdf(x) & (F.coalesce(x["rel"], F.lit("")) != "enclosure")), pick(lambda x: pdf(x)),
-        pick(lambda x: (x["rel"] == "enclosure") & F.lower(x["href"]).endswith(".pdf")), pick(lambda x: x["href"].isNotNull()),
-    )
+def entry_url(links: Column, enclosures: Column, guid: Column) -> Column:
+    """The address of an entry: of what is typed as a PDF the first, links before enclosures; else the last alternate page; else a permanent guid.
+
+    links: (_VALUE, _href, _rel, _type); enclosures: (_url, _type); guid: (_VALUE, _isPermaLink)."""
+    first = lambda found, name: F.get(F.filter(found, lambda x: (F.lower(F.trim(x["_type"])) == "application/pdf") & (x[name] != "")), F.lit(0))[name]
+    page = lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") & F.coalesce(x["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml")
+    own = F.filter(F.transform(F.filter(links, page), lambda x: F.coalesce(x["_href"], F.trim(x["_VALUE"]))), lambda x: x != "")
+    permanent = F.when(F.lower(F.coalesce(guid["_isPermaLink"], F.lit("true"))) == "true", F.trim(guid["_VALUE"]))
+    return F.trim(F.coalesce(first(links, "_href"), first(enclosures, "_url"), F.get(own, F.size(own) - 1), permanent))
+
+
+_ENTRY = (
+    "struct<title: string, link: array<struct<_VALUE: string, _href: string, _rel: string, _type: string>>, enclosure: array<struct<_url: string, _type: string>>, "
+    "guid: struct<_VALUE: string, _isPermaLink: string>, pubDate: string, published: string, updated: string, date: string>"
+)
+_FEED = f"struct<channel: struct<title: string, item: array<{_ENTRY}>>, item: array<{_ENTRY}>, entry: array<{_ENTRY}>, broken: string>"
+
+
+def _parsed(xml: Column) -> Column:
+    """(entries, broken) of one body: RSS with its items in the channel or beside it, or Atom, whatever the prefixes.
+
+    A body that is no XML is read by its entries, a bare & as itself; broken says so."""
+    options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"}
+    none = F.array().cast(f"array<{_ENTRY}>")
+    whole = F.from_xml(F.trim(xml), _FEED, options)
+    mended = F.regexp_replace(xml, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+    single = F.regexp_extract_all(mended, F.lit(r"(?s)(<(?:\w+:)?(?:item|entry)[\s>].*?</(?:\w+:)?(?:item|entry)>)"), F.lit(1))
+    wrapped = F.concat(F.lit('<rss><channel xmlns:x="x">'), F.array_join(F.transform(single, lambda x: F.regexp_replace(F.regexp_replace(x, r"<(/?)\w+:", "<$1"), r"\s[\w-]+:([\w-]+\s*=)", " $1")), ""), F.lit("</channel></rss>"))
+    rest = F.from_xml(F.regexp_replace(F.regexp_replace(wrapped, r"<(/?)entry([\s>])", "<$1item$2"), "^$", "<rss/>"), _FEED, options)
+
+    def of(feed: Column) -> Column:
+        return F.concat(F.coalesce(feed["channel"]["item"], none), F.coalesce(feed["item"], none), F.coalesce(feed["entry"], none))
+
+    bad = F.coalesce(whole["broken"].isNotNull(), F.lit(True))
+    return F.struct(F.when(bad, of(rest)).otherwise(of(whole)).alias("entries"), bad.alias("broken"))
 
 
 def feed_entries(bodies: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Entries of RSS bodies: title, link, published; entries without a usable link are left out."""
-    items = F.regexp_extract_all(F.col(xml_col), F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
-    rows = bodies.select("*", F.posexplode(items).alias("pos", "_item")).drop(xml_col)
-    tag = lambda name: T.fold_space(F.regexp_replace(F.regexp_extract("_item", rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1), r"<!\[CDATA\[|\]\]>", ""))
-    link = F.coalesce(F.nullif(tag("link"), F.lit("")), F.nullif(F.regexp_extract("_item", r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']*)", 1), F.lit("")))
-    published = F.coalesce(F.nullif(tag("pubDate"), F.lit("")), F.nullif(tag("published"), F.lit("")), F.nullif(tag("updated"), F.lit("")))
-    return rows.select("*", tag("title").alias("title"), link.alias("link"), published.alias("published")).drop("_item").where(network.url_is_admissible(F.coalesce("link", F.lit(""))))
+    """The other columns of bodies with pos, title, link and published of each entry; entries without a usable link are left out."""
+    rows = bodies.withColumn("_feed", _parsed(F.col(xml_col))).select(*[c for c in bodies.columns if c != xml_col], F.posexplode("_feed.entries").alias("pos", "_e"))
+    text = lambda c: F.nullif(T.fold_space(F.coalesce(F.col(f"_e.{c}"), F.lit(""))), F.lit(""))
+    link = entry_url(F.col("_e.link"), F.col("_e.enclosure"), F.col("_e.guid"))
+    rows = rows.withColumns({"title": F.coalesce(text("title"), F.lit("")), "link": link, "published": F.coalesce(*map(text, ("pubDate", "published", "updated", "date")))}).drop("_e")
+    return rows.where(network.url_is_admissible(F.coalesce("link", F.lit(""))))
+
+
+def feed_health(bodies: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """The other columns of bodies with the number of entries and an error: 'no feed' where nothing could be read from a body, 'no entries' where a feed has none."""
+    rows = bodies.withColumn("_feed", _parsed(F.coalesce(F.col(xml_col), F.lit(""))))
+    n = F.size("_feed.entries")
+    error = F.when(n > 0, None).when(F.col("_feed.broken"), "no feed").otherwise("no entries")
+    return rows.select(*[c for c in bodies.columns if c != xml_col], n.alias("entries"), error.alias("error"))
 
 
 def advisories(listing: DataFrame, json_col: str, prefix: str, most: int = 10) -> DataFrame:
@@ -87,28 +146,131 @@ def advisories(listing: DataFrame, json_col: str, prefix: str, most: int = 10) -
     return rows.orderBy(F.desc("name")).limit(most)
 
 
+def _first_or_conflict(values: Column, what: str) -> tuple[Column, Column]:
+    """The only value of a list (null, if empty), and the reason where there are several."""
+    distinct = F.array_distinct(values)
+    return F.get(distinct, F.lit(0)), F.when(F.size(distinct) > 1, F.lit(f"conflicting {what}"))
+
+
+def _title(texts: Column, what: str) -> tuple[Column, Column]:
+    """The first title that isn't empty; others may differ in case alone."""
+    shown = F.filter(texts, lambda t: t != "")
+    return F.get(shown, F.lit(0)), _first_or_conflict(F.transform(shown, lambda t: F.lower(t)), what)[1]
+
+
+def _days(found: Column, margin: Column) -> Column:
+    """(day, kind, reason) of the nodes of a scope: the day of its time elements, else the one written in Spanish outside navigation and footers; all must agree."""
+    stamps = F.transform(F.filter(found, lambda n: (n["tag"] == "time") & F.map_contains_key(n["attributes"], "datetime")), lambda n: times.iso_day(F.element_at(n["attributes"], "datetime")))
+    shown = times.spanish_dates(N.text_of(F.filter(found, lambda n: n["margin"] <= margin)))
+
+    def judged(x: Column) -> Column:
+        by_time, several = _first_or_conflict(x["stamps"], "datetime values")
+        by_text, more = _first_or_conflict(x["shown"], "visible dates")
+        bad = lambda days, what: F.when(F.exists(days, lambda d: d.isNull()), F.lit(f"malformed {what}"))
+        both = F.when(by_time != by_text, F.lit("conflicting time and visible dates"))
+        kind = F.when(by_time.isNotNull(), "time").when(by_text.isNotNull(), "text")
+        reason = F.coalesce(bad(x["stamps"], "datetime"), several, bad(x["shown"], "visible date"), more, both)
+        return F.struct(F.coalesce(by_time, by_text).alias("day"), kind.alias("kind"), reason.alias("reason"))
+
+    return T.let(F.struct(stamps.alias("stamps"), shown.alias("shown")), judged)
+
+
 def provenance(html: Column) -> Column:
-    """(mains, title, heading, day, conflict) of a landing page: headings and date inside its only main element."""
-    mains = F.regexp_extract_all(html, F.lit(r"(?is)<main\b[^>]*>(.*?)</main>"), F.lit(1))
-    inside = F.coalesce(F.get(mains, F.lit(0)), F.lit(""))
-    strip = lambda x: T.fold_space(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
-    heads = lambda level: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(inside, F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>"), F.lit(1)), strip), lambda t: t != ""))
-    stamps = F.array_distinct(F.transform(F.regexp_extract_all(inside, F.lit(r"(?is)<time\b[^>]*datetime\s*=\s*[\"']([^\"']*)"), F.lit(1)), times.iso_day))
-    shown = times.spanish_date(strip(inside))
-    day = F.coalesce(F.get(stamps, F.lit(0)), shown)
-    conflict = (F.size(mains) != 1) | (F.size(stamps) > 1) | (F.size(heads(1)) > 1) | F.coalesce(shown != F.get(stamps, F.lit(0)), F.lit(False))
-    return F.struct(F.size(mains).alias("mains"), F.get(heads(1), F.lit(0)).alias("title"), F.get(heads(2), F.lit(0)).alias("heading"), day.alias("day"), conflict.alias("conflict"))
-
-
-def confirm_documents(collected: DataFrame, landings: DataFrame, bodies: DataFrame, hosts: list[str], path_pattern: str) -> DataFrame:
-    """Collection -> landing -> PDF: (landing, document, title, day) of the first confirmed PDF of each landing.
-
-    collected: landing, title, day of the cards; landings: landing, html; bodies: url, content_type, head (first
-    bytes). The landing must agree with its card: title with a heading in any case, and the day if both have one."""
-    seen = landings.select("landing", provenance(F.col("html")).alias("p"), "html")
-    same = F.lower(F.col("title")).isin(F.lower("p.title"), F.lower("p.heading"))
-    agreed = collected.join(seen, "landing").where(~F.col("p.conflict") & same & (F.col("day").isNull() | F.col("p.day").isNull() | (F.col("day") == F.col("p.day"))))
-    links = anchors(agreed.select("landing", "title", F.coalesce("day", "p.day").alias("day"), "html"), "landing", "html")
+    """(mains, title, heading, day, kind, reason, conflict) of a landing page: h1, h2 and date inside its only main element.
+
+    Titles may differ in case only; dates that disagree or that no calendar has, and any other number of main elements,
+    are a reason. Null pages have no main element."""
+
+    def judged(page: Column) -> Column:
+        mains = F.filter(page, lambda n: n["tag"] == "main")
+
+        def of(main: Column) -> Column:
+            found = N.inside(page, main)
+            heads = lambda tag: F.transform(_own_texts(page, F.filter(found, lambda n: n["tag"] == tag)), lambda x: x["text"])
+            (title, one), (heading, two) = _title(heads("h1"), "landing h1 titles"), _title(heads("h2"), "landing h2 titles")
+            dates = _days(found, main["margin"])
+            return F.struct(title.alias("title"), heading.alias("heading"), dates.alias("dates"), F.coalesce(one, two).alias("titles"))
+
+        return F.struct(F.size(mains).alias("mains"), F.get(F.transform(F.when(F.size(mains) == 1, mains), of), F.lit(0)).alias("own"))
+
+    def shaped(j: Column) -> Column:
+        reason = F.when(j["mains"] != 1, F.lit("landing must contain exactly one main element")).otherwise(F.coalesce(j["own"]["titles"], j["own"]["dates"]["reason"]))
+        own = [j["own"][c].alias(c) for c in ("title", "heading")] + [j["own"]["dates"][c].alias(c) for c in ("day", "kind")]
+        return F.struct(j["mains"].alias("mains"), *own, reason.alias("reason"), reason.isNotNull().alias("conflict"))
+
+    return T.let(T.let(F.coalesce(N.nodes(html), F.array().cast(N.NODE)), judged), shaped)
+
+
+def cards(pages: DataFrame, page_cols: list[str], selector: str, url_col: str = "url", html_col: str = "html", most: int = 4) -> DataFrame:
+    """page_cols, node, href, title, day, kind and reason of each anchor that a selector picks: the date of the nearest card around it.
+
+    Of the `most` elements around an anchor, up to a main element, those that hold no other picked anchor are its cards;
+    the nearest with a date gives it, or the reason why its dates don't count."""
+    stored_ = stored(pages.select(*page_cols, url_col, N.nodes(html_col).alias("_page")), "pages")
+    rows = stored_.select(*page_cols, F.inline("_page"))
+    picked = N.select(rows, page_cols, selector).where("selected").groupBy(*page_cols).agg(F.sort_array(F.collect_list("pre")).alias("_picked"))
+    picked = picked.select(*[F.col(c).alias(f"_k_{c}") for c in page_cols], "_picked")
+    rows = stored_.join(picked, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in page_cols])
+    page = F.col("_page")
+    texts = lambda found: _own_texts(page, F.transform(found, lambda pre: F.get(page, pre)))
+
+    def card(own: Column, k: Column) -> Column:
+        node = own["node"]
+        before, after = F.coalesce(F.get("_picked", k - 1), F.lit(-1)), F.get("_picked", k + 1)
+        around = N.ancestors(page, node, most)
+        mains = F.array_position(F.transform(around, lambda n: n["tag"]), "main")
+        around = F.when(mains > 0, F.slice(around, F.lit(1), mains.cast("int") - 1)).otherwise(around)
+        alone = F.filter(around, lambda n: (before <= n["pre"]) & (after.isNull() | (after > n["last"])))
+        dates = F.filter(F.transform(alone, lambda n: _days(N.inside(page, n), n["margin"])), lambda d: d["day"].isNotNull() | d["reason"].isNotNull())
+        return F.struct(node["pre"].alias("node"), node["tag"].alias("tag"), F.trim(F.try_element_at(node["attributes"], F.lit("href"))).alias("href"), own["text"].alias("title"), F.get(dates, F.lit(0)).alias("dates"))
+
+    found = rows.withColumn("_own", texts(F.col("_picked"))).withColumn("_cards", F.transform("_own", card))
+    out = found.select(*page_cols, F.col(url_col).alias("_url"), F.explode("_cards").alias("_c")).where("_c.tag = 'a' and _c.href is not null")
+    return out.select(*page_cols, F.col("_url").alias(url_col), "_c.node", "_c.href", "_c.title", "_c.dates.day", "_c.dates.kind", "_c.dates.reason")
+
+
+def collected(cards_: DataFrame, hosts: list[str], path_pattern: str, url_col: str = "url") -> DataFrame:
+    """(landing, pos, title, day, kind, reason): the confined landings of a collection, each once, at the place of its first card.
+
+    Titles that differ beyond case, and days or kinds of dates that differ, are a reason, as is that of a card."""
+    rows = cards_.withColumn("landing", network.confined(F.col(url_col), F.col("href"), hosts, path_pattern)).where("landing is not null")
+    own = rows.groupBy("landing").agg(
+        F.min("node").alias("pos"), F.min(F.when(F.col("title") != "", F.struct("node", "title"))).alias("_t"), F.count_distinct(F.when(F.col("title") != "", F.lower("title"))).alias("_titles"),
+        F.min("day").alias("day"), F.count_distinct("day").alias("_days"), F.min("kind").alias("kind"), F.count_distinct("kind").alias("_kinds"), F.min(F.when(F.col("reason").isNotNull(), F.struct("node", "reason"))).alias("_r"),
+    )
+    several = F.when(F.col("_titles") > 1, "conflicting collection titles").when(F.col("_days") > 1, "conflicting collection dates").when(F.col("_kinds") > 1, "conflicting collection date sources")
+    return own.select("landing", "pos", F.col("_t.title").alias("title"), "day", "kind", F.coalesce("_r.reason", several).alias("reason"))
+
+
+def confirm_landings(collection: DataFrame, landings: DataFrame) -> DataFrame:
+    """(landing, title, title_source, day, day_source, reason) of the landings that a collection names.
+
+    A title or day of the collection must be that of the landing's h1 or h2 (in any case) or date; what the collection
+    lacks comes from the landing. collection: landing, title, day, and kind and reason if it has them."""
+    own = {c: F.col(c) if c in collection.columns else F.lit(None).cast("string") for c in ("kind", "reason")}
+    cards_ = collection.select("landing", F.col("title").alias("_title"), F.col("day").alias("_day"), own["kind"].alias("_kind"), own["reason"].alias("_reason"))
+    rows = cards_.join(landings.select("landing", provenance(F.col("html")).alias("p")), "landing")
+    titled, dated = F.coalesce(F.col("_title"), F.lit("")) != "", F.col("_day").isNotNull()
+    agrees = F.coalesce(F.lower("_title") == F.lower("p.title"), F.lit(False)) | F.coalesce(F.lower("_title") == F.lower("p.heading"), F.lit(False))
+    reason = F.coalesce(
+        "_reason", "p.reason",
+        F.when(titled & F.coalesce("p.title", "p.heading").isNull(), "missing landing title confirmation").when(titled & ~agrees, "title conflict between collection and landing"),
+        F.when(~titled & F.coalesce("p.title", "p.heading").isNull(), "missing title provenance"),
+        F.when(dated & F.col("p.day").isNull(), "missing landing publication date confirmation").when(dated & (F.col("_day") != F.col("p.day")), "publication date conflict between collection and landing"),
+        F.when(~dated & F.col("p.day").isNull(), "missing publication date provenance"),
+    )
+    source = F.when(titled, "collection_anchor+landing_confirmed").when(F.col("p.title").isNotNull(), "landing_main_h1").when(F.col("p.heading").isNotNull(), "landing_main_h2")
+    card = F.when(F.col("_kind") == "time", "collection_card_time+landing_confirmed").otherwise("collection_card_text+landing_confirmed")
+    day_source = F.when(dated, card).otherwise(F.concat(F.lit("landing_main_"), "p.kind"))
+    return rows.select("landing", F.when(titled, F.col("_title")).otherwise(F.coalesce("p.title", "p.heading")).alias("title"), source.alias("title_source"), F.coalesce("_day", "p.day").alias("day"), day_source.alias("day_source"), reason.alias("reason"))
+
+
+def confirm_documents(collection: DataFrame, landings: DataFrame, bodies: DataFrame, hosts: list[str], path_pattern: str, selector: str = "a[href]") -> DataFrame:
+    """Collection -> landing -> PDF: (landing, document, title, day) of the first confirmed PDF of each landing, a document for one landing only.
+
+    collection: as in confirm_landings; landings: landing, html; bodies: url, content_type, head (first bytes)."""
+    agreed = confirm_landings(collection, landings).where("reason is null")
+    links = selected_anchors(landings.select("landing", "html"), ["landing"], selector, "landing", "html").join(agreed, "landing")
     links = links.withColumn("url", network.confined(F.col("landing"), F.col("href"), hosts, path_pattern)).where("url is not null")
     pdf = links.join(bodies, "url").where(network.looks_like_pdf(F.col("content_type"), F.col("head"), F.col("url")))
     first = F.row_number().over(W.partitionBy("landing").orderBy("pos"))
