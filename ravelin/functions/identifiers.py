@@ -53,7 +53,9 @@ def has_shape(kind: Column, value: Column) -> Column:
     out = F.lit(False)
     for name, shape in SHAPES.items():
         out = F.when(kind == name, value.rlike(shape)).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    labels = F.split(F.substring_index(value, "@", -1), r"\.", -1)  # judged one by one, as a pattern that repeats a group recurses
+    mail = value.rlike(r"^[^\s'\"\\@]{1,64}@(?!-)[A-Za-z0-9.-]+$") & (F.size(labels) > 1) & F.forall(labels, lambda x: F.length(x).between(1, 63))
+    return F.coalesce(F.when(kind == "email", mail).otherwise(out), F.lit(False))
 
 
 def pattern_of(kind: Column, value: Column) -> Column:
@@ -114,15 +116,32 @@ def normal_identifier(kind: Column, value: Column) -> Column:
     return F.when(kind == "url", url).when(kind == "domain", F.lower(value)).when(kind.isin("cve", "technique"), F.upper(value)).otherwise(value)
 
 
-def facts(text: Column, tlds: tuple[str, ...] | None = None) -> Column:
-    """(kind, value) of the identifiers in a text, each once, sorted: IPv4, technique and CVE ids, URLs, and domains outside URLs."""
-    url = r"(?i)https?://[^\s|)\]}>\"'`]+"
-    every = lambda kind, pattern, source=text: F.transform(F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), normal_identifier(F.lit(kind), v).alias("value")))
-    urls = F.transform(F.regexp_extract_all(text, F.lit(f"({url})"), F.lit(1)), lambda v: F.struct(F.lit("url").alias("kind"), normal_identifier(F.lit("url"), F.regexp_replace(v, r"[.,;:*]+$", "")).alias("value")))
-    outside = F.lower(F.regexp_replace(text, url, " "))
-    names = F.filter(every("domain", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b", outside), lambda x: is_tld(F.substring_index(x["value"], ".", -1), tlds))
-    found = F.concat(every("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), every("technique", r"(?i)\bT1\d{3}(?:\.\d{3})?\b"), every("cve", r"(?i)\bCVE-\d{4}-\d{4,7}\b"), urls, names)
-    return F.array_sort(F.array_distinct(found))
+_URL = r"(?i)https?://[^\s|)\]}>\"'`]+"
+KINDS = ("ipv4", "technique", "cve", "url", "domain")
+
+
+def domain_names(text: Column) -> Column:
+    """Host names of two labels or more that end in letters, in a lower-case text, each the longest in its run of labels.
+
+    Runs of the signs of names are found first and then judged in pieces without empty labels, so a text of any form
+    takes time by its length alone. Letters and numbers beyond those of names, and _, are part of the word they touch."""
+    runs = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}._-]{4,})"), F.lit(1)), lambda r: r.contains("."))
+    pieces = F.flatten(F.transform(runs, lambda r: F.split(F.regexp_replace(r, r"(?<![\p{L}\p{N}_])[a-z0-9]*+[^a-z0-9.-][\p{L}\p{N}_]*+", "_"), r"_+|\.{2,}")))
+    names = F.transform(pieces, lambda p: F.regexp_extract(F.ltrim(p, F.lit(".-")), r"^([a-z0-9][a-z0-9.-]*\.[a-z]{2,})(?![a-z0-9])", 1))
+    return F.filter(names, lambda n: n != "")
+
+
+def facts(text: Column, tlds: tuple[str, ...] | None = None, kinds: tuple[str, ...] = KINDS) -> Column:
+    """(kind, value) of the identifiers in a text, each once, sorted: IPv4, technique and CVE ids, URLs, and domains outside URLs; or those of some kinds."""
+    made = lambda kind, found: F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), normal_identifier(F.lit(kind), v).alias("value")))
+    every = lambda kind, pattern: made(kind, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    urls = lambda: made("url", F.transform(F.regexp_extract_all(text, F.lit(f"({_URL})"), F.lit(1)), lambda v: F.rtrim(v, F.lit(".,;:*"))))
+    names = lambda: F.filter(made("domain", domain_names(F.lower(F.regexp_replace(text, _URL, " ")))), lambda x: is_tld(F.substring_index(x["value"], ".", -1), tlds))
+    of = {
+        "ipv4": lambda: every("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), "technique": lambda: every("technique", r"(?i)\bT1\d{3}(?:\.\d{3})?\b"), "cve": lambda: every("cve", r"(?i)\bCVE-\d{4}-\d{4,7}\b"),
+        "url": urls, "domain": names,
+    }
+    return F.array_sort(F.array_distinct(F.concat(*[of[k]() for k in kinds])))
 
 
 def context_facts(text: Column, tlds: tuple[str, ...] | None = None) -> Column:

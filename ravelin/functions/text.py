@@ -43,9 +43,13 @@ def unescape(value: Column) -> Column:
 
 
 def value_of_pattern(pattern: Column) -> Column:
-    """The literal of a pattern, unescaped; a pattern without one as it is."""
-    found = F.regexp_extract(pattern, r"= '((?:[^'\\]|\\.)*)'", 1)
-    return F.when(pattern.rlike(r"= '((?:[^'\\]|\\.)*)'"), unescape(found)).otherwise(pattern)
+    """The literal of a pattern, unescaped; a pattern without one as it is.
+
+    It is cut out between its quotes in a copy where escaped signs are masked, as patterns with a repeated group recurse."""
+    masked = F.replace(F.replace(pattern, F.lit("\\\\"), F.lit("\1\1")), F.lit("\\'"), F.lit("\1\1"))
+    start = F.instr(masked, "= '") + 3
+    size = F.instr(F.substring(masked, start, F.length(masked)), "'") - 1
+    return F.when((start > 3) & (size >= 0), unescape(F.substring(pattern, start, size))).otherwise(pattern)
 
 
 def fold_space(text: Column) -> Column:
@@ -87,7 +91,7 @@ def refang(text: Column) -> Column:
     )
     for pattern, new in steps[:1]:
         text = F.when(text.rlike("(?i)hxxp"), F.regexp_replace(text, pattern, new)).otherwise(text)
-    open_ = text.contains("[") | text.contains("(") | text.contains("{")
+    open_ = text.rlike(r"(?i)[\[({]\s?(?:[.@:]|dot|at)")
     out = text
     for pattern, new in steps[1:]:
         out = F.regexp_replace(out, pattern, new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
@@ -133,22 +133,18 @@ def flat(entities: DataFrame) -> DataFrame:
 
 
 #: Fixed value: a vulnerability id whose number may be broken over lines, as in text from a PDF.
-CVE_FORM = r"(?i)(?<![A-Za-z0-9])CVE\s*-\s*[0-9]{4}\s*-\s*[0-9]+(?:(?:\r?\n[ \t]*|­[ \t\r\n]*|[-‐-―]\r?\n[ \t]*)[0-9]+)*(?![A-Za-z0-9])"
+#: An id may be broken over lines; after ten breaks it has more digits than any id, so more aren't looked for (an open number of them recurses).
+CVE_FORM = r"(?i)(?<![A-Za-z0-9])CVE\s*-\s*[0-9]{4}\s*-\s*[0-9]+(?:(?:\r?\n[ \t]*|­[ \t\r\n]*|[-‐-―]\r?\n[ \t]*)[0-9]+){0,10}(?![A-Za-z0-9])"
 
 
 def cve_candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, id, raw_forms, occurrence_count, offsets, first): the vulnerability ids of a text with the places of their forms."""
     t = F.col(text)
-    found, between = F.regexp_extract_all(t, F.lit(f"({CVE_FORM})"), F.lit(1)), F.split(t, CVE_FORM, -1)
-    rows = docs.select(doc, found.alias("f"), between.alias("b")).where("size(f) > 0")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, raw: string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.col("b")[i])
-        end = begin + F.length(F.col("f")[i])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.col("f")[i].alias("raw")))).alias("out"))
-
-    each = rows.select(doc, F.explode(F.aggregate(F.sequence(F.lit(0), F.size("f") - 1), start, step, lambda acc: acc["out"])).alias("m"))
+    found, between = F.regexp_extract_all(t, F.lit(f"({CVE_FORM})"), F.lit(1)), F.transform(F.split(t, CVE_FORM, -1), lambda x: F.length(x))
+    rows = docs.select(doc, F.monotonically_increasing_id().alias("_row"), found.alias("f"), between.alias("b")).where("size(f) > 0")
+    each = rows.select(doc, "_row", F.posexplode(F.arrays_zip("f", F.slice("b", F.lit(1), F.size("f")).alias("b"))).alias("pos", "x")).select(doc, "_row", "pos", F.col("x.f").alias("raw"), F.col("x.b").alias("gap"))
+    end = F.sum(F.col("gap") + F.length("raw")).over(Window.partitionBy("_row").orderBy("pos")).cast("int")
+    each = each.withColumn("end", end).select(doc, F.struct((F.col("end") - F.length("raw")).alias("start"), "end", "raw").alias("m"))
     bare = F.upper(F.regexp_replace(F.regexp_replace("m.raw", r"\r?\n[ \t]*|­[ \t\r\n]*|[-‐-―]\r?\n[ \t]*", "\u0001"), r"\s+", ""))
     year, number = F.regexp_extract(bare, r"CVE\u0001?-\u0001?([0-9]{4})", 1), F.regexp_replace(F.regexp_extract(bare, r"([0-9\u0001]+)$", 1), "\u0001", "")
     each = each.withColumn("id", F.concat_ws("-", F.lit("CVE"), year, number)).where(F.col("id").rlike(r"^CVE-[0-9]{4}-[0-9]{4,10}$"))

@@ -28,9 +28,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of texts, whose rows cost more than dealing them out; up to so many bytes they are often one row group, so one task.
+TEXTS, SMALL_BYTES = ("documents", "pages", "conversations"), 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; clocks without a zone are read as UTC."""
+    """A table; clocks without a zone are read as UTC. Small tables of texts are dealt out over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 

@@ -22,7 +22,7 @@ def harvest_hashes(spark, sf_dir):
 
 @query(f"SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS value FROM documents)")
 def harvest_ipv4(spark, sf_dir):
-    found = F.filter(identifiers.facts(F.col("text")), lambda x: x["kind"] == "ipv4")
+    found = identifiers.facts(F.col("text"), kinds=("ipv4",))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(found, lambda x: x["value"])).alias("value"))
 
 
@@ -32,7 +32,7 @@ _DOMAINS = f"SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_ex
 
 @query(_DOMAINS)
 def harvest_domains(spark, sf_dir):
-    found = F.filter(identifiers.facts(F.col("text")), lambda x: x["kind"] == "domain")
+    found = identifiers.facts(F.col("text"), kinds=("domain",))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(found, lambda x: x["value"])).alias("value"))
 
 
@@ -49,8 +49,8 @@ def salvaged_emails(spark, sf_dir):
 def ioc_judged(spark, sf_dir):
     """Proposed addresses and harvested hashes through all gates, each once per document."""
     docs = table(spark, sf_dir, "documents")
-    ips = F.filter(identifiers.facts(F.col("text")), lambda x: x["kind"] == "ipv4")
-    proposed = docs.select("doc_id", F.posexplode(F.concat(ips, ips)).alias("pos", "x")).select("doc_id", F.lit("ip").alias("type"), "x.value", "pos")
+    ips = identifiers.facts(F.col("text"), kinds=("ipv4",))
+    proposed = docs.select("doc_id", F.posexplode(F.flatten(F.array_repeat(ips, 2))).alias("pos", "x")).select("doc_id", F.lit("ip").alias("type"), "x.value", "pos")
     judged = extraction.judge(extraction.unite(proposed, extraction.harvest(docs)), docs.select("doc_id", "text", F.lit("report").alias("source_type")))
     return extraction.indicators(judged).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
@@ -75,7 +75,7 @@ def anchor_counts(spark, sf_dir):
     """Identifiers of each turn and those that the turn's own text doesn't hold (none)."""
     rows = table(spark, sf_dir, "conversations").withColumn("context", F.col("text"))
     rows = briefing.anchor_stats(rows).where(F.size("unanchored") == 0)
-    return rows.select("conv_id", "turn", F.size(F.filter(identifiers.facts(F.col("text")), lambda x: x["kind"] == "ipv4")).cast("bigint").alias("ips"))
+    return rows.select("conv_id", "turn", F.size(identifiers.facts(F.col("text"), kinds=("ipv4",))).cast("bigint").alias("ips"))
 
 
 _A = "regexp_extract_all(html, '<a href=\"[^\"]*\"')"
