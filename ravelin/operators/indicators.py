@@ -36,13 +36,18 @@ def corroborated(rows: DataFrame, pattern: str = "pattern", feed: str = "feed")
     return rows.join(counts, pattern)
 
 
-def accept_first(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = TTL_SECONDS, inserted: str | None = None, most: int = 1_000_000) -> DataFrame:
+#: Keys with more rows than this are not folded in one aggregate.
+FOLDED_ROWS = 20_000
+
+
+def accept_first(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = TTL_SECONDS, inserted: str | None = None, most: int = FOLDED_ROWS) -> DataFrame:
     """Rows that are the first of their key for so long: each accepted row opens a time in which others are duplicates.
 
     Duplicates don't prolong it, and rows that were not inserted don't open it. tie names a row. The times of a key
-    with at most `most` rows are folded in order inside one aggregate, to which only time and tie travel. Keys with
-    more rows take a round per bucket of that length: as accepted rows are that far apart, a bucket accepts one row
-    of a key at most, which is a minimum with partial aggregation, so no task holds the rows of a key."""
+    with at most `most` rows are folded in order inside one aggregate, to which only time and tie travel. For keys with
+    more rows each row's successor, the first one that long after it, is found by a merge over ranges of time, and the
+    rows that follow from the first of a key are marked by doubling: as many rounds as the logarithm of the longest
+    chain, and no task holds the rows of a key."""
     own = rows.select(*key, F.col(at).alias("_at"), F.col(tie).alias("_tie"), (F.col(inserted) if inserted else F.lit(True)).alias("_ok")).where(F.col(at).isNotNull())
     sizes = own.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
     if not sizes.limit(1).count():
@@ -52,7 +57,7 @@ def accept_first(rows: DataFrame, key: list[str], at: str, tie: str, seconds: in
         same = [F.col(f"o.{k}").eqNullSafe(F.col(f"h.{k}")) for k in key]
         few = own.alias("o").join(hot.alias("h"), same, "left_anti")
         many = own.alias("o").join(hot.alias("h"), same, "left_semi")
-        kept = _folded(few, key, seconds).unionByName(_by_rounds(many, key, seconds))
+        kept = _folded(few, key, seconds).unionByName(_by_doubling(many, key, seconds))
     return rows.join(kept.withColumnRenamed("_tie", tie), tie, "left_semi")
 
 
@@ -68,31 +73,49 @@ def _folded(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
     return lists.select(F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("_tie"))
 
 
-def _by_rounds(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
+def _successors(rows: DataFrame, key: list[str], span: int) -> DataFrame:
+    """(_tie, _next): for each row (key, _t, _tie) the first of its key at _t + span or later, if there is one.
+
+    Rows and the times they wait for are sorted together over ranges of key and time, so a hot key lies in many ranges.
+    What a range doesn't hold is the first row of the key in a later one: a table with a row for each range."""
+    names = {k: f"_h{i}" for i, k in enumerate(key)}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    waits = rows.select(*key, (F.col("_t") + span).alias("_t"), F.lit(0).alias("_kind"), "_tie")
+    both = waits.unionByName(rows.select(*key, "_t", F.lit(1).alias("_kind"), "_tie"))
+    placed = stored(both.repartitionByRange(*key, "_t", "_kind", "_tie").withColumn("_part", F.spark_partition_id()), "merged")
+    row = F.struct("_t", "_tie")
+    back = W.partitionBy("_part", *key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
+    inside = placed.withColumn("_here", F.last(F.when(F.col("_kind") == 1, row), ignorenulls=True).over(back)).where("_kind = 0")
+    first = placed.where("_kind = 1").groupBy("_part", *key).agg(F.min(row).alias("_first")).withColumnRenamed("_part", "_of")
+    heads = placed.groupBy("_part").agg(F.min(F.struct(*key)).alias("_head")).select("_part", *[F.col(f"_head.{k}").alias(n) for k, n in names.items()])
+    later = heads.join(first, [*same, F.col("_part") == F.col("_of")], "left").select("_part", *names.values(), "_first")
+    later = later.withColumns({
+        "_later": F.last("_first", ignorenulls=True).over(W.partitionBy(*names.values()).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, 0)),
+        "_after": F.lag("_part").over(W.orderBy("_part")),
+    })
+    later = later.select("_after", *names.values(), "_later")  # a row for each range
+    found = inside.join(F.broadcast(later), [*same, F.col("_part") == F.col("_after")], "left")
+    return found.select("_tie", F.coalesce("_here", "_later")["_tie"].alias("_next")).where("_next is not null")
+
+
+def _by_doubling(rows: DataFrame, key: list[str], seconds: int) -> DataFrame:
     span = seconds * 1_000_000
-    rows = stored(rows.withColumn("_bucket", F.floor(F.unix_micros("_at") / span)), "rounds", "_bucket")
+    rows = stored(rows.withColumn("_t", F.unix_micros("_at")).drop("_at"), "rows")
+    opening = rows.where("_ok").select(*key, "_t", "_tie")
+    jump = stored(_successors(opening, key, span).select(F.col("_tie").alias("_a"), F.col("_next").alias("_b")), "jump")
+    marked = stored(opening.groupBy(*key).agg(F.min(F.struct("_t", "_tie")).alias("_f")).select("_f._tie"), "marked")
+    n = -1
+    while n != (n := marked.count()):  # the first 1, 2, 4, 8 ... of each chain
+        marked = stored(marked.unionByName(marked.join(jump, F.col("_tie") == F.col("_a")).select(F.col("_b").alias("_tie"))), "marked")
+        jump = stored(jump.join(jump.select(F.col("_a").alias("_m"), F.col("_b").alias("_c")), F.col("_b") == F.col("_m")).select("_a", F.col("_c").alias("_b")), "jump")
+    bucket = F.floor(F.col("_t") / span)
     names = {k: f"_k{i}" for i, k in enumerate(key)}
-    same = lambda c: [F.col(k).eqNullSafe(F.col(f"{c}.{n}")) for k, n in names.items()]
-    keyed = lambda df: df.withColumnsRenamed(names)
-    chain = state = None  # inserted rows that were accepted so far; the last of each key
-    ended: list[int] = []
-    for bucket in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):  # as many as the data spans
-        now = rows.where((F.col("_bucket") == bucket) & F.col("_ok"))
-        if state is not None:
-            now = now.join(state.alias("l"), same("l"), "left").where(F.col("_last").isNull() | (F.unix_micros("_at") - F.unix_micros("_last") >= span))
-        first = now.groupBy(*key).agg(F.min(F.struct("_at", "_tie")).alias("_f")).select(*key, "_f._at", "_f._tie", F.lit(bucket).alias("_bucket"))
-        found = stored(first, "accepted")
-        if chain is not None and len(ended) >= 32:  # the chain of days is stored before its plan grows long
-            chain, ended = stored(chain, "chain"), []
-        ended.append(bucket)
-        last = keyed(found).select(*names.values(), F.col("_at").alias("_last"))
-        state = last if state is None else stored(state.unionByName(last).groupBy(*names.values()).agg(F.max("_last").alias("_last")), "last")
-        chain = found if chain is None else chain.unionByName(found)
-    opened = keyed(chain).select(*names.values(), F.col("_at").alias("_opened"), F.col("_tie").alias("_by"), F.explode(F.array("_bucket", F.col("_bucket") + 1)).alias("_b")).alias("c")
-    before = (F.col("_opened") < F.col("_at")) | (F.col("_opened") == F.col("_at")) & (F.col("_by") < F.col("_tie"))
-    others = rows.where(~F.col("_ok"))
-    free = others.join(opened, [*same("c"), F.col("_bucket") == F.col("_b"), before, F.unix_micros("_at") - F.unix_micros("_opened") < span], "left_anti")
-    return chain.select("_tie").unionByName(free.select("_tie"))
+    opened = opening.join(marked, "_tie", "left_semi").withColumnsRenamed(names)
+    opened = opened.select(*names.values(), F.col("_t").alias("_opened"), F.col("_tie").alias("_by"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    before = (F.col("_opened") < F.col("_t")) | (F.col("_opened") == F.col("_t")) & (F.col("_by") < F.col("_tie"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    free = rows.where(~F.col("_ok")).join(opened, [*same, bucket == F.col("_b"), before, F.col("_t") - F.col("_opened") < span], "left_anti")
+    return marked.unionByName(free.select("_tie"))
 
 
 def documents(rows: DataFrame, now: Column) -> DataFrame:

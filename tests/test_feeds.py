@@ -119,3 +119,25 @@ def test_keys_with_many_rows_take_rounds(spark):
     for inserted in (None, "ok"):
         whole = ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted))
         assert whole == ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted, most=200)) == ids(I.accept_first(rows, ["k"], "t", "id", inserted=inserted, most=1))
+
+
+def greedy(rows, span):
+    """ids of (id, key, time, ok) that are accepted, one key after the other in order."""
+    kept, last = set(), {}
+    for i, k, t, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t - last[k] >= span:
+            kept.add(i)
+            if ok:
+                last[k] = t
+    return kept
+
+
+@pytest.mark.parametrize(("n", "days", "keys", "share"), [(60_000, 400, ["hot"], 1.0), (40_000, 2, ["hot", "hot", "hot", None, "b"], 0.7), (3_000, 3_000, ["hot", "x"], 0.9), (20_000, 0, ["hot"], 0.5)])
+def test_hot_keys_are_accepted_by_doubling(spark, n, days, keys, share):
+    import random
+
+    rng = random.Random(n)
+    data = [(k, rng.choice(keys), rng.randrange(0, days * 86_400 + 1), rng.random() < share) for k in range(n)]
+    rows = spark.createDataFrame(data, "id int, k string, s int, ok boolean").withColumn("t", F.timestamp_seconds("s")).repartition(6)
+    got = {r["id"] for r in I.accept_first(rows, ["k"], "t", "id", inserted="ok", most=100).collect()}
+    assert got == greedy(data, 86_400)
