@@ -35,20 +35,24 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that hold no article text, by tag, role and words of class and id.
 DROPPED = frozenset("nav footer aside form button select head dialog menu svg canvas object audio video math datalist".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu form".split())
-HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter\w*|subscribe|signup|"
-    r"sidebar\w*|side-bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|comment-?(?:list|section|form|area)|disqus|respond|replies|reply|share|sharing|social|related|recommended|footer|"
-    r"masthead|site-?header|page-?header|skip-?link|toolbar|widget)(?:$|[-_\s])",
-    re.I,
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu form comment".split())
+#: Fixed words of class and id names. A name counts where it is such a word with nothing but the words around it that are
+#: listed here: names are often made from headings and topics (related-work, social-science, article-share-price).
+_AROUND = "site page main top bottom left right global primary secondary article post entry user reader single inline sticky mobile desktop google wp js".split()
+_WORDS = (
+    r"ads?|adsbygoogle|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|pop-up|modal|overlay|newsletters?|subscribe|subscription|sign-?up|side-?bar\w*|menus?|nav|navbar|navigation|breadcrumbs?|"
+    r"comments?|disqus|respond|reply|replies|share|sharing|social|related|recommended|recommendations|skip-?link|skip-to-content|toolbar|widgets?"
 )
-#: Ids are often made from headings, so an id counts only where it is such a word with nothing but these around it.
-_ID = re.compile(
-    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary)[-_])*(?:ads?|advert\w*|sponsor\w*|promo|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|sidebar\w*|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommended|footer|header|masthead|toolbar|widgets?)"
-    r"(?:[-_](?:\d+|top|bottom|left|right|box|bar|block|wrapper|wrap|container|section|area|list|form|links|buttons?|inner|content|thread|posts?|articles?|main|menu|banner|notice|container|slot|unit|widget))*",
-    re.I,
+_AFTER = (
+    r"\d+|top|bottom|left|right|box|bar|block|wrapper|wrap|container|section|area|list|form|links?|buttons?|icons?|inner|outer|content|thread|posts?|articles?|stories|news|main|menu|banner|notice|consent|slot|unit|widget|items?|body|"
+    r"card|entry|header|footer|title|text|signup|subscribe|info|warning|danger|success|error|dialog|overlay|popup|modal|media|share|follow|ads?|panel|row|sm|md|lg|xl"
 )
+_NAME = re.compile(rf"(?:(?:{'|'.join(_AROUND)})[-_]+)*(?:{_WORDS})(?:[-_]+(?:{_AFTER}))*|(?:(?:{'|'.join(_AROUND)})[-_]+)*(?:(?:{_AFTER})[-_]+)?(?:comments|ads?|advert\w*|newsletter|sidebar)")
+#: Names of a head and foot, which an article may have too; there they count if they name the site.
+_EDGE = re.compile(r"(?:(?:site|page|main|top|bottom|global)[-_]*)*(?:header|footer|masthead)(?:[-_]+(?:\d+|top|bottom|bar|wrapper|wrap|container|inner|content|links?|menu|widgets?))*")
+#: Names of a reader's comment, which may be an article of its own.
+_COMMENT = re.compile(r"(?:(?:user|reader|single|child|parent|nested)[-_]+)*(?:comments?|reply|replies)(?:[-_]+(?:item|body|card|box|list|thread|content|entry|\d+))*")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Containers whose subtrees are counted; paragraphs only outside an article, with a link or so many words.
 PARAGRAPH_WORDS = 8
@@ -62,10 +66,13 @@ _ALL = (1 << 64) - 1
 def _hidden(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "main") or tag == "article" and not in_article:
+    if not attributes or tag in ("html", "body", "main"):
         return False
     values = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
-    named = bool(HINTS.search(values.get("class", ""))) or tag not in _HEADINGS and bool(_ID.fullmatch(values.get("id", "").strip()))
+    words = [_CAMEL.sub("-", w).lower() for w in (*values.get("class", "").split(), values.get("id", "").strip())]
+    if tag == "article" and not in_article:
+        return values.get("role", "").lower() == "comment" or values.get("itemtype", "").endswith("/Comment") or any(map(_COMMENT.fullmatch, words))
+    named = tag not in _HEADINGS and any(_NAME.fullmatch(w) or (not in_article or w.startswith(("site", "global"))) and _EDGE.fullmatch(w) for w in words)
     return values.get("role", "").lower() in ROLES or named or "display:none" in values.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
 
 

@@ -1,8 +1,8 @@
 """Secret scans over a content-addressed ledger, in DataFrame operations only.
 
-Every text version is addressed by its SHA-256. A ledger holds, per blob, which versions of which rules have
-scanned it and the spans they found; only pairs of blob and rule version that it lacks are scanned, each blob
-once however many rows carry it. Findings are then joined back to all rows of the blob.
+Every text version is addressed by its SHA-256. A ledger holds an entry for each blob and rule version that has scanned
+it, with the spans found; only pairs that it lacks are scanned, each blob once however many rows carry it. The findings of
+the versions that are asked for are then joined back to all rows of the blob.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, table_path
 
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 SPANS = f"array<{SPAN}>"
+LEDGER = f"blob string, rule string, spans {SPANS}"
 #: Spans that are put together at once.
 RUN = 256
 
@@ -104,9 +105,9 @@ def blob_id(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """The new ledger: (blob, scanned array of rule@version, spans) for every text of docs, old entries included.
+    """The entries that a ledger lacks: (blob, rule, spans), one for each text of docs and rule version, spans maybe empty.
 
-    ledger: an earlier result, or None. Null texts are empty texts. Each blob is scanned once, whatever rows it has."""
+    ledger: earlier entries, or None. Null texts are empty texts. Each blob is scanned once by a rule version, whatever rows it has."""
     rows = docs.select(F.xxhash64(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("blob", blob_id(F.col("_text")))
     names = F.array(*[F.lit(r.name) for r in rules])
@@ -114,27 +115,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     if ledger is None:
         todo = first.withColumn("todo", names)
     else:
-        seen = ledger.select("blob", F.explode("scanned").alias("rule"))
-        pairs = first.withColumn("rule", F.explode(names)).join(seen, ["blob", "rule"], "left_anti")
+        pairs = first.withColumn("rule", F.explode(names)).join(ledger.select("blob", "rule"), ["blob", "rule"], "left_anti")
         todo = pairs.groupBy("blob", "_row").agg(F.collect_set("rule").alias("todo"))
     # joined on a hash of the id too: the rows of a blob that many documents share don't meet in one task
     texts = rows.join(todo, ["blob", "_row"]).groupBy("blob", "_row").agg(F.first("_text").alias("_text"), F.first("todo").alias("todo"))
-    spans = F.concat(*[F.when(F.array_contains("todo", r.name), _spans(F.col("_text"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)])
-    new = texts.select("blob", F.col("todo").alias("scanned"), F.array_sort(spans).alias("spans"))
-    if ledger is None:
-        return new
-    both = ledger.select("blob", "scanned", "spans").unionByName(new)
-    return both.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("scanned"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    entry = lambda r, k: F.struct(F.lit(r.name).alias("rule"), F.array_sort(_spans(F.col("_text"), r, k)).alias("spans"))
+    entries = F.array_compact(F.array(*[F.when(F.array_contains("todo", r.name), entry(r, k)) for k, r in enumerate(rules)]))
+    return texts.select("blob", F.explode(entries).alias("e")).select("blob", "e.rule", "e.spans")
+
+
+def update(path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at a path in a folder that all share, after what it lacked for docs and rules has been appended to it.
+
+    A run that ends early leaves entries that the next one needn't make again; running twice scans nothing the second time."""
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.schema(LEDGER).parquet(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+    scan(docs, id_col, text_col, rules, known).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
     """Every row of docs, with all its columns and `spans` (sorted by start, then order of the rules).
 
-    A column of docs that is called spans is replaced. Rows with empty or null texts have no spans."""
+    Only the given versions of rules count, whatever else the ledger at `path` holds (without a path it is one of this
+    call's own). A column of docs that is called spans is replaced. Rows with empty or null texts have no spans."""
     rows = docs.drop("spans")
     of, blob, own = fresh(rows, "blob", "found_blob", "found_spans")
-    found = stored(scan(docs, id_col, text_col, rules, ledger), "ledger")
-    found = found.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(own))
+    ledger = update(path or table_path(docs.sparkSession, "ledger"), docs, id_col, text_col, rules)
+    rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
+    found = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
+    # spans are ordered by the rules of this call, and an entry that two runs made at once counts once
+    ranked = F.struct(F.col("s.start").alias("start"), rank[F.col("rule")].alias("rank"), F.col("s.kind").alias("kind"), F.col("s.stop").alias("stop"))
+    found = found.groupBy("blob").agg(F.sort_array(F.collect_set(ranked)).alias(own)).select(F.col("blob").alias(blob), own)
     rows = rows.withColumn(of, blob_id(F.col(text_col)))
     return rows.join(found, F.col(of) == F.col(blob), "left").withColumn("spans", F.coalesce(own, F.array().cast(SPANS))).drop(of, blob, own)
 

@@ -146,17 +146,32 @@ def test_secrets_in_a_text_with_many(spark):
     rows = found.select("doc_id", secrets.listed(F.filter("spans", lambda s: s["rank"] < 3)).alias("x"), secrets.redact(F.col("text"), F.col("spans")).alias("y")).collect()
     assert {r["x"] for r in rows} == {",".join(f"{k}:{s}:{e}" for s, _, k, e in brute_spans(text))} and len(rows) == 4
     assert {r["y"] for r in rows} == {" ".join(["[hex] é [assign]"] * 3000)}
-    assert secrets.scan(df).count() == 1
+    assert secrets.scan(df).select("blob").distinct().count() == 1
 
 
-def test_secret_ledger_scans_only_unseen_pairs(spark, docs):
-    first = secrets.scan(docs.where("doc_id < 10000007 or doc_id is null"), rules=secrets.BASE_RULES[:2])
-    both = secrets.scan(docs, ledger=first)
-    fresh = secrets.scan(docs)
-    sets = lambda df: {r["blob"]: (sorted(r["scanned"]), [tuple(s) for s in r["spans"]]) for r in df.collect()}
-    assert sets(both) == sets(fresh)
-    marked = fresh.withColumn("spans", F.array().cast(secrets.SPANS))
-    assert secrets.scan(docs, ledger=marked).where(F.size("spans") > 0).count() == 0  # nothing left to scan
+def test_secret_ledger_scans_only_unseen_pairs(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    secrets.update(path, docs.where("doc_id < 10000007 or doc_id is null"), rules=secrets.BASE_RULES[:2])
+    both = secrets.update(path, docs)
+    sets = lambda df: sorted((r["blob"], r["rule"], str(r["spans"])) for r in df.collect())
+    assert sets(both) == sets(secrets.scan(docs))  # nothing twice, nothing missing
+    assert secrets.scan(docs, ledger=both).count() == 0 and sets(secrets.update(path, docs)) == sets(both)
+
+
+def test_secret_rules_are_told_apart_by_version(spark, tmp_path):
+    from dataclasses import replace
+
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "password=abcdefghijklmnop x"), (2, "password=" + "a" * 40), (3, "password=abcdefghijklmnop x"), (4, None)], "doc_id int, text string")
+    one = secrets.BASE_RULES[0]
+    same, strict = replace(one, version=2), replace(one, version=3, least=30)
+    of = lambda *rules: {r["doc_id"]: [s["stop"] for s in r["spans"]] for r in secrets.findings(df, rules=rules, path=path).collect()}
+    first = {1: [25], 2: [49], 3: [25], 4: []}
+    assert of(one) == first
+    assert of(same) == first  # once, though two versions have found it
+    assert of(strict) == {1: [], 2: [49], 3: [], 4: []}
+    assert of(one) == first and spark.read.parquet(path).count() == 3 * 3
+    assert of(secrets.BASE_RULES[2], strict)[2] == [49, 49]  # spans follow the order of the rules given
 
 
 def brute_print(text):
@@ -506,6 +521,23 @@ def test_html_ids_made_from_headings_stay(spark):
     assert html.extract(spark.createDataFrame([(1, "http://a.org/x", page)], "page_id int, url string, html string")).first()["text"] == "Voters Related work Their share. A change."
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Main text.</p></article><article class="comment"><p>Reader comment.</p></article>', "Main text."),
+        ('<article>A</article><article class="user-comment depth-2">B</article><article role=comment>C</article><article itemtype="https://schema.org/Comment">D</article>', "A"),
+        ('<article class="post comments-open has-sidebar">A</article>', "A"),
+        ('<div class="social-science"><p>All of it.</p></div>', "All of it."),
+        ('<article><p>A</p><section class="related-work">B</section><h2 class="alert">C</h2><div class="article-share-price">D</div><p class="notice-period">E</p></article>', "A B C D E"),
+        ('<article>A<div class="related-posts">x</div><div class="share-buttons big">x</div><div class="cookieBanner">x</div><div class="ad-slot-3">x</div><div class="newsletter-signup">x</div><aside>x</aside>B</article>', "A B"),
+        ('<div class="site-header">x</div><div id="main-footer">x</div><p>A</p><div class="comments-section">x</div><div class="sidebar-left">x</div><div class="breadcrumbs">x</div><div class="alert alert-info">x</div>', "A"),
+        ('<article><div class="header"><h1>A</h1></div>B<div class="article-comments">x</div></article>', "A B"),
+    ],
+)
+def test_html_names_count_as_a_whole(spark, page, text):
+    assert html.extract(spark.createDataFrame([(1, "https://s.example/", page)], "page_id int, url string, html string")).first()["text"] == text
+
+
 def test_html_counts_surroundings(spark):
     """Which blocks go, against counts by hand: a block goes where it has five different surroundings on its host."""
     rng = np.random.default_rng(11)
