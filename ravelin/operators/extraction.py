@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
+from ..functions import names as N
 from ..functions import text as T
 
 #: Cues of bulletins, on text without case and accents.
@@ -104,9 +105,25 @@ def indicators(judged: DataFrame) -> DataFrame:
 
 
 def grounded_names(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """Names (doc_id, category, name) that are well-formed and stand in their document at word boundaries."""
-    rows = names.join(docs.select("doc_id", "text"), "doc_id")
-    return rows.where(I.is_valid_name(F.col("name"), F.col("category")) & T.mentions(F.col("text"), F.col("name"))).drop("text")
+    """Names (doc_id, category, name) that are well-formed and stand in their document at word boundaries, in any case.
+
+    All names of a document meet its text in one row, which is read once. A document's names are those that were proposed
+    for it; repeated rows stay."""
+    columns = names.columns
+    good = names.where(I.is_valid_name(F.col("name"), F.col("category")) & (F.col("name") != ""))
+    lists = good.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in columns if c != "doc_id"])).alias("_given"))
+    rows = docs.select("doc_id", "text").join(lists, "doc_id")
+    hits = N.stand_in(F.col("text"), F.transform("_given", lambda g: g["name"]))
+    each = rows.select("doc_id", "_given", hits.alias("_hits")).select("doc_id", F.explode(F.arrays_zip("_given", "_hits")).alias("x")).where("x._hits")
+    return each.select("doc_id", "x._given.*").select(*columns)
+
+
+def catalog_mentions(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(doc_id, category, id, name): the entries of a closed catalog (category, id, name, aliases) that stand in a text by name or alias, each once for a document."""
+    spelled = catalog.select("category", "id", "name", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_spelled"))
+    spelled = spelled.where(F.col("_spelled") != "").withColumn("_spelled", F.lower("_spelled")).distinct()
+    hits = N.mentioned(docs, spelled, name_col="_spelled")
+    return hits.join(spelled, "_spelled").select("doc_id", "category", "id", "name").distinct()
 
 
 def cited(entities: DataFrame, docs: DataFrame) -> DataFrame:

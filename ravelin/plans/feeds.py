@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..sources import feeds
+from ..sources import feeds, paged
 from .registry import query, table
 
 #: Rows of one JSON body.
@@ -191,3 +191,14 @@ def abuseipdb(spark, sf_dir):
     ip = F.when(F.col("c_custkey") % 5 == 0, F.lit("  ")).when(F.col("c_custkey") % 2 == 0, F.col("quad")).otherwise(six)
     row = F.struct(ip.alias("ipAddress"), F.lit("DE").alias("countryCode"), F.lit(90).alias("abuseConfidenceScore"), F.col("day").alias("lastReportedAt"))
     return _json(rows, "c_custkey", row, "abuseipdb", F.lit("ok"))
+
+
+@query("""
+WITH e AS (SELECT event_id, date_trunc('second', ts) AS moment, event_type FROM events) SELECT event_id, event_type AS kind, strftime(moment, '%Y-%m-%d %H:%M:%S') AS seen,
+strftime(date_trunc('day', moment - INTERVAL 1 SECOND), '%Y-%m-%d %H:%M:%S') AS since FROM e WHERE moment > TIMESTAMP '2024-01-05 00:00:00' AND moment <= TIMESTAMP '2024-01-12 00:00:00'""")
+def paged_windows(spark, sf_dir):
+    """A week of a source that answers in pages, by windows of a day."""
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen")).write.json(path)
+    rows = paged.of_windows(spark, "ravelin.sources.paged:folder_pages", "2024-01-05 00:00:00", "2024-01-12 00:00:00", 24, folder=path, size="5000")
+    return rows.select("since", F.from_json("body", "event_id bigint, kind string, last_seen string").alias("b")).select("b.event_id", "b.kind", F.col("b.last_seen").alias("seen"), "since")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import briefing, evaluate, graph, lifecycle, resolve
+from ..operators import briefing, digests, evaluate, graph, lifecycle, resolve
+from ..session import shared_dir
 from ..sources import tables
 from .registry import query, table
 
@@ -154,6 +157,18 @@ def duplicate_counts(spark, sf_dir):
     return graph.duplicates(table(spark, sf_dir, "events").select("user_id"), "user_id")
 
 
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 IN (1, 2) THEN 'missing' END AS side FROM orders WHERE o_orderkey % 997 IN (1, 2)
+UNION ALL SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 997 = 2 THEN 1 ELSE 0 END, 'unexpected' FROM orders WHERE o_orderkey % 997 IN (2, 3)""")
+def digest_differences(spark, sf_dir):
+    """Orders that were lost, changed or stored twice, found by the digests of their buckets."""
+    o, path = table(spark, sf_dir, "orders"), f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
+    m = F.col("o_orderkey") % 997
+    other = o.where(m != 1).withColumn("o_custkey", F.when(m == 2, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    kept = [digests.Digested(spark, f"{path}/{k}", 64).write(rows, ["o_orderkey"]) for k, rows in enumerate((o, other.unionByName(other.where(m == 3))))]
+    return digests.differences(*kept).select("o_orderkey", "o_custkey", "side")
+
+
 @query("SELECT o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' ELSE 'unexpected' END AS side, count(*) AS n FROM orders WHERE o_orderkey % 10 IN (0, 1) GROUP BY 1, 2")
 def readback_differences(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

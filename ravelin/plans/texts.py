@@ -172,6 +172,32 @@ def cidr_blocks(spark, sf_dir):
     return ev.select("event_id", network.cidr(text).alias("block"))
 
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')"
+_PLAIN = "regexp_matches(lower(string_split(text, ' ')[{}]), '^[a-z]{{5,}}$')"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS name FROM documents WHERE {_PLAIN.format(1)}) SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest({_WORDS}) AS name FROM documents) WHERE name IN (SELECT name FROM c)""")
+def catalog_mentions(spark, sf_dir):
+    """Every document against a catalog of all first words, in one pass over each text."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.lower(F.split("text", " ")[0])
+    catalog = docs.where(first.rlike("^[a-z]{5,}$")).select(F.lit("word").alias("category"), first.alias("id"), F.initcap(first).alias("name"), F.array(F.upper(first)).alias("aliases")).distinct()
+    return extraction.catalog_mentions(docs, catalog).select("doc_id", F.col("id").alias("name"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words, lower(string_split(text, ' ')[1]) AS a, lower(string_split(text, ' ')[-1]) AS b FROM documents),
+p AS (SELECT doc_id, words, a AS name FROM d UNION ALL SELECT doc_id, words, b FROM d UNION ALL SELECT doc_id, words, a || 'x' FROM d) SELECT doc_id, name FROM p WHERE regexp_matches(name, '^[a-z]{{5,}}$') AND list_contains(words, name)""")
+def grounded_names(spark, sf_dir):
+    """Names that were proposed for a document, some of which it doesn't hold."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.split(F.lower("text"), " ")
+    given = F.array(words[0], F.element_at(words, -1), F.concat(words[0], F.lit("x")))
+    names = docs.select("doc_id", F.lit("sectors").alias("category"), F.explode(given).alias("name")).where(F.col("name").rlike("^[a-z]{5,}$"))
+    return extraction.grounded_names(names, docs).select("doc_id", "name")
+
+
 _CVE = r"CVE\s*-\s*[0-9]{4}\s*-\s*[0-9]+(?:\r?\n[ \t]*[0-9]+)*"
 _BROKEN = "' cve - 2024-' || substr(CAST(10000 + doc_id AS VARCHAR), 1, 2) || chr(10) || '  ' || substr(CAST(10000 + doc_id AS VARCHAR), 3) || ' end' || CASE WHEN doc_id % 2 = 0 THEN '; CVE-2024-' || (10000 + doc_id) ELSE '' END"
 
