@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table_path
+from .common import fresh, stored, table_path
 
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 SPANS = f"array<{SPAN}>"
@@ -147,7 +147,8 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     found = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
     # spans are ordered by the rules of this call, and an entry that two runs made at once counts once
     ranked = F.struct(F.col("s.start").alias("start"), rank[F.col("rule")].alias("rank"), F.col("s.kind").alias("kind"), F.col("s.stop").alias("stop"))
-    found = found.groupBy("blob").agg(F.sort_array(F.collect_set(ranked)).alias(own)).select(F.col("blob").alias(blob), own)
+    # stored, so that the join deals out both sides itself and can split the rows of a blob that many documents share
+    found = stored(found.groupBy("blob").agg(F.sort_array(F.collect_set(ranked)).alias(own)).select(F.col("blob").alias(blob), own), "found")
     rows = rows.withColumn(of, blob_id(F.col(text_col)))
     return rows.join(found, F.col(of) == F.col(blob), "left").withColumn("spans", F.coalesce(own, F.array().cast(SPANS))).drop(of, blob, own)
 
