@@ -11,11 +11,11 @@ _SHAPE = r"^[a-z0-9-]+--[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{
 
 
 def uuid5(name: Column) -> Column:
-    """The version 5 UUID of a name in the URL namespace."""
+    """The version 5 UUID of a name in the URL namespace; null of null."""
     h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.lit(1) + (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4), F.lit(1))
     parts = (F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    return F.concat_ws("-", *parts)
+    return F.when(name.isNotNull(), F.concat_ws("-", *parts))
 
 
 def indicator_id(pattern: Column, *known: Column) -> tuple[Column, Column]:

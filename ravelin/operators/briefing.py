@@ -61,7 +61,8 @@ def block(indicators: DataFrame, names: DataFrame, counts: DataFrame, hours: int
     cleaned = T.clean(F.col("name"))
     lists = names.where(F.col("pos") < 10).groupBy().agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", cleaned.alias("n"))))), lambda x: x["n"]), ", ").alias(k) for k in ("actor", "malware", "campaign", "technique", "sector")])
     shown = F.concat(T.clean(F.col("name"), 120), F.lit(" ("), T.clean(F.coalesce("observable_type", F.lit("Unknown")), 30), F.lit(")"))
-    values = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("pos", shown.alias("v"), F.col("name").isNotNull().alias("named")))), lambda x: (x["pos"] < 10) & x["named"]), lambda x: x["v"])
+    first = F.when((F.col("pos") < 10) & F.col("name").isNotNull(), F.struct("pos", shown.alias("v")))  # only those that are shown are collected
+    values = F.transform(F.sort_array(F.collect_list(first)), lambda x: x["v"])
     top = indicators.agg(F.array_join(values, ", ").alias("values"), F.count("*").alias("n"), (F.coalesce(F.max(F.coalesce("score", F.lit(0))), F.lit(0)) / 100).alias("top"))
     kinds = indicators.groupBy(F.coalesce("observable_type", F.lit("Unknown")).alias("t")).agg(F.count("*").alias("c"), F.min("pos").alias("p"))
     kinds = kinds.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", F.concat_ws(" ", F.col("c").cast("string"), "t").alias("x")))), lambda x: x["x"]), ", ").alias("kinds"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Caps of names by category, and relations that have no time of their own.
@@ -15,14 +15,17 @@ def axes(members: DataFrame, doc: str = "doc_id") -> DataFrame:
 
     Actors and malware with sectors, actors with countries, and actors with vulnerabilities only where the document
     has a single actor. A document needs an actor with some target, or malware with a sector. Members are capped
-    before, so a document yields some hundred edges at most; the joins are on the document."""
-    of = lambda *kinds: members.where(F.col("category").isin(*kinds)).select(doc, F.col("category").alias("kind"), "name").distinct()
-    sides = of("actor", "malware").withColumnRenamed("name", "from_name").withColumnRenamed("kind", "from_kind")
-    counts = sides.groupBy(doc).agg(F.count_if(F.col("from_kind") == "actor").alias("actors"))
-    targets = of("sector", "country", "cve").withColumnRenamed("name", "to_name").withColumnRenamed("kind", "to_kind")
-    pairs = sides.join(targets, doc).join(counts, doc)
-    good = (F.col("to_kind") == "sector") | (F.col("from_kind") == "actor") & ((F.col("to_kind") == "country") | (F.col("to_kind") == "cve") & (F.col("actors") == 1))
-    return pairs.where(good).select(doc, "from_name", "to_name", F.concat_ws("-", "from_kind", "to_kind").alias("axis"))
+    before (CAPS), so a document's sets are small and it yields some hundred edges at most: one shuffle brings the
+    members of a document together, the pairs are made inside its row. Members without a name are left out."""
+    sets = members.groupBy(doc).agg(*[F.collect_set(F.when(F.col("category") == k, F.col("name"))).alias(f"_{k}") for k in CAPS])
+
+    def pairs(one: str, other: str) -> Column:
+        edge = lambda a, b: F.struct(a.alias("from_name"), b.alias("to_name"), F.lit(f"{one}-{other}").alias("axis"))
+        return F.flatten(F.transform(f"_{one}", lambda a: F.transform(f"_{other}", lambda b: edge(a, b))))
+
+    alone = F.when(F.size("_actor") == 1, pairs("actor", "cve"))
+    edges = F.array_compact(F.array(pairs("actor", "sector"), pairs("malware", "sector"), pairs("actor", "country"), alone))
+    return sets.select(doc, F.explode(F.flatten(edges)).alias("e")).select(doc, "e.*")
 
 
 def indicates(indicators: DataFrame, techniques: DataFrame, doc: str = "doc_id") -> DataFrame:

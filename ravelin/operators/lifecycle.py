@@ -9,34 +9,24 @@ from pyspark.sql import functions as F
 from ..functions import ids, times
 from ..functions import text as T
 
-STATE = "struct<status: string, first_ingested_at: timestamp, ingested_at: timestamp, failed_at: timestamp, previewed_at: timestamp, report_id: string, error: string, updated_at: timestamp>"
-
 
 def documents(events: DataFrame, key: str = "document_key") -> DataFrame:
     """The state of each document after its events (kind previewed, failed or ingested; at; seq; report_id; error).
 
     A preview never takes back an ingestion and keeps failed_at and report_id; a failure does override, but keeps
-    the first ingestion; report ids stay where a later event has none. Events of one document are folded in order
-    inside an aggregate."""
-    lists = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "seq", "kind", "report_id", "error"))).alias("_e"))
-    none = lambda kind: F.lit(None).cast(kind)
-    start = F.struct(none("string").alias("status"), *[none("timestamp").alias(c) for c in ("first_ingested_at", "ingested_at", "failed_at", "previewed_at")], none("string").alias("report_id"), none("string").alias("error"), none("timestamp").alias("updated_at")).cast(STATE)
-
-    def step(s: Column, e: Column) -> Column:
-        kind = e["kind"]
-        inside, failed, seen = kind == "ingested", kind == "failed", kind == "previewed"
-        return F.struct(
-            F.when(seen & (s["status"] == "ingested"), s["status"]).otherwise(kind).alias("status"),
-            F.when(inside, F.coalesce(s["first_ingested_at"], e["at"])).otherwise(s["first_ingested_at"]).alias("first_ingested_at"),
-            F.when(inside, e["at"]).otherwise(s["ingested_at"]).alias("ingested_at"),
-            F.when(failed, e["at"]).otherwise(s["failed_at"]).alias("failed_at"),
-            F.when(seen, e["at"]).otherwise(s["previewed_at"]).alias("previewed_at"),
-            F.when(seen, s["report_id"]).otherwise(F.coalesce(e["report_id"], s["report_id"])).alias("report_id"),
-            F.when(failed, T.sanitize_error(e["error"])).when(inside, F.lit(None)).otherwise(s["error"]).alias("error"),
-            e["at"].alias("updated_at"),
-        ).cast(STATE)
-
-    return lists.select(key, F.aggregate("_e", start, step).alias("s")).select(key, "s.*")
+    the first ingestion; report ids stay where a later event has none. Each field is that of the last or first event of
+    some kind, so partial aggregates work it out and the events of a document never meet in one place."""
+    order = F.struct("at", "seq", "kind", "report_id", "error")
+    inside, failed, seen = (F.col("kind") == k for k in ("ingested", "failed", "previewed"))
+    last = lambda test: F.max(F.when(test, order))
+    at = lambda test: F.max(F.when(test, F.col("at")))
+    folded = events.groupBy(key).agg(
+        F.max(order).alias("_any"), last(~seen).alias("_main"), F.max(F.when(~seen & F.col("report_id").isNotNull(), order)).alias("_report"), F.min(F.when(inside, F.col("at"))).alias("first_ingested_at"),
+        at(inside).alias("ingested_at"), at(failed).alias("failed_at"), at(seen).alias("previewed_at"), F.max("at").alias("updated_at"),
+    )
+    status = F.when(F.col("_main.kind") == "ingested", F.lit("ingested")).otherwise(F.col("_any.kind"))
+    error = F.when(F.col("_main.kind") == "failed", T.sanitize_error(F.col("_main.error")))
+    return folded.select(key, status.alias("status"), "first_ingested_at", "ingested_at", "failed_at", "previewed_at", F.col("_report.report_id").alias("report_id"), error.alias("error"), "updated_at")
 
 
 def first_ingestions(events: DataFrame, key: str = "document_key") -> DataFrame:

@@ -34,13 +34,21 @@ def _ingested(spark, sf_dir):
     )
 
 
-@query("""
-SELECT sha256(CASE WHEN m = 1 THEN '' ELSE 'https://www.site.example/alerts/' || o_orderkey || '-2024' END) IS NOT NULL AS keyed, reason, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS good FROM
-(SELECT o_orderkey, o_orderkey % 12 AS m, CASE o_orderkey % 12 WHEN 1 THEN 'unofficial_url' WHEN 2 THEN 'coordinates' WHEN 3 THEN 'title_source' WHEN 4 THEN 'date_year' WHEN 5 THEN 'publication_date_source' WHEN 6 THEN 'body'
-WHEN 7 THEN 'incomplete' WHEN 8 THEN 'retries' WHEN 9 THEN 'indicator_shape' WHEN 10 THEN 'vulnerabilities' END AS reason FROM orders) GROUP BY ALL""")
+_UUID5 = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', 1 + CAST(('0x' || substr({h}, 17, 1))::INT % 4 AS INT), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+_URL_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({}))"
+
+
+@query(f"""
+WITH d AS (SELECT o_orderkey AS k, o_orderkey % 12 AS m, CASE WHEN o_orderkey % 12 <> 1 THEN 'https://www.site.example/alerts/' || o_orderkey || '-2024' END AS landing,
+'https://cdn.site.example/files/1/alert-' || o_orderkey || CASE WHEN o_orderkey % 12 = 2 THEN '0' ELSE '' END || '-2024.pdf' AS document FROM orders),
+h AS (SELECT *, {_URL_SHA.format("landing")} AS h FROM d)
+SELECT sha256(CASE WHEN landing IS NULL THEN document ELSE landing || chr(10) || document END) AS document_key, landing AS landing_url, document AS document_url, CASE WHEN landing IS NOT NULL THEN 'report--' || {_UUID5.format(h="h")} END AS report_id,
+CASE m WHEN 1 THEN 'unofficial_url' WHEN 2 THEN 'coordinates' WHEN 3 THEN 'title_source' WHEN 4 THEN 'date_year' WHEN 5 THEN 'publication_date_source' WHEN 6 THEN 'body'
+WHEN 7 THEN 'incomplete' WHEN 8 THEN 'retries' WHEN 9 THEN 'indicator_shape' WHEN 10 THEN 'vulnerabilities' END AS reason, CASE WHEN m IN (0, 11) THEN 2 END AS objects FROM h""")
 def manifest_gates(spark, sf_dir):
+    """Each document with its keys and objects, or with the flaw for which it is left out."""
     rows = manifest.manifest(_ingested(spark, sf_dir), SITE)
-    return rows.groupBy(F.lit(True).alias("keyed"), "reason").agg(F.count("*").alias("n"), F.count_if(F.col("objects").isNotNull()).alias("good"))
+    return rows.select("document_key", "landing_url", "document_url", F.col("report_standard_id").alias("report_id"), "reason", F.when(F.col("objects").isNotNull(), F.size("objects")).alias("objects"))
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderkey % 12 = 8) AS one, count(*) FILTER (WHERE o_orderkey % 12 <> 8) AS others, CAST(sum(1) AS BIGINT) AS retries FROM orders")
@@ -318,7 +326,8 @@ def named_techniques(spark, sf_dir):
     return briefing.techniques(rows).select("x_mitre_id", "name")
 
 
-@query("SELECT DISTINCT 'label--x' IS NOT NULL AS keyed, lower(p_brand) AS value FROM part UNION SELECT true, 'all' FROM part")
+@query(f"""
+WITH v AS (SELECT DISTINCT lower(p_brand) AS value FROM part UNION SELECT 'all' FROM part), h AS (SELECT value, {_URL_SHA.format("value")} AS h FROM v) SELECT 'label--' || {_UUID5.format(h="h")} AS id, value FROM h""")
 def label_values(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.array(F.lower("p_brand"), F.lit("all"), F.lit("")).alias("labels"))
-    return resolve.labels(rows).select(F.col("id").startswith("label--").alias("keyed"), "value")
+    return resolve.labels(rows).select("id", "value")

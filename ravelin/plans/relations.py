@@ -61,9 +61,9 @@ def capped_members(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    of = lambda kind, c: li.select(F.col("l_orderkey").alias("doc_id"), F.lit(kind).alias("category"), F.concat(F.lit(kind), F.col(c).cast("string")).alias("name"))
-    return of("actor", "l_suppkey").unionByName(of("malware", "l_linenumber")).unionByName(of("sector", "l_returnflag")).unionByName(of("cve", "l_partkey"))
+    kinds = {"actor": "l_suppkey", "malware": "l_linenumber", "sector": "l_returnflag", "cve": "l_partkey"}
+    each = F.array(*[F.struct(F.lit(k).alias("category"), F.concat(F.lit(k), F.col(c).cast("string")).alias("name")) for k, c in kinds.items()])
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.inline(each))
 
 
 @query("""
