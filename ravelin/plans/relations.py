@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import briefing, digests, evaluate, graph, lifecycle, resolve
+from ..operators import briefing, digests, evaluate, graph, lifecycle, resolve, sketches
 from ..session import shared_dir
 from ..sources import tables
 from .registry import query, table
@@ -169,6 +169,16 @@ def digest_differences(spark, sf_dir):
     return digests.differences(*kept).select("o_orderkey", "o_custkey", "side")
 
 
+@query("SELECT l_returnflag AS kind, count(*) AS n, count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem WHERE year(l_shipdate) >= 1994 GROUP BY 1")
+def merged_sketches(spark, sf_dir):
+    """Distinct parts of each return flag since a year, from the sketches of the years, held against the exact number."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("load"), F.col("l_returnflag").alias("kind"), "l_partkey")
+    found = sketches.merged(sketches.of_loads(rows, "load", ["kind"], "l_partkey"), ["kind"], F.col("load") >= 1994)
+    exact = rows.where("load >= 1994").groupBy("kind").agg(F.count_distinct("l_partkey").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.lit(sketches.error_bound()) * F.col("exact")
+    return found.join(exact, "kind").select("kind", F.col("rows").alias("n"), "exact", near.alias("near"))
+
+
 @query("SELECT o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' ELSE 'unexpected' END AS side, count(*) AS n FROM orders WHERE o_orderkey % 10 IN (0, 1) GROUP BY 1, 2")
 def readback_differences(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
