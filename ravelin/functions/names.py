@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What makes up words, as Unicode has it.
-_WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]")
+_WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]")
 #: Names of one automaton: so many bytes of UTF-8; longer lists are taken in several passes.
 LIST_BYTES = 32 << 20
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import identifiers
 from ..functions import text as T
-from ..operators import evaluate, extraction, lifecycle, resolve
+from ..operators import evaluate, extraction, flows, lifecycle, resolve
 from .registry import AS_OF, now, query, table
+from .texts import _HEX, _IP
 
 _RUNS = "r AS (SELECT 'u' || user_id AS job, 3600 * (1 + user_id % 300) AS span, max(ts) AS last, count(*) FILTER (WHERE event_type = 'click' AND event_id % 50 = 0) AS open FROM events GROUP BY ALL)"
 
@@ -90,3 +92,24 @@ def technique_by_keyword(spark, sf_dir):
     keywords = part.select(F.lower(F.substring_index("p_type", " ", 1)).alias("keyword")).union(part.select(F.lower("p_brand"))).distinct()
     names = part.select(F.col("p_type").alias("id"), F.col("p_type").alias("name")).distinct()
     return resolve.technique_lookup(keywords, names).select("keyword", "technique")
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS v FROM documents), h AS (SELECT DISTINCT doc_id, v FROM (SELECT doc_id, {_HEX} AS v FROM documents) WHERE length(v) IN (32, 40, 64)),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS words, lower(string_split(text, ' ')[1]) AS name FROM documents)
+SELECT 'indicators' AS part, doc_id, v AS value FROM i UNION ALL SELECT 'indicators', doc_id, v FROM h UNION ALL SELECT 'rejected', doc_id, 'absent-' || doc_id || '.example ungrounded' FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT 'rejected', doc_id, 'empty' FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'names', doc_id, name FROM w WHERE regexp_matches(name, '^[a-z]{{5,}}$') AND list_contains(words, name)
+UNION ALL SELECT DISTINCT 'vulnerabilities', doc_id, upper(unnest(regexp_extract_all(text, '(?i)\\bCVE-\\d{{4}}-\\d{{4,7}}\\b'))) FROM documents""")
+def flow_extract(spark, sf_dir):
+    """Documents to indicators, rejections, names and vulnerability ids, with proposed values that no document holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("report").alias("source_type"))
+    ips = F.transform(identifiers.facts(F.col("text"), kinds=("ipv4",)), lambda x: F.struct(F.lit("ip").alias("type"), x["value"].alias("value")))
+    wrong = F.when(F.col("doc_id") % 5 == 0, F.struct(F.lit("domain").alias("type"), F.concat(F.lit("absent-"), F.col("doc_id").cast("string"), F.lit(".example")).alias("value")))
+    blank = F.when(F.col("doc_id") % 7 == 0, F.struct(F.lit("url").alias("type"), F.lit(" ").alias("value")))
+    proposed = docs.select("doc_id", F.posexplode(F.concat(ips, F.array_compact(F.array(wrong, blank)))).alias("pos", "x")).select("doc_id", "x.type", "x.value", "pos")
+    first = F.lower(F.split("text", " ")[0])
+    names = docs.select("doc_id", F.lit("sectors").alias("category"), F.explode(F.array(first, F.concat(first, F.lit("x")))).alias("name")).where(F.col("name").rlike("^[a-z]{5,}$"))
+    out = flows.extract(docs, proposed, names)
+    part = lambda name, value: out[name].select(F.lit(name).alias("part"), "doc_id", value.alias("value"))
+    rejected = F.trim(F.concat_ws(" ", "value", "reason"))
+    return part("indicators", F.col("value")).unionByName(part("rejected", rejected)).unionByName(part("names", F.col("name"))).unionByName(part("vulnerabilities", F.col("name")))
