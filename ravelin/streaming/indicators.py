@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.indicators import TTL_SECONDS, upsert
 from ..sinks import merge_buckets
+from . import machines
 
 
 def accept_first(stream: DataFrame, key: str, at: str, seconds: int = TTL_SECONDS, lateness: str = "2 hours", inserted: str | None = None) -> DataFrame:
@@ -24,31 +20,7 @@ def accept_first(stream: DataFrame, key: str, at: str, seconds: int = TTL_SECOND
     not yet passed by more than their length: a late row is a duplicate only if it lies within one of them, and else
     is accepted, as in the batch fold, unless a later row had already been given in its place (that can't be taken
     back). Rows of a micro-batch are taken in the order of their time."""
-    span = seconds * 1_000_000_000
-    columns = stream.columns
-
-    def pick(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values([at, *[c for c in columns if c != at]], kind="stable")
-        mark = state.getCurrentWatermarkMs()
-        opened = [t for t in (state.get[0] if state.exists else []) if t // 1_000_000 + seconds * 1000 > mark]
-        keep = []
-        done = rows[inserted].fillna(False).astype(bool) if inserted else itertools.repeat(True)
-        for moment, counts in zip(rows[at].astype("datetime64[ns]").astype("int64").tolist(), done, strict=False):
-            k = bisect.bisect_right(opened, moment)
-            fresh = k == 0 or moment - opened[k - 1] >= span
-            keep.append(fresh)
-            if fresh and counts:
-                opened.insert(k, moment)
-        state.update((opened,))
-        last = opened[-1] if opened else 0
-        state.setTimeoutTimestamp(max(last // 1_000_000 + seconds * 1000, mark + 1))
-        yield rows[pd.Series(keep, index=rows.index)][columns] if any(keep) else rows.iloc[:0][columns]
-
-    own = StructType([StructField("opened", ArrayType(LongType()))])
-    return stream.withWatermark(at, lateness).groupBy(key).applyInPandasWithState(pick, stream.schema, own, "append", GroupStateTimeout.EventTimeTimeout)
+    return machines.accept_first(stream, key, at, seconds, lateness, inserted)
 
 
 def into_table(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], key: str, at: str, checkpoint: str):
