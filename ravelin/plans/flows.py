@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers
 from ..functions import text as T
-from ..operators import evaluate, extraction, flows, lifecycle, resolve
+from ..operators import briefing, evaluate, extraction, flows, lifecycle, ranked, resolve
+from ..session import stored
 from .registry import AS_OF, now, query, table
 from .texts import _HEX, _IP
 
@@ -113,3 +114,62 @@ def flow_extract(spark, sf_dir):
     part = lambda name, value: out[name].select(F.lit(name).alias("part"), "doc_id", value.alias("value"))
     rejected = F.trim(F.concat_ws(" ", "value", "reason"))
     return part("indicators", F.col("value")).unionByName(part("rejected", rejected)).unionByName(part("names", F.col("name"))).unionByName(part("vulnerabilities", F.col("name")))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_brand) AS keyword FROM part),
+w AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[\\p{L}\\p{N}]+')) AS term FROM part), f AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+n AS (SELECT id, sum(tf) AS n FROM f GROUP BY 1), t AS (SELECT count(*) AS every, sum(n) AS words FROM n), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+p AS (SELECT term, id, CAST(floor(1000 * ln(1 + (every - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n * every / words))) AS BIGINT) AS gain FROM f JOIN n USING (id) JOIN d USING (term), t),
+q AS (SELECT DISTINCT keyword, unnest(regexp_extract_all(keyword, '[\\p{L}\\p{N}]+')) AS term FROM k), s AS (SELECT keyword, id, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) AS rank FROM s) SELECT keyword, rank, id, score FROM r WHERE rank <= 5""")
+def ranked_entities(spark, sf_dir):
+    """The five entities that are most relevant for each keyword of several words."""
+    part = table(spark, sf_dir, "part")
+    lists = stored(ranked.postings(part, F.concat_ws(" ", "p_name", "p_brand", "p_type"), "p_partkey"), "postings")
+    keywords = part.select(F.concat_ws(" ", F.lower("p_name"), F.lower("p_brand")).alias("keyword"))
+    return ranked.best(keywords, lists, 5, key="p_partkey").withColumnRenamed("p_partkey", "id")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE '' END AS exact, CASE c_custkey % 3 WHEN 1 THEN c_mktsegment ELSE '' END AS corrupt,
+CASE c_custkey % 3 WHEN 2 THEN c_mktsegment || ',' ELSE '' END || 'Zq' || c_custkey || 'vx' AS omitted FROM customer""")
+def names_given(spark, sf_dir):
+    """Names that a text gives as they are, with a letter doubled, or not at all."""
+    name, m = F.col("c_mktsegment"), F.col("c_custkey") % 3
+    said = F.when(m == 0, name).when(m == 1, F.concat(name, F.substring(name, -1, 1))).otherwise("nobody")
+    text = F.concat(F.lit("Reports say that "), said, F.lit(" was seen again."))
+    names = F.array(name, F.concat(F.lit("Zq"), F.col("c_custkey").cast("string"), F.lit("vx")))
+    rows = evaluate.name_fidelity(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), names.alias("names")))
+    return rows.select("c_custkey", *[F.array_join(c, ",").alias(c) for c in ("exact", "corrupt", "omitted")])
+
+
+@query("SELECT count(*) AS pairs, count(*) FILTER (WHERE doc_id % 4 = 0) AS retried, count(*) FILTER (WHERE length(text) > 0 AND doc_id % 8 = 0) AS changed FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)")
+def paired_drafts(spark, sf_dir):
+    """Drafts before and after a control that cuts each eighth text; those without a label have no second draft."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    again = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    after = again.select("doc_id", F.when(F.col("doc_id") % 8 == 0, F.lit("")).otherwise(F.col("text")).alias("text"), (F.col("doc_id") % 4 == 0).alias("retried"))
+    return evaluate.paired(docs, after, "doc_id")
+
+
+@query("""
+WITH c AS (SELECT user_id % 40 AS a, event_id % 25 AS b, event_type, ts, event_id FROM events)
+SELECT event_type AS category, 'n' || a AS candidate_name, 'u' || b AS source_url, arg_min(event_id, (ts, event_id)) AS id FROM c WHERE NOT (event_type = 'view' AND a % 2 = 0) GROUP BY ALL""")
+def queue_enqueued(spark, sf_dir):
+    """Candidates that the queue lacks, each once: the even names of one category are queued already."""
+    ev = table(spark, sf_dir, "events")
+    name = lambda letter, value: F.concat(F.lit(letter), value.cast("string"))
+    rows = ev.select("event_id", F.col("event_type").alias("category"), name("n", F.col("user_id") % 40).alias("candidate_name"), name("u", F.col("event_id") % 25).alias("source_url"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), (F.col("user_id") % 2 == 0).alias("even"))
+    queued = rows.where("category = 'view' and even").select("category", "candidate_name", "source_url").distinct()
+    return resolve.enqueue(queued, rows.drop("event_id", "even")).select("category", "candidate_name", "source_url", "id")
+
+
+@query("SELECT n_name AS name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 3 = 0")
+def curated_rows(spark, sf_dir):
+    """Rows of the authors on a list, whose ids come from their exact names."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    chosen = [r["name"] for r in nation.where("id % 3 = 0").collect()]  # 25 nations at most
+    authors = resolve.resolve_authors(nation, chosen)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("author_id"))
+    return briefing.curated(rows, authors).join(authors, F.col("author_id") == authors["id"]).select("name", "s_suppkey")
