@@ -64,7 +64,7 @@ def test_similar_names_equal_difflib_with_few_comparisons(spark):
         names = [word() for _ in range(6)] + ["", "é"]
         rows.append((k, names, [word() for _ in range(25)] + [changed(rng.choice(names[:6])) for _ in range(3)]))
     table = spark.createDataFrame(rows, "id long, names array<string>, pool array<string>")
-    out = evaluate.resembling(table, F.col("names"), F.col("pool"), 0.75, "near").select("id", "near", F.transform(evaluate.candidates(F.col("names"), F.col("pool"), 0.75), F.size).alias("left")).collect()
+    out = evaluate.resembling(table, F.col("names"), F.col("pool"), 0.75, "near").select("id", "near", F.transform(evaluate.candidates(evaluate.lettered(F.col("names")), evaluate.lettered(F.col("pool")), 0.75), F.size).alias("left")).collect()
     ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
     want = {k: [any(ratio(o, n) >= 0.75 for o in pool) for n in names] for k, names, pool in rows}
     assert {r["id"]: r["near"] for r in out} == want
