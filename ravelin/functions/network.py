@@ -144,9 +144,8 @@ def resolve(base: Column, href: Column) -> Column:
 
 def confined(base: Column, href: Column, hosts: list[str], path_pattern: str) -> Column:
     """The resolved link without its fragment if it stays on the given hosts and paths, else null."""
-    url = F.regexp_replace(resolve(base, href), r"#.*$", "")
-    good = url_is_admissible(url) & url_part(url, "host").isin(hosts) & url_part(url, "path").rlike(path_pattern)
-    return F.when(good, url)
+    good = lambda url: url_is_admissible(url) & url_part(url, "host").isin(hosts) & url_part(url, "path").rlike(path_pattern)
+    return let(F.regexp_replace(resolve(base, href), r"#.*$", ""), lambda url: F.when(good(url), url))
 
 
 def looks_like_pdf(content_type: Column, head: Column, url: Column) -> Column:

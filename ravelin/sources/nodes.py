@@ -6,13 +6,16 @@ if there is none), so a node lies in another if its pre is within the other's pr
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -27,6 +30,8 @@ _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)\s*(=)?\s*")
 _BARE = re.compile(r"[^\s>]*")
 #: What a page repeats around its content; `margin` counts the elements of these around a node.
 MARGINS = ("nav", "footer")
+#: Rows of an Arrow batch of pages, and the bytes of markup whose nodes are held as Python values at once.
+BATCH_ROWS, PIECE_BYTES = 500, 1 << 20
 NODE = "array<struct<pre: int, last: int, parent: int, depth: int, margin: int, tag: string, attributes: map<string, string>, text: string>>"
 
 
@@ -165,9 +170,71 @@ def nodes(html: Column | str) -> Column:
     return F.arrow_udf(_listed, NODE)(html)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches at BATCH_ROWS rows at most, as rows are whole pages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def each_page(pages: DataFrame, html_col: str, of: Callable[[pa.Array], tuple[pa.Array, list[pa.Array]]], fields: str) -> DataFrame:
+    """The other columns of pages with the fields of the rows that `of` gives for an array of markup: their places in it, and a column for each field.
+
+    Pages are read in pieces of PIECE_BYTES, a larger page alone, so memory doesn't grow with the rows of a batch.
+    html_col may hold structs whose first field is the markup."""
+    small_batches(pages.sparkSession)
+    others = [c for c in pages.columns if c != html_col]
+    kinds = StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            markup = batch.column(0)
+            sizes = pc.fill_null(pc.binary_length(markup.field(0) if pa.types.is_struct(markup.type) else markup), 0).to_pylist()
+            start = total = 0
+            for k, size in enumerate([*sizes, None]):
+                if k > start and (size is None or total + size > PIECE_BYTES):
+                    piece = batch.slice(start, k - start)
+                    places, columns = of(piece.column(0))
+                    yield pa.RecordBatch.from_arrays([*(c.take(places) for c in piece.columns[1:]), *columns], names=[*others, *kinds.names])
+                    start, total = k, 0
+                total += size or 0
+
+    schema = StructType([pages.schema[c] for c in others] + kinds.fields)
+    return pages.select(html_col, *others).mapInArrow(run, schema)
+
+
 def node_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The other columns of pages with pre, last, parent, depth, margin, tag, attributes and text of each node."""
-    return pages.withColumn("_nodes", nodes(html_col)).select(*[c for c in pages.columns if c != html_col], F.inline("_nodes"))
+
+    def of(html: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+        found = _listed(html)
+        return pc.list_parent_indices(found), found.flatten().flatten()
+
+    return each_page(pages, html_col, of, NODE.removeprefix("array<struct<").removesuffix(">>"))
+
+
+def texts_between(page: Page, own: list[int]) -> list[str]:
+    """The texts of nodes of one kind, in order, each piece set off by a blank; a text ends where the next node of its kind begins, so unclosed ones cost no more than the page."""
+    ends = [min(page.last[at], after - 1) for at, after in zip(own, [*own, len(page.tag)][1:], strict=True)]
+    return [shown(page, at + 1, end) for at, end in zip(own, ends, strict=True)]
+
+
+def shown(page: Page, start: int, end: int, margin: int | None = None) -> str:
+    """The texts of the nodes from a place to another, outside margins beyond so many."""
+    return " ".join(page.text[k] for k in range(start, end + 1) if page.tag[k] == TEXT and (margin is None or page.margin[k] <= margin))
+
+
+def stamps(page: Page, start: int, end: int) -> list[str]:
+    """The datetime values of the time elements from a place to another."""
+    return [page.attributes[k]["datetime"] for k in range(start, end + 1) if page.tag[k] == "time" and "datetime" in page.attributes[k]]
+
+
+def around(page: Page, at: int, most: int) -> list[int]:
+    """Up to `most` elements around a node, the nearest first."""
+    out: list[int] = []
+    while len(out) < most and (at := page.parent[at]) >= 0:
+        out.append(at)
+    return out
 
 
 def inside(page: Column, node: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,28 +13,28 @@ from ..session import stored
 from . import nodes as N
 
 
-def _own_texts(page: Column, found: Column) -> Column:
-    """(node, text) of nodes of one kind, in order; a text ends where the next node of its kind begins, so unclosed ones cost no more than the page."""
-
-    def all_of(own: Column) -> Column:
-        def one(node: Column, k: Column) -> Column:
-            end = F.least(node["last"], F.coalesce(F.get(own, k + 1)["pre"] - 1, node["last"]))
-            return F.struct(node.alias("node"), N.text_of(F.slice(page, node["pre"] + 2, end - node["pre"])).alias("text"))
-
-        return F.transform(own, one)
-
-    return T.let(found, all_of)
+def _links_of(html: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    places, pos, node, href, texts = [], [], [], [], []
+    for place, markup in enumerate(html):
+        if not markup.is_valid:
+            continue
+        page = N.read(markup.as_py())
+        own = [k for k, tag in enumerate(page.tag) if tag == "a" and "href" in page.attributes[k]]
+        places += [place] * len(own)
+        pos += range(len(own))
+        node += own
+        href += [page.attributes[k]["href"] for k in own]
+        texts += N.texts_between(page, own)
+    return pa.array(places, pa.int64()), [pa.array(pos, pa.int32()), pa.array(node, pa.int32()), pa.array(href, pa.string()), pa.array(texts, pa.string())]
 
 
 def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Each link of each page (an `a` with an href): its place among them (pos), its node, href, text and absolute url.
 
-    Characters are decoded and quoted signs are no markup; pages without links, null ones included, give no row."""
-    rows = pages.withColumn("_page", N.nodes(html_col))
-    links = F.filter("_page", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attributes"], "href"))
-    rows = rows.withColumn("_links", links).withColumn("_links", _own_texts(F.col("_page"), F.col("_links"))).drop("_page", html_col)
-    rows = rows.select("*", F.posexplode("_links").alias("pos", "_a")).drop("_links")
-    rows = rows.withColumns({"node": F.col("_a.node.pre"), "href": F.trim(F.element_at("_a.node.attributes", "href")), "link_text": F.col("_a.text")}).drop("_a")
+    Characters are decoded and quoted signs are no markup; pages without links, null ones included, give no row. Only
+    links leave the reader of a page, not its nodes."""
+    rows = N.each_page(pages, html_col, _links_of, "pos int, node int, href string, link_text string")
+    rows = rows.withColumns({"href": F.trim("href"), "link_text": T.fold_space(F.col("link_text"))})
     return rows.withColumn("absolute", network.resolve(F.col(url_col), F.col("href")))
 
 
@@ -158,10 +159,8 @@ def _title(texts: Column, what: str) -> tuple[Column, Column]:
     return F.get(shown, F.lit(0)), _first_or_conflict(F.transform(shown, lambda t: F.lower(t)), what)[1]
 
 
-def _days(found: Column, margin: Column) -> Column:
-    """(day, kind, reason) of the nodes of a scope: the day of its time elements, else the one written in Spanish outside navigation and footers; all must agree."""
-    stamps = F.transform(F.filter(found, lambda n: (n["tag"] == "time") & F.map_contains_key(n["attributes"], "datetime")), lambda n: times.iso_day(F.element_at(n["attributes"], "datetime")))
-    shown = times.spanish_dates(N.text_of(F.filter(found, lambda n: n["margin"] <= margin)))
+def _days(stamps: Column, text: Column) -> Column:
+    """(day, kind, reason) of a scope: the day of the datetime values of its time elements, else the one written in Spanish in its text; all must agree."""
 
     def judged(x: Column) -> Column:
         by_time, several = _first_or_conflict(x["stamps"], "datetime values")
@@ -172,33 +171,66 @@ def _days(found: Column, margin: Column) -> Column:
         reason = F.coalesce(bad(x["stamps"], "datetime"), several, bad(x["shown"], "visible date"), more, both)
         return F.struct(F.coalesce(by_time, by_text).alias("day"), kind.alias("kind"), reason.alias("reason"))
 
-    return T.let(F.struct(stamps.alias("stamps"), shown.alias("shown")), judged)
+    return T.let(F.struct(F.transform(stamps, times.iso_day).alias("stamps"), times.spanish_dates(T.fold_space(text)).alias("shown")), judged)
+
+
+_SCOPE = "struct<mains: int, titles: array<string>, headings: array<string>, stamps: array<string>, shown: string>"
+
+
+def _scopes(html: pa.Array) -> pa.Array:
+    """What the main element of each page holds, if it is the only one: texts of h1 and h2, datetime values, and the text outside navigation and footers."""
+    mains, titles, headings, stamps, shown = [], [], [], [], []
+    for markup in html:
+        page = N.read(markup.as_py() or "")
+        own = [k for k, tag in enumerate(page.tag) if tag == "main"]
+        mains.append(len(own))
+        start, end = (own[0] + 1, page.last[own[0]]) if len(own) == 1 else (0, -1)
+        for tag, out in (("h1", titles), ("h2", headings)):
+            out.append(N.texts_between(page, [k for k in range(start, end + 1) if page.tag[k] == tag]))
+        stamps.append(N.stamps(page, start, end))
+        shown.append(N.shown(page, start, end, page.margin[own[0]]) if len(own) == 1 else "")
+    lists = [pa.array(x, pa.list_(pa.string())) for x in (titles, headings, stamps)]
+    return pa.StructArray.from_arrays([pa.array(mains, pa.int32()), *lists, pa.array(shown, pa.string())], ["mains", "titles", "headings", "stamps", "shown"])
 
 
 def provenance(html: Column) -> Column:
     """(mains, title, heading, day, kind, reason, conflict) of a landing page: h1, h2 and date inside its only main element.
 
     Titles may differ in case only; dates that disagree or that no calendar has, and any other number of main elements,
-    are a reason. Null pages have no main element."""
-
-    def judged(page: Column) -> Column:
-        mains = F.filter(page, lambda n: n["tag"] == "main")
-
-        def of(main: Column) -> Column:
-            found = N.inside(page, main)
-            heads = lambda tag: F.transform(_own_texts(page, F.filter(found, lambda n: n["tag"] == tag)), lambda x: x["text"])
-            (title, one), (heading, two) = _title(heads("h1"), "landing h1 titles"), _title(heads("h2"), "landing h2 titles")
-            dates = _days(found, main["margin"])
-            return F.struct(title.alias("title"), heading.alias("heading"), dates.alias("dates"), F.coalesce(one, two).alias("titles"))
+    are a reason. Null pages have no main element. Only these parts leave the reader of a page, not its nodes."""
 
-        return F.struct(F.size(mains).alias("mains"), F.get(F.transform(F.when(F.size(mains) == 1, mains), of), F.lit(0)).alias("own"))
+    def folded(s: Column) -> Column:
+        each = lambda name: F.transform(s[name], T.fold_space).alias(name)
+        return F.struct(s["mains"].alias("mains"), each("titles"), each("headings"), _days(s["stamps"], s["shown"]).alias("dates"))
 
     def shaped(j: Column) -> Column:
-        reason = F.when(j["mains"] != 1, F.lit("landing must contain exactly one main element")).otherwise(F.coalesce(j["own"]["titles"], j["own"]["dates"]["reason"]))
-        own = [j["own"][c].alias(c) for c in ("title", "heading")] + [j["own"]["dates"][c].alias(c) for c in ("day", "kind")]
-        return F.struct(j["mains"].alias("mains"), *own, reason.alias("reason"), reason.isNotNull().alias("conflict"))
-
-    return T.let(T.let(F.coalesce(N.nodes(html), F.array().cast(N.NODE)), judged), shaped)
+        (title, one), (heading, two) = _title(j["titles"], "landing h1 titles"), _title(j["headings"], "landing h2 titles")
+        single = lambda c: F.when(j["mains"] == 1, c)
+        reason = F.when(j["mains"] != 1, F.lit("landing must contain exactly one main element")).otherwise(F.coalesce(one, two, j["dates"]["reason"]))
+        own = [single(c).alias(name) for name, c in (("title", title), ("heading", heading), ("day", j["dates"]["day"]), ("kind", j["dates"]["kind"]))]
+        return F.struct(j["mains"].alias("mains"), *own, reason.alias("reason"))
+
+    judged = lambda p: F.struct(*[p[c].alias(c) for c in ("mains", "title", "heading", "day", "kind", "reason")], p["reason"].isNotNull().alias("conflict"))
+    return T.let(T.let(T.let(F.arrow_udf(_scopes, _SCOPE)(html), folded), shaped), judged)
+
+
+def _cards_of(html: pa.Array, picked: pa.Array, most: int) -> tuple[pa.Array, list[pa.Array]]:
+    places, node, href, title, scopes = [], [], [], [], []
+    for place, (markup, own) in enumerate(zip(html.to_pylist(), picked.to_pylist(), strict=True)):
+        page = N.read(markup or "")
+        for at, before, after, text in zip(own, [-1, *own][:-1], [*own, len(page.tag)][1:], N.texts_between(page, own), strict=True):
+            if page.tag[at] != "a" or "href" not in page.attributes[at]:
+                continue
+            elements = N.around(page, at, most)
+            mains = next((k for k, e in enumerate(elements) if page.tag[e] == "main"), len(elements))
+            alone = [e for e in elements[:mains] if before <= e and page.last[e] < after]
+            places.append(place)
+            node.append(at)
+            href.append(page.attributes[at]["href"])
+            title.append(text)
+            scopes.append([{"stamps": N.stamps(page, e + 1, page.last[e]), "shown": N.shown(page, e + 1, page.last[e], page.margin[e])} for e in alone])
+    kind = pa.list_(pa.struct([("stamps", pa.list_(pa.string())), ("shown", pa.string())]))
+    return pa.array(places, pa.int64()), [pa.array(node, pa.int32()), pa.array(href, pa.string()), pa.array(title, pa.string()), pa.array(scopes, kind)]
 
 
 def cards(pages: DataFrame, page_cols: list[str], selector: str, url_col: str = "url", html_col: str = "html", most: int = 4) -> DataFrame:
@@ -206,27 +238,15 @@ def cards(pages: DataFrame, page_cols: list[str], selector: str, url_col: str =
 
     Of the `most` elements around an anchor, up to a main element, those that hold no other picked anchor are its cards;
     the nearest with a date gives it, or the reason why its dates don't count."""
-    stored_ = stored(pages.select(*page_cols, url_col, N.nodes(html_col).alias("_page")), "pages")
-    rows = stored_.select(*page_cols, F.inline("_page"))
-    picked = N.select(rows, page_cols, selector).where("selected").groupBy(*page_cols).agg(F.sort_array(F.collect_list("pre")).alias("_picked"))
+    own = stored(pages.select(*page_cols, url_col, html_col), "pages")
+    picked = N.select(N.node_rows(own.select(*page_cols, html_col), html_col), page_cols, selector).where("selected").groupBy(*page_cols).agg(F.sort_array(F.collect_list("pre")).alias("_picked"))
     picked = picked.select(*[F.col(c).alias(f"_k_{c}") for c in page_cols], "_picked")
-    rows = stored_.join(picked, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in page_cols])
-    page = F.col("_page")
-    texts = lambda found: _own_texts(page, F.transform(found, lambda pre: F.get(page, pre)))
-
-    def card(own: Column, k: Column) -> Column:
-        node = own["node"]
-        before, after = F.coalesce(F.get("_picked", k - 1), F.lit(-1)), F.get("_picked", k + 1)
-        around = N.ancestors(page, node, most)
-        mains = F.array_position(F.transform(around, lambda n: n["tag"]), "main")
-        around = F.when(mains > 0, F.slice(around, F.lit(1), mains.cast("int") - 1)).otherwise(around)
-        alone = F.filter(around, lambda n: (before <= n["pre"]) & (after.isNull() | (after > n["last"])))
-        dates = F.filter(F.transform(alone, lambda n: _days(N.inside(page, n), n["margin"])), lambda d: d["day"].isNotNull() | d["reason"].isNotNull())
-        return F.struct(node["pre"].alias("node"), node["tag"].alias("tag"), F.trim(F.try_element_at(node["attributes"], F.lit("href"))).alias("href"), own["text"].alias("title"), F.get(dates, F.lit(0)).alias("dates"))
-
-    found = rows.withColumn("_own", texts(F.col("_picked"))).withColumn("_cards", F.transform("_own", card))
-    out = found.select(*page_cols, F.col(url_col).alias("_url"), F.explode("_cards").alias("_c")).where("_c.tag = 'a' and _c.href is not null")
-    return out.select(*page_cols, F.col("_url").alias(url_col), "_c.node", "_c.href", "_c.title", "_c.dates.day", "_c.dates.kind", "_c.dates.reason")
+    rows = own.join(picked, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in page_cols])
+    rows = rows.select(*page_cols, F.col(url_col).alias("_url"), F.struct(html_col, "_picked").alias("_page"))
+    found = N.each_page(rows, "_page", lambda page: _cards_of(*page.flatten(), most), "node int, href string, title string, scopes array<struct<stamps: array<string>, shown: string>>")
+    dates = F.filter(F.transform("scopes", lambda s: _days(s["stamps"], s["shown"])), lambda d: d["day"].isNotNull() | d["reason"].isNotNull())
+    out = found.select(*page_cols, F.col("_url").alias(url_col), "node", F.trim("href").alias("href"), T.fold_space(F.col("title")).alias("title"), F.get(dates, F.lit(0)).alias("_d"))
+    return out.select(*page_cols, url_col, "node", "href", "title", "_d.day", "_d.kind", "_d.reason")
 
 
 def collected(cards_: DataFrame, hosts: list[str], path_pattern: str, url_col: str = "url") -> DataFrame:
@@ -249,7 +269,9 @@ def confirm_landings(collection: DataFrame, landings: DataFrame) -> DataFrame:
     lacks comes from the landing. collection: landing, title, day, and kind and reason if it has them."""
     own = {c: F.col(c) if c in collection.columns else F.lit(None).cast("string") for c in ("kind", "reason")}
     cards_ = collection.select("landing", F.col("title").alias("_title"), F.col("day").alias("_day"), own["kind"].alias("_kind"), own["reason"].alias("_reason"))
-    rows = cards_.join(landings.select("landing", provenance(F.col("html")).alias("p")), "landing")
+    N.small_batches(landings.sparkSession)
+    read = landings.select("landing", F.inline(F.array(F.struct(provenance(F.col("html")).alias("p")))))  # worked out once a page
+    rows = cards_.join(read, "landing")
     titled, dated = F.coalesce(F.col("_title"), F.lit("")) != "", F.col("_day").isNotNull()
     agrees = F.coalesce(F.lower("_title") == F.lower("p.title"), F.lit(False)) | F.coalesce(F.lower("_title") == F.lower("p.heading"), F.lit(False))
     reason = F.coalesce(

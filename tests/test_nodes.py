@@ -296,3 +296,18 @@ def test_feeds_as_they_come(spark):
     }
     health = {r["name"]: (r["entries"], r["error"]) for r in pages.feed_health(bodies).collect()}
     assert health["none"] == (0, "no entries") and health["text"] == health["empty"] == health["null"] == (0, "no feed") and health["broken"][0] == 1 and health["guid"] == (2, None)
+
+
+def test_a_batch_of_pages_is_read_in_small_pieces(spark):
+    """Pages of 100 kB each: what leaves the reader at once stays near a megabyte of markup, however many rows a batch has."""
+    html = "<main><h1>T</h1>" + "<p>x <a href='/l'>y</a>" * 5_000 + "</main>"
+    df = spark.range(40, numPartitions=1).select("id", F.lit(html).alias("html"), F.lit("https://s.example/").alias("url"))
+    def of(markup):
+        import pyarrow as pa
+
+        return pa.array(range(len(markup)), pa.int64()), [pa.array([len(markup)] * len(markup), pa.int32())]
+
+    sizes = {r["n"] for r in nodes.each_page(df, "html", of, "n int").collect()}
+    assert max(sizes) * len(html) <= nodes.PIECE_BYTES + len(html)
+    assert pages.anchors(df).count() == 200_000 and nodes.node_rows(df.limit(2)).count() == 2 * (3 + 5_000 * 4)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= nodes.BATCH_ROWS
