@@ -199,6 +199,7 @@ strftime(date_trunc('day', moment - INTERVAL 1 SECOND), '%Y-%m-%d %H:%M:%S') AS
 def paged_windows(spark, sf_dir):
     """A week of a source that answers in pages, by windows of a day."""
     path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen")).write.json(path)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), F.date_format("ts", "yyyy-MM-dd HH").alias("hour"))
+    rows.hint("rebalance", "hour").write.partitionBy("hour").json(path)
     rows = paged.of_windows(spark, "ravelin.sources.paged:folder_pages", "2024-01-05 00:00:00", "2024-01-12 00:00:00", 24, folder=path, size="5000")
     return rows.select("since", F.from_json("body", "event_id bigint, kind string, last_seen string").alias("b")).select("b.event_id", "b.kind", F.col("b.last_seen").alias("seen"), "since")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from importlib import import_module
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +22,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "since string, page int, place int, body string"
 _ARROW = pa.schema([("since", pa.string()), ("page", pa.int32()), ("place", pa.int32()), ("body", pa.string())])
 STAMP = "%Y-%m-%d %H:%M:%S"
+_FULL = re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", re.ASCII)
+#: Folders of a source that is kept by the hour, which hold the rows of one hour each.
+HOUR = "hour="
 
 
 def when(text: object) -> datetime | None:
     """A time as sources write it, or None."""
     try:
-        return datetime.strptime(str(text), STAMP)
+        return datetime.fromisoformat(str(text)) if _FULL.fullmatch(str(text)) else datetime.strptime(str(text), STAMP)
     except ValueError:
         return None
 
@@ -191,26 +196,51 @@ def of_windows(spark: SparkSession, pages: str, since: str, until: str, hours: i
     return spark.read.format("windowed_pages").options(pages=pages, since=since, until=until, hours=str(hours), **options).load()
 
 
-def _folder_lines(path: str, field: str, since: str | None, until: str | None) -> Iterator[str]:
+def _folder_files(path: str, since: str | None, until: str | None) -> list[str]:
+    """The JSON files of a folder by name, those of its hours among them (`hour=YYYY-MM-DD HH`) that a window touches."""
+    out = []
+    for name in sorted(os.listdir(path)):
+        if name.endswith(".json"):
+            out.append(os.path.join(path, name))
+        elif name.startswith(HOUR):
+            hour = when(f"{unquote(name.removeprefix(HOUR))}:00:00")
+            if hour is None or (not since or hour + timedelta(hours=1) > when(since)) and (not until or hour <= when(until)):
+                out += _folder_files(os.path.join(path, name), None, None)
+    return out
+
+
+def _folder_lines(path: str, field: str, since: str | None, until: str | None, file: str = "", at: int = 0) -> Iterator[tuple[dict, str, int]]:
+    """The rows of a window from a place on, each with its file and where the next line begins there."""
     path = path.removeprefix("file://")
-    for name in sorted(n for n in os.listdir(path) if n.endswith(".json")):
-        with open(os.path.join(path, name), encoding="utf-8") as lines:
-            yield from (x for x in lines if seen_within(json.loads(x), field, since, until))
+    for name in sorted(os.path.relpath(full, path) for full in _folder_files(path, since, until)):
+        if name < file:
+            continue
+        with open(os.path.join(path, name), "rb") as lines:
+            place = at if name == file else 0
+            lines.seek(place)
+            for line in lines:
+                place += len(line)
+                row = json.loads(line)
+                if seen_within(row, field, since, until):
+                    yield row, name, place
 
 
 def folder_pages(query: dict, token: str | None, size: int) -> dict:
-    """A source kept as JSON lines in a folder (option `folder`) that all tasks see; a token is the number of rows before it."""
-    start, out, more = int(token or 0), [], False
-    for k, line in enumerate(_folder_lines(query["folder"], query.get("seen", "last_seen"), query.get("since"), query.get("until"))):
-        if k >= start + size:
-            more = True
-            break
-        if k >= start:
-            out.append(json.loads(line))
-    return {"rows": out, "token": str(start + size) if more else None}
+    """A source kept as JSON lines in a folder (option `folder`) that all tasks see, by the hour or not.
+
+    A token is the place behind the last row of a page, so the next goes on from there: a line is read once, or twice where a page ends."""
+    place, file = token.split(":", 1) if token else ("0", "")
+    out: list[dict] = []
+    end = None
+    for row, name, after in _folder_lines(query["folder"], query.get("seen", "last_seen"), query.get("since"), query.get("until"), file, int(place)):
+        if len(out) == size:
+            return {"rows": out, "token": end}
+        out.append(row)
+        end = f"{after}:{name}"
+    return {"rows": out, "token": None}
 
 
 def folder_latest(query: dict) -> str:
     """The latest time in such a folder, or since."""
     field = query.get("seen", "last_seen")
-    return max((json.loads(x)[field] for x in _folder_lines(query["folder"], field, query.get("since"), None)), default=query["since"])
+    return max((row[field] for row, _, _ in _folder_lines(query["folder"], field, query.get("since"), None)), default=query["since"])

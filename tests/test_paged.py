@@ -75,3 +75,18 @@ def test_a_cursor_goes_on_after_a_restart(spark, tmp_path):
     assert len(run(spark, tmp_path, "windowed_pages", **options)) == 10
     write(tmp_path / "s", [{"ip": "late", "last_seen": "2026-02-01 00:00:00"}, {"ip": "before the cursor", "last_seen": "2026-01-02 00:00:00"}], "b")
     assert run(spark, tmp_path, "windowed_pages", **options) == sorted([*(r["ip"] for r in rows_of(10)), "late"])
+
+
+def test_pages_go_on_where_the_last_one_ended(tmp_path, monkeypatch):
+    """A window reads each line of its hours once or twice, however many pages it takes, and no other hour."""
+    write(tmp_path / "s", rows_of(9) + ODD)
+    for hour in ("2026-01-01 00", "2026-01-01 01", "2026-01-02 00", "2026-01-05 07"):
+        write(tmp_path / "s" / f"hour={hour}", [{"ip": f"{hour}-{k}", "last_seen": f"{hour}:00:{k % 60:02d}"} for k in range(300)])
+    read, loads = [], json.loads
+    monkeypatch.setattr(paged.json, "loads", lambda x: read.append(1) or loads(x))
+    source = paged.Pages({"pages": "ravelin.sources.paged:folder_pages", "folder": str(tmp_path / "s"), "size": "7"})
+    found = [loads(b)["ip"] for batch in source.walk("2026-01-01 00:00:00", "2026-01-02 00:00:00") for b in batch.column(3).to_pylist()]
+    want = [r["ip"] for r in rows_of(9) if "2026-01-01 00:00:00" < r["last_seen"] <= "2026-01-02 00:00:00"]
+    want += [f"2026-01-01 0{h}-{k}" for h in (0, 1) for k in range(300) if h or k % 60] + [f"2026-01-02 00-{k}" for k in range(0, 300, 60)]
+    assert sorted(found) == sorted(want)
+    assert len(read) < 2 * (13 + 900)
