@@ -38,7 +38,14 @@ def best(keywords: DataFrame, lists: DataFrame, most: int = 5, keyword: str = "k
 
     A keyword's score of an entity is the sum of its different terms' gains. The `most`-th gain of one list is a floor
     for the last place, so terms whose largest gains together stay under the highest such floor can't lift an entity
-    into it on their own: their lists are read only for entities that another term brings. No score is lost by that."""
+    into it on their own: their lists are read only for entities that another term brings. No score is lost by that.
+
+    Entities of the same terms and gains have the same scores, so one of them, that of the least key, is scored for all;
+    the best groups hold the best entities, and of each the `most` least keys are given out at the end."""
+    groups = lists.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "gain"))).alias("_g")).select(key, F.sha2(F.to_json("_g"), 256).alias("_g"))
+    groups = groups.withColumns({"_n": F.row_number().over(W.partitionBy("_g").orderBy(key)), "_first": F.min(key).over(W.partitionBy("_g"))}).where(F.col("_n") <= most)
+    groups = stored(groups.select(F.col("_first"), F.col(key).alias("_member")), "groups")
+    lists = stored(lists.join(groups.where("_first = _member").select(F.col("_first").alias(key)), key, "left_semi").select("term", key, "gain"), "postings")
     ends = W.partitionBy("term").orderBy(F.desc("gain"), key)
     tops = lists.withColumn("_r", F.row_number().over(ends)).where(F.col("_r") <= most).groupBy("term")
     tops = tops.agg(F.max("gain").alias("_max"), F.max(F.when(F.col("_r") == most, F.col("gain"))).alias("_floor"))
@@ -52,7 +59,10 @@ def best(keywords: DataFrame, lists: DataFrame, most: int = 5, keyword: str = "k
     led = stored(led, "led")
     more = asked.where("not _leads").join(lists, "term").join(led.select("_q", key), ["_q", key], "left_semi").select("_q", key, F.col("gain").alias("_s"))
     score = led.unionByName(more).groupBy("_q", key).agg(F.sum("_s").alias("score"))
-    ranked = score.withColumn("rank", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), key))).where(F.col("rank") <= most)
+    place = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), key))
+    ranked = score.withColumn("rank", place).where(F.col("rank") <= most)
+    ranked = ranked.withColumnRenamed(key, "_first").join(groups, "_first").select("_q", F.col("_member").alias(key), "score")
+    ranked = ranked.withColumn("rank", place).where(F.col("rank") <= most)
     return ranked.select(F.col("_q").alias(keyword), "rank", key, "score")
 
 

@@ -70,3 +70,21 @@ def test_similar_names_equal_difflib_with_few_comparisons(spark):
     assert {r["id"]: r["near"] for r in out} == want
     assert sum(map(sum, want.values())) > 100
     assert sum(sum(r["left"]) for r in out) < 0.1 * sum(len(n) * len(p) for _, n, p in rows)
+
+
+def test_copies_of_entities_are_scored_once(spark, monkeypatch):
+    texts = {k: f"w{k % 6} w{k % 4} common" for k in range(600)}
+    keywords = ["w1 common", "w2 w3", "common", "w5 w0 w9"]
+    sizes = {}
+
+    def watched(df, label, *partitions):
+        out = stored(df, label, *partitions)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ranked, "stored", watched)
+    lists = stored(ranked.postings(spark.createDataFrame([*texts.items()], "id long, text string"), F.col("text")), "postings")
+    asked = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    found = sorted((r["keyword"], r["rank"], r["id"], r["score"]) for r in ranked.best(asked, lists, 5).collect())
+    assert found == _plain(keywords, texts, 5)
+    assert sizes["led"] <= len(keywords) * len(set(texts.values()))
