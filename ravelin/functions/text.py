@@ -160,9 +160,9 @@ def contexts(text: Column, value: Column, radius: int = 350) -> Column:
 
 
 def mentions(text: Column, name: Column) -> Column:
-    """Whether a name stands in the text, in any case, and not inside a word."""
+    """Whether a name stands in the text, in any case, and not inside a word. Texts without its letters need no pattern, which is built for each name."""
     shape = F.concat(F.lit(r"(?U)(?<!\w)"), quoted(F.lower(name)), F.lit(r"(?!\w)"))
-    return (name != "") & F.call_function("regexp", F.lower(text), shape)
+    return (name != "") & F.contains(F.lower(text), F.lower(name)) & F.call_function("regexp", F.lower(text), shape)
 
 
 def has_markdown(text: Column) -> Column:

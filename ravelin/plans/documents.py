@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import briefing, extraction, graph, lifecycle, manifest, resolve, views
 from ..sources import pages as P
 from ..sources import tables
-from .registry import AS_OF, query, table
+from .registry import AS_OF, dealt, query, table
 
 SITE = manifest.Site("www.site.example", "cdn.site.example", r"^/alerts/(\d+)-(\d{4})$", r"^/files/\d+/alert-(\d+)-(\d{4})\.pdf$", r"^Alert N (\d+)-(\d{4})$")
 _STR = lambda c: F.col(c).cast("string")
@@ -105,7 +105,7 @@ def confirmed_documents(spark, sf_dir):
     html = F.concat(F.lit("<main><h1>Bulletin "), F.when(F.col("o_orderkey") % 7 == 0, F.lit("x")).otherwise(key), F.lit('</h1><time datetime="'), shown, F.lit('">t</time><a href="/docs/'), key, F.lit('-a.pdf">A</a><a href="/docs/'), key, F.lit('-b.pdf">B</a></main>'))
     body = lambda suffix: o.select(F.concat(F.lit("https://s.example/docs/"), key, F.lit(suffix)).alias("url"), F.lit("text/html").alias("content_type"), F.lit("<html").cast("binary").alias("head"))
     bodies = body("-a.pdf").where("url not rlike '[13579]-a'").unionByName(body("-b.pdf"))
-    found = P.confirm_documents(cards, o.select(landing.alias("landing"), html.alias("html")), bodies, ["s.example"], "^/docs/")
+    found = P.confirm_documents(cards, dealt(o).select(landing.alias("landing"), html.alias("html")), bodies, ["s.example"], "^/docs/")
     return found.select("landing", "document", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -129,7 +129,7 @@ def judged_landings(spark, sf_dir):
     heads = F.concat(F.lit("<h1>"), F.when(m == 2, "Other").when(m == 6, "Site").otherwise(F.upper(name)), F.lit("</h1><h2>"), F.when(m == 6, name).otherwise("Sub"), F.when(m == 7, "</h2><h2>Second").otherwise(""), F.lit("</h2>"))
     main = F.concat(F.lit("<nav>1 de enero de 1901</nav><main>"), heads, F.when(m == 3, stamp(next_)).otherwise(stamp(day)), F.lit("<footer>1 de enero de 1901</footer></main>"), F.when(m == 4, "<main></main>").otherwise(""))
     found = P.cards(lists.withColumn("url", F.lit("https://s.example/all")), ["shard"], "li.card a.item[href]")
-    judged = P.confirm_landings(P.collected(found, ["s.example"], r"^/l/\d+$"), o.select(F.concat(F.lit("https://s.example/l/"), key).alias("landing"), main.alias("html")))
+    judged = P.confirm_landings(P.collected(found, ["s.example"], r"^/l/\d+$"), dealt(o).select(F.concat(F.lit("https://s.example/l/"), key).alias("landing"), main.alias("html")))
     return judged.select("landing", "title", "reason", "day_source")
 
 

@@ -8,7 +8,7 @@ from ..functions import identifiers
 from ..functions import text as T
 from ..operators import briefing, evaluate, extraction, flows, lifecycle, ranked, resolve
 from ..session import stored
-from .registry import AS_OF, now, query, table
+from .registry import AS_OF, dealt, now, query, table
 from .texts import _HEX, _IP
 
 _RUNS = "r AS (SELECT 'u' || user_id AS job, 3600 * (1 + user_id % 300) AS span, max(ts) AS last, count(*) FILTER (WHERE event_type = 'click' AND event_id % 50 = 0) AS open FROM events GROUP BY ALL)"
@@ -81,7 +81,7 @@ def number_claims(spark, sf_dir):
     said = F.when(F.col("o_orderkey") % 3 == 0, fresh + 1).otherwise(fresh)
     text = F.concat(F.lit("A total of "), total.cast("string"), F.lit(" indicators were observed; "), said.cast("string"), F.lit(" new indicators among them."))
     context = F.concat(F.lit("IOC activity in period: "), total.cast("string"), F.lit(" indicators total ("), fresh.cast("string"), F.lit(" newly created, 1 pre-existing ones re-updated)."))
-    runs = table(spark, sf_dir, "orders").select("o_orderkey", total.cast("bigint").alias("total"), fresh.cast("bigint").alias("fresh"), text.alias("text"), context.alias("context"))
+    runs = dealt(table(spark, sf_dir, "orders")).select("o_orderkey", total.cast("bigint").alias("total"), fresh.cast("bigint").alias("fresh"), text.alias("text"), context.alias("context"))
     return evaluate.measure(runs).select("o_orderkey", "total", "fresh", "new_ok", "total_ok")
 
 
@@ -140,7 +140,7 @@ def names_given(spark, sf_dir):
     said = F.when(m == 0, name).when(m == 1, F.concat(name, F.substring(name, -1, 1))).otherwise("nobody")
     text = F.concat(F.lit("Reports say that "), said, F.lit(" was seen again."))
     names = F.array(name, F.concat(F.lit("Zq"), F.col("c_custkey").cast("string"), F.lit("vx")))
-    rows = evaluate.name_fidelity(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), names.alias("names")))
+    rows = evaluate.name_fidelity(dealt(table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text"), names.alias("names")))
     return rows.select("c_custkey", *[F.array_join(c, ",").alias(c) for c in ("exact", "corrupt", "omitted")])
 
 

@@ -36,3 +36,13 @@ def test_query(spark, duck, name):
 
 def test_flagship_is_a_query():
     assert FLAGSHIP in QUERIES
+
+
+def test_a_table_of_one_row_group_is_dealt_out(spark, tmp_path):
+    from ravelin.plans.registry import dealt
+
+    spark.range(5_000, numPartitions=1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    out = dealt(df, rows_each=10)
+    assert df.rdd.getNumPartitions() == 1 and out.rdd.getNumPartitions() == 500
+    assert dealt(df).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and out.agg({"id": "sum"}).first()[0] == 12_497_500
