@@ -5,6 +5,7 @@ Every stage but the last returns the columns of its documents; each works on all
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, g
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same where near copies are texts of which four fifths or more of all five-word shingles agree."""
-    return keep_one_of_near_copies(spark, docs, sf_dir, similar.near_copies)
+    """The same where near copies are also texts of which four fifths or more of all five-word shingles agree, beside those of op4."""
+    return keep_one_of_near_copies(spark, docs, sf_dir, functools.partial(similar.near_copies, max_bits=3))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
 SimHash can't separate a similarity of 0.8: such texts lie about ten of 64 bits apart, where a list that all of them
-share holds a large part of all rows. So candidates come from lists of band keys (BANDS keys of ROWS minima of the
+share holds a large part of all rows. So the links of fingerprints (simhash.py) can be asked for beside those of sets,
+but can't stand for them. Candidates for the sets come from lists of band keys (BANDS keys of ROWS minima of the
 set under fixed permutations each), and each candidate pair is decided by the sets themselves. A pair of similarity
 s shares a list with probability 1 - (1 - s**ROWS)**BANDS: 0.9983 at 0.8, 0.99998 at 0.85.
 
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, in_batches, stored
-from .simhash import components, labelled
+from .simhash import components, fingerprint, labelled
+from .simhash import links as linked
 
 BANDS, ROWS, SMALL = 16, 5, 16
 #: Further minima by which a long list is split, and how often.
@@ -50,8 +52,8 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id_col, fp, keys, shingles) for each row: a hash of the set of shingles, its list keys, and 32 bits of each shingle's hash.
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, with_bits: bool = False) -> DataFrame:
+    """(id_col, fp, keys, shingles, bits) for each row: a hash of the set of shingles, its list keys, 32 bits of each shingle's hash, and the fingerprint of simhash.py if asked for.
 
     A task gives the shingles of a set once and null for its further rows, so many copies don't bring many sets."""
 
@@ -59,7 +61,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             for part in by_bytes(batch, 1):
-                sets = [shingles(t or b"", size) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                sets = [shingles(t or b"", size) for t in texts]
+                bits = np.array([fingerprint(t or b"") for t in texts] if with_bits else [], np.uint64).view(np.int64)
                 fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 keys = np.array([bands(s) for s in sets], np.uint64).view(np.int64).reshape(-1)
                 cuts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
@@ -69,10 +73,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                     seen.add(fp)
                 if len(seen) > 500_000:
                     seen = set()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.ListArray.from_arrays(cuts, pa.array(keys)), pa.array(low, pa.binary())], names=[id_col, "fp", "keys", "shingles"])
+                own = pa.array(bits) if with_bits else pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.ListArray.from_arrays(cuts, pa.array(keys)), pa.array(low, pa.binary()), own], names=[id_col, "fp", "keys", "shingles", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, fp bigint, keys array<bigint>, shingles binary")
+    return in_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, fp bigint, keys array<bigint>, shingles binary, bits bigint")
+
+
+def fingerprint_links(own: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v): each set (fp) with the least set of a component of fingerprints (bits) that one of its rows is in, those of op4."""
+    rows = own.select("fp", "bits").distinct()
+    stars = components(linked(rows.select(F.col("bits").alias("fp")).distinct(), max_bits))
+    classes = rows.join(stars.withColumnRenamed("v", "bits"), "bits", "left").select("fp", F.coalesce("label", "bits").alias("class")).distinct()
+    classes = stored(classes, "classes")
+    least = classes.groupBy("class").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
+    return classes.join(least, "class").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
 
 
 def lists_of(distinct: DataFrame) -> DataFrame:
@@ -203,16 +218,20 @@ def links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return in_batches(both.select("u", "v", "a", "b"), run, "u bigint, v bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, max_bits: int | None = None) -> DataFrame:
     """id_col, fp, component_id (the least id that links reach) for every row of docs.
 
-    Two rows link if the sets of their word shingles have a Jaccard similarity of least or more; texts without
-    words, null ones included, are copies of each other. Rows and ids are treated as simhash.near_duplicates does."""
-    own = stored(sketches(docs, id_col, text_col, shingle), "sketches")
+    Two rows link if the sets of their word shingles have a Jaccard similarity of least or more, and, with max_bits, if
+    their fingerprints differ in so many bits or fewer, as in simhash.near_duplicates; texts without words, null ones
+    included, are copies of each other. Rows and ids are treated as simhash.near_duplicates does."""
+    own = stored(sketches(docs, id_col, text_col, shingle, max_bits is not None), "sketches")
     distinct = stored(own.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.first("keys").alias("keys")), "distinct")
     lists = stored(lists_of(distinct), "lists")
     sets = stored(own.where("shingles is not null").join(lists.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("s")), "sets")
-    found = stored(links(sets, candidates(lists), least), "links")
+    found = links(sets, candidates(lists), least)
+    if max_bits is not None:
+        found = found.unionByName(fingerprint_links(own, max_bits))
+    found = stored(found, "links")
     stars = components(found)
     rest = stored(unconnected(lists, stars), "rest")
     if rest.limit(1).count():

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from ravelin.llm import similar
 from ravelin.llm.common import table
-from test_operators import ODD, SF
+from test_operators import ODD, SF, brute_components
 
 STAGE = corpus_pipeline.STAGES[1][1]
 
@@ -125,3 +125,16 @@ def test_lists_with_several_components_are_seen(spark):
     stars = spark.createDataFrame([(k, 0) for k in range(19)], "v bigint, label bigint")
     assert similar.unconnected(lists.where("key <> 2 or fp < 19"), stars).select("key").distinct().collect()[0]["key"] == 1
     assert {(r["fp"], r["top"], r["label"]) for r in similar.unconnected(lists, stars).where("key = 2 and fp > 17").collect()} == {(18, 0, 0), (19, 0, 19)}
+
+
+def test_stage_drops_copies_of_op4_too(spark):
+    """Components of links by fingerprint and of links by set together; either kind alone leaves more texts."""
+    rng = random.Random(6)
+    texts = ["a a a a", "a a a a a", "b b b b b b"]  # one fingerprint for the first two, no shingle of five words in common
+    for _ in range(30):
+        words = some_words(rng, 300)
+        texts += [" ".join(words), " ".join(edited(rng, words, 40)), " ".join(edited(rng, words, 60, 30))]
+    sets, bits = brute_groups(texts), [c for _, _, c in sorted(brute_components(list(enumerate(texts))))]
+    both = connected(len(texts), list(enumerate(sets)) + list(enumerate(bits)))
+    assert len(set(both)) < min(len(set(sets)), len(set(bits)))
+    assert kept(spark, texts) == sorted(set(both))
