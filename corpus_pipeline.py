@@ -46,14 +46,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: st
     """All documents, secrets replaced by their kind in brackets; n_chars follows the text where that changed.
 
     ledger: the path of a ledger of scans that lasts from run to run; without one every run scans all texts."""
-    (held,) = fresh(docs, "spans")  # findings replaces a column of that name
-    given = docs.withColumnRenamed("spans", held) if held != "spans" else docs
-    out = secrets.findings(given, path=ledger)
+    found = secrets.found_in(docs, path=ledger)
+    given, clean = secrets.parted(docs, found)
+    (held,) = fresh(docs, "spans")  # with_spans replaces a column of that name
+    given = given.withColumnRenamed("spans", held) if held != "spans" else given
+    out = secrets.with_spans(given, found)
     changed = F.size("spans") > 0
     out = out.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("spans").withColumnRenamed(held, "spans").select(docs.columns)
+    out = out.drop("spans").withColumnRenamed(held, "spans").select(docs.columns)
+    return out if clean is None else out.unionByName(clean.select(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

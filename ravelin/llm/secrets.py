@@ -19,6 +19,8 @@ SPANS = f"array<{SPAN}>"
 LEDGER = f"blob string, rule string, spans {SPANS}"
 #: Spans that are put together at once.
 RUN = 256
+#: Hashes of blobs that are sent to all executors at most (8 bytes each).
+MOST_SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -135,24 +137,46 @@ def update(path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
-    """Every row of docs, with all its columns and `spans` (sorted by start, then order of the rules).
-
-    Only the given versions of rules count, whatever else the ledger at `path` holds (without a path it is one of this
-    call's own). A column of docs that is called spans is replaced. Rows with empty or null texts have no spans."""
-    rows = docs.drop("spans")
-    of, blob, own = fresh(rows, "blob", "found_blob", "found_spans")
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+    """(blob, spans) of the texts of docs and of the ledger at `path` that have spans for the rules, sorted by start, then order of the rules."""
     ledger = update(path or table_path(docs.sparkSession, "ledger"), docs, id_col, text_col, rules)
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
     found = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
     # spans are ordered by the rules of this call, and an entry that two runs made at once counts once
     ranked = F.struct(F.col("s.start").alias("start"), rank[F.col("rule")].alias("rank"), F.col("s.kind").alias("kind"), F.col("s.stop").alias("stop"))
-    # stored, so that the join deals out both sides itself and can split the rows of a blob that many documents share
-    found = stored(found.groupBy("blob").agg(F.sort_array(F.collect_set(ranked)).alias(own)).select(F.col("blob").alias(blob), own), "found")
+    # stored, so that a join deals out both sides itself and can split the rows of a blob that many documents share
+    return stored(found.groupBy("blob").agg(F.sort_array(F.collect_set(ranked)).alias("spans")), "found")
+
+
+def with_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row of docs, with all its columns and the `spans` that found_in gave for its text; a column of docs that is called spans is replaced."""
+    rows = docs.drop("spans")
+    of, blob, own = fresh(rows, "blob", "found_blob", "found_spans")
     rows = rows.withColumn(of, blob_id(F.col(text_col)))
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(own))
     return rows.join(found, F.col(of) == F.col(blob), "left").withColumn("spans", F.coalesce(own, F.array().cast(SPANS))).drop(of, blob, own)
 
 
+def parted(docs: DataFrame, found: DataFrame, text_col: str = "text", most: int = MOST_SENT) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of docs that may have spans, and the others: no row of those need move to meet its findings.
+
+    Hashes of the blobs with findings go to all executors; if they are more than `most`, all rows are in the first part."""
+    if found.count() > most:
+        return docs, None
+    (at,) = fresh(docs, "blob_hash")
+    sent = F.broadcast(found.select(F.xxhash64("blob").alias(at)))
+    rows = docs.withColumn(at, F.xxhash64(blob_id(F.col(text_col))))
+    return rows.join(sent, at, "left_semi").drop(at), rows.join(sent, at, "left_anti").drop(at)
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+    """Every row of docs, with all its columns and `spans` (sorted by start, then order of the rules).
+
+    Only the given versions of rules count, whatever else the ledger at `path` holds (without a path it is one of this
+    call's own). A column of docs that is called spans is replaced. Rows with empty or null texts have no spans."""
+    return with_spans(docs, found_in(docs, id_col, text_col, rules, path), text_col)
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of the spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

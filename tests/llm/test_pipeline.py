@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ravelin.llm import quality
+from ravelin.llm import quality, secrets
 from ravelin.llm.common import table
 from test_operators import ODD, SF, brute_components, brute_overlap, brute_spans
 
@@ -61,3 +61,23 @@ def test_run_applies_the_stages_in_order(spark):
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
     assert [re.sub(r"\W", "", n) for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_secrets_are_not_shuffled(spark):
+    """However large the findings are held to be, only rows that may have some meet them in a join; the rows are the same in one part."""
+    docs = _docs(spark)
+    found = secrets.found_in(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given, clean = secrets.parted(docs, found)
+        assert "hashpartitioning" not in clean._jdf.queryExecution().toString() and 0 < given.count() < clean.count()
+        assert given.count() + clean.count() == docs.count()
+        assert {r["doc_id"] for r in given.collect()} == {r["doc_id"] for r in secrets.findings(docs).where("size(spans) > 0").collect()}
+        rows = lambda df: sorted(map(repr, df.collect()))
+        parts = rows(corpus_pipeline.redact_secrets(spark, docs, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert secrets.parted(docs, found, most=0)[1] is None
+    whole = secrets.findings(docs).withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    assert parts == rows(whole.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(docs.columns))
