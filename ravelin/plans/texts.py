@@ -181,7 +181,7 @@ WITH c AS (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS name FROM docume
 def catalog_mentions(spark, sf_dir):
     """Every document against a catalog of all first words, in one pass over each text."""
     docs = table(spark, sf_dir, "documents")
-    first = F.lower(F.split("text", " ")[0])
+    first = F.lower(F.substring_index("text", " ", 1))
     catalog = docs.where(first.rlike("^[a-z]{5,}$")).select(F.lit("word").alias("category"), first.alias("id"), F.initcap(first).alias("name"), F.array(F.upper(first)).alias("aliases")).distinct()
     return extraction.catalog_mentions(docs, catalog).select("doc_id", F.col("id").alias("name"))
 

@@ -77,6 +77,23 @@ def test_names_stand_in_texts_as_by_pattern(spark):
     assert names.mentioned(docs, listed.where("false")).count() == names.mentioned(docs.where("false"), listed).count() == 0
 
 
+def test_names_of_one_word_need_no_automaton(spark, monkeypatch):
+    """However many they are: they are joined with the words of the texts, whose hashes are sent or, beyond a number, not."""
+
+    def none(listed):
+        raise AssertionError("an automaton")
+
+    docs = spark.createDataFrame([*enumerate(TEXTS), (0, TEXTS[0])], "doc_id int, text string")
+    single = spark.createDataFrame([(n,) for n in NAMES if n and n.isalnum()] + [(f"word{k}",) for k in range(500)], "name string")
+    pairs = docs.crossJoin(single.where("name not like 'word%'")).where(T.mentions(F.col("text"), F.col("name")))
+    want = sorted((r["doc_id"], r["low"]) for r in pairs.withColumn("low", F.lower("name")).collect())
+    monkeypatch.setattr(names, "automaton", none)
+    for most in (names.MOST_HASHES, 3):
+        assert sorted(tuple(r) for r in names.mentioned(docs, single, most_hashes=most).collect()) == want != []
+    monkeypatch.setattr(names, "PIECE_BYTES", 10)
+    assert sorted(tuple(r) for r in names.mentioned(docs, single).collect()) == want
+
+
 def test_grounded_names_as_by_pattern(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma ray", "delta-4", "é", "Unknown", "x", "cut…", "alphabet"]
